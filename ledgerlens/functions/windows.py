@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
-# Stand-in for a null bucket: sorts before every real day, as nulls do.
-_NULL_DAY = F.lit("0001-01-01").cast("date")
 
 
 def day_bucket(ts: Column | str) -> Column:
+    """Day of ``ts``; a null day becomes 0001-01-01, which sorts before every
+    real day, as nulls do."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.coalesce(F.to_date(ts), _NULL_DAY)
+    return F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
 
 
 def _join_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

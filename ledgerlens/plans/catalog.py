@@ -154,3 +154,94 @@ def _anomaly_view(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return A.financial_summary(X.txn_ev(spark, sf))
+
+
+# --- P1-P13 redaction ----------------------------------------------------------
+from ledgerlens.operators import redact as P  # noqa: E402
+from ledgerlens.sources.tables import read_table  # noqa: E402
+
+_RULE_KEYS = ["redact_account", "redact_routing", "redact_ssn", "redact_phone", "redact_email"]
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents", "doc_id", "text")
+
+
+def _pass_query(pass_no: int):
+    def q(spark, sf):
+        if pass_no == 3:  # SSNs only occur in statement pages
+            src, keys = X.stmt_pages(spark, sf).select("statement_id", "page_num", "text"), ["statement_id", "page_num"]
+        else:
+            src, keys = _docs(spark, sf), ["doc_id"]
+        r = P.regex_redact(src, "text", upto=pass_no)
+        return r.select(*keys, P.pass_hits(F.col("findings"), pass_no).alias("hits"), F.col("redacted").alias("text"))
+
+    return q
+
+
+for _i, _k in enumerate(_RULE_KEYS, 1):
+    register(_k)(_pass_query(_i))
+
+
+@register("redact_all")
+def _redact_all(spark, sf):
+    r = P.regex_redact(_docs(spark, sf), "text")
+    return r.select("doc_id", "redacted", F.size("findings").cast("bigint").alias("n_findings"))
+
+
+@register("pii_findings")
+def _pii_findings(spark, sf):
+    r = P.regex_redact(_docs(spark, sf), "text")
+    return P.explode_findings(r, ["doc_id"]).select(
+        "doc_id", F.col("pass").cast("bigint").alias("pass"), F.col("idx").cast("bigint").alias("idx"),
+        "type", "original_hash", "token",
+        F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"),
+    )
+
+
+@register("pii_tokens")
+def _pii_tokens(spark, sf):
+    r = P.regex_redact(_docs(spark, sf), "text")
+    return P.explode_findings(r, ["doc_id"]).select("type", "original_hash", "token").distinct()
+
+
+def _entity(spark, sf):
+    r = P.regex_redact(_docs(spark, sf), "text")
+    return P.entity_findings(r, "redacted")
+
+
+@register("entity_findings")
+def _entity_findings(spark, sf):
+    e = _entity(spark, sf)
+    return P.explode_findings(e, ["doc_id"], "entity_findings").select(
+        "doc_id", "type", "score", "token",
+        F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"),
+    )
+
+
+@register("entity_redact")
+def _entity_redact(spark, sf):
+    r = P.regex_redact(_docs(spark, sf), "text")
+    return P.entity_redact(r, "redacted").select("doc_id", "anonymized")
+
+
+def _all_findings(spark, sf):
+    return P.explode_findings(P.redact_pii(_docs(spark, sf), "text"), ["doc_id"])
+
+
+@register("findings_union")
+def _findings_union(spark, sf):
+    return _all_findings(spark, sf).select(
+        "doc_id", F.col("pass").cast("bigint").alias("pass"), F.col("idx").cast("bigint").alias("idx"),
+        "type", "token", "original_hash", "score",
+    )
+
+
+@register("pii_audit")
+def _pii_audit(spark, sf):
+    return P.pii_audit(P.redact_pii(_docs(spark, sf), "text"), ["doc_id"])
+
+
+@register("token_vault")
+def _token_vault(spark, sf):
+    return P.token_vault(_all_findings(spark, sf), ["doc_id", "pass", "span_start"])

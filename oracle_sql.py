@@ -209,3 +209,136 @@ SQL["anomaly_view"] = with_(TXN_LI, anomalies_ctes("txn_li")) + """SELECT statem
                   lambda w: upper(w[1]) || lower(w[2:])), ' ') AS method_label,
   COUNT(*) OVER (PARTITION BY statement_id) AS n_anomalies
 FROM anom"""
+
+
+# --- redaction -------------------------------------------------------------------
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# Same rules as stated in the reference, in RE2 syntax (non-capturing group;
+# case-insensitive flag inline).
+RULES = [
+    ("ACCOUNT_NUMBER", r"\b\d{8,17}\b"),
+    ("ROUTING_NUMBER", r"\b\d{9}\b"),
+    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("PHONE", r"\b(?:\+1[\s-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b"),
+    ("EMAIL", r"(?i)\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b"),
+]
+ENTITIES = [
+    ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6),
+    ("URL", r"\bhttps?://[^\s\"'<>]+", 0.5),
+    ("PERSON", r"\bJohn Doe\b", 0.85),
+]
+
+
+def tok(label: str, v: str) -> str:
+    return f"'[' || {lit(label)} || '_' || upper(substr(sha256({v}), 1, 8)) || ']'"
+
+
+def starts_expr() -> str:
+    return ("list_transform(range(len(ms)), lambda j: "
+            "COALESCE(list_sum(list_transform(parts[1:j + 1], lambda p: length(p))), 0) + "
+            "COALESCE(list_sum(list_transform(ms[1:j], lambda m: length(m))), 0))")
+
+
+def regex_chain(src: str, keys: str, upto: int = 5) -> str:
+    """CTEs rx0..rxN (text after each pass) and f1..fN (findings of each pass)."""
+    ctes = [f"rx0 AS (SELECT {keys}, text AS t FROM {src})"]
+    for i, (label, pat) in enumerate(RULES[:upto], 1):
+        ctes.append(f"""rx{i}m AS (
+  SELECT {keys}, string_split_regex(t, {lit(pat)}) AS parts, regexp_extract_all(t, {lit(pat)}) AS ms FROM rx{i - 1})""")
+        ctes.append(f"""rx{i} AS (
+  SELECT {keys}, array_to_string(flatten(list_transform(
+           list_zip(parts, list_transform(ms, lambda m: {tok(label, 'm')})),
+           lambda z: [z[1], COALESCE(z[2], '')])), '') AS t
+  FROM rx{i}m)""")
+        ctes.append(f"""f{i}u AS (
+  SELECT {keys}, ms, {starts_expr()} AS st, unnest(range(len(ms))) AS j FROM rx{i}m)""")
+        ctes.append(f"""f{i} AS (
+  SELECT {keys}, CAST({i} AS BIGINT) AS pass, CAST(j AS BIGINT) AS idx, {lit(label)} AS type,
+         sha256(ms[j + 1]) AS original_hash, {tok(label, 'ms[j + 1]')} AS token,
+         CAST(st[j + 1] AS BIGINT) AS span_start, CAST(st[j + 1] + length(ms[j + 1]) AS BIGINT) AS span_end,
+         CAST(NULL AS DOUBLE) AS score
+  FROM f{i}u)""")
+    return ",\n".join(ctes)
+
+
+def entity_ctes(keys: str, src: str = "rx5") -> str:
+    ctes = []
+    for k, (etype, pat, score) in enumerate(ENTITIES):
+        n = 6 + k
+        ctes.append(f"""e{n}m AS (
+  SELECT {keys}, string_split_regex(t, {lit(pat)}) AS parts, regexp_extract_all(t, {lit(pat)}) AS ms FROM {src})""")
+        ctes.append(f"""e{n}u AS (SELECT {keys}, ms, {starts_expr()} AS st, unnest(range(len(ms))) AS j FROM e{n}m)""")
+        ctes.append(f"""e{n} AS (
+  SELECT {keys}, CAST({n} AS BIGINT) AS pass, CAST(j AS BIGINT) AS idx, {lit(etype)} AS type,
+         sha256(ms[j + 1]) AS original_hash, {tok(etype, 'ms[j + 1]')} AS token,
+         CAST(st[j + 1] AS BIGINT) AS span_start, CAST(st[j + 1] + length(ms[j + 1]) AS BIGINT) AS span_end,
+         CAST(round({score}, 3) AS DOUBLE) AS score
+  FROM e{n}u)""")
+    return ",\n".join(ctes)
+
+
+def union_all(names) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
+
+
+STMT_PAGES = [
+    TXN_EV,
+    positioned("txn_ev"),
+    """stmt_lines AS (
+  SELECT statement_id, pos, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page_num,
+         date || ' ' || description || ' $' || format('{:,.2f}', amount) || ' $' || format('{:,.2f}', balance) AS line
+  FROM pos_txn)""",
+    """stmt_pages AS (
+  SELECT statement_id, page_num,
+         'First National Bank - Statement' || chr(10) || 'Account: ' || CAST(statement_id + 1000000000 AS VARCHAR)
+           || ' | Holder ' || CAST(statement_id AS VARCHAR) || ' | SSN: '
+           || lpad(CAST(statement_id % 1000 AS VARCHAR), 3, '0') || '-45-6789' || chr(10)
+           || 'Date Description Amount Balance' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text,
+         'statement_' || CAST(statement_id AS VARCHAR) || '.pdf' AS source
+  FROM stmt_lines GROUP BY statement_id, page_num)""",
+]
+
+DOC = "doc_id"
+for _i, _k in enumerate(["redact_account", "redact_routing", "redact_ssn", "redact_phone", "redact_email"], 1):
+    if _i == 3:
+        _keys = "statement_id, page_num"
+        SQL[_k] = with_(*STMT_PAGES, regex_chain("stmt_pages", _keys, 3)) + (
+            f"SELECT rx3.statement_id, rx3.page_num, rx3.t AS text, "
+            f"(SELECT COUNT(*) FROM f3 WHERE f3.statement_id = rx3.statement_id AND f3.page_num = rx3.page_num) AS hits FROM rx3"
+        )
+    else:
+        SQL[_k] = with_(regex_chain("documents", DOC, _i)) + (
+            f"SELECT rx{_i}.doc_id, rx{_i}.t AS text, "
+            f"(SELECT COUNT(*) FROM f{_i} WHERE f{_i}.doc_id = rx{_i}.doc_id) AS hits FROM rx{_i}"
+        )
+
+_FALL = "fall AS (" + union_all(f"f{i}" for i in range(1, 6)) + ")"
+SQL["redact_all"] = with_(regex_chain("documents", DOC), _FALL) + (
+    "SELECT rx5.doc_id, rx5.t AS redacted, (SELECT COUNT(*) FROM fall WHERE fall.doc_id = rx5.doc_id) AS n_findings FROM rx5"
+)
+SQL["pii_findings"] = with_(regex_chain("documents", DOC), _FALL) + (
+    "SELECT doc_id, pass, idx, type, original_hash, token, span_start, span_end FROM fall"
+)
+SQL["pii_tokens"] = with_(regex_chain("documents", DOC), _FALL) + "SELECT DISTINCT type, original_hash, token FROM fall"
+SQL["entity_findings"] = with_(regex_chain("documents", DOC), entity_ctes(DOC)) + (
+    "SELECT doc_id, type, score, token, span_start, span_end FROM ("
+    + union_all(f"e{6 + k}" for k in range(len(ENTITIES))) + ")"
+)
+_anon = "t"
+for _etype, _pat, _score in sorted(ENTITIES, key=lambda e: -e[2]):
+    _anon = f"regexp_replace({_anon}, {lit(_pat)}, {lit('<' + _etype + '>')}, 'g')"
+SQL["entity_redact"] = with_(regex_chain("documents", DOC)) + f"SELECT doc_id, {_anon} AS anonymized FROM rx5"
+_EALL = "eall AS (" + union_all([*(f"f{i}" for i in range(1, 6)), *(f"e{6 + k}" for k in range(len(ENTITIES)))]) + ")"
+SQL["findings_union"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+    "SELECT doc_id, pass, idx, type, token, original_hash, score FROM eall"
+)
+SQL["pii_audit"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+    "SELECT d.doc_id, (SELECT COUNT(*) FROM eall WHERE eall.doc_id = d.doc_id) AS items_found FROM documents d"
+)
+SQL["token_vault"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+    "SELECT original_hash, arg_min(token, (doc_id, pass, span_start)) AS token FROM eall GROUP BY original_hash"
+)
