@@ -245,3 +245,159 @@ def _pii_audit(spark, sf):
 @register("token_vault")
 def _token_vault(spark, sf):
     return P.token_vault(_all_findings(spark, sf), ["doc_id", "pass", "span_start"])
+
+
+# --- S1-S9 sources, E1-E9 extraction ------------------------------------------------
+from ledgerlens.operators import extract as E  # noqa: E402
+from ledgerlens.sources import loader as L  # noqa: E402
+from ledgerlens.sources import pages as S  # noqa: E402
+
+_CHUNK = ["statement_id", "chunk_idx"]
+
+
+def _conv_pages(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return S.page_table(c, "conv_id", "turn", "text", F.concat(F.lit("conv_"), F.col("conv_id").cast("string")))
+
+
+@register("page_scan")
+def _page_scan(spark, sf):
+    return _conv_pages(spark, sf)
+
+
+@register("combine_pages")
+def _combine_pages(spark, sf):
+    return S.combine_pages(_conv_pages(spark, sf))
+
+
+@register("chunk_text")
+def _chunk_text(spark, sf):
+    ch = E.chunk_text(_docs(spark, sf), ["doc_id"])
+    return ch.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk",
+                     F.length("chunk").cast("bigint").alias("n_chars"))
+
+
+def _parsed_replies(spark, sf):
+    return E.parse_replies(X.raw_json(spark, sf), _CHUNK)
+
+
+def _kept_and_rejects(spark, sf):
+    recs = E.reply_records(_parsed_replies(spark, sf), _CHUNK)
+    return E.isolate_failures(E.normalize(recs), _CHUNK)
+
+
+def _ids(df):
+    return [F.col("statement_id"), F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+            F.col("item_idx").cast("bigint").alias("item_idx")]
+
+
+@register("json_repair")
+def _json_repair(spark, sf):
+    p = _parsed_replies(spark, sf)
+    return p.select("statement_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+                    F.size("records").cast("bigint").alias("n_items"))
+
+
+@register("json_records")
+def _json_records(spark, sf):
+    r = E.reply_records(_parsed_replies(spark, sf), _CHUNK)
+    return r.select(*_ids(r), F.col("rec")["date"].alias("date"), F.col("rec")["description"].alias("description"),
+                    F.col("rec")["amount"].try_cast("double").alias("amount"), F.col("rec")["type"].alias("type"))
+
+
+@register("normalize_records")
+def _normalize_records(spark, sf):
+    kept, _ = _kept_and_rejects(spark, sf)
+    return kept.select(*_ids(kept), "date", "description", "amount", "balance", "type")
+
+
+@register("extract_rejects")
+def _extract_rejects(spark, sf):
+    _, rej = _kept_and_rejects(spark, sf)
+    return rej.select(*_ids(rej), "reason")
+
+
+def _kept_txns(spark, sf):
+    kept, _ = _kept_and_rejects(spark, sf)
+    return E.dedup_first(kept)
+
+
+@register("empty_statements")
+def _empty_statements(spark, sf):
+    return E.statement_errors(X.raw_json(spark, sf), _kept_txns(spark, sf))
+
+
+@register("txn_count")
+def _txn_count(spark, sf):
+    return _kept_txns(spark, sf).groupBy("statement_id").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("dedup_txns")
+def _dedup_txns(spark, sf):
+    pos = X.with_position(X.txn_ev(spark, sf))
+    base = pos.select(
+        "statement_id", "txn_id", "date", "description", "amount", "balance", "pos",
+        F.floor((F.col("pos") - 1) / 20).cast("bigint").alias("chunk_idx"),
+        ((F.col("pos") - 1) % 20).cast("bigint").alias("item_idx"),
+    )
+    # A second reading of every record: one chunk later for even positions,
+    # one earlier for odd ones, with another balance.
+    shift = F.when(F.col("pos") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    copy = base.select(
+        "statement_id", "txn_id", "date", "description", "amount",
+        (F.col("balance") + F.lit(1.0)).alias("balance"), "pos",
+        (F.col("chunk_idx") + shift).alias("chunk_idx"), "item_idx",
+    )
+    return E.dedup_first(base.unionByName(copy).drop("pos")).select(
+        "statement_id", "date", "description", "amount", "txn_id", "balance", "chunk_idx", "item_idx"
+    )
+
+
+def statement_transactions(pages: DataFrame) -> DataFrame:
+    """Pages -> assembled text -> redacted -> chunks -> parsed lines -> first-wins dedup."""
+    text = S.combine_pages(pages)
+    red = P.redact_pii(text, "raw_text")
+    chunks = E.chunk_text(red, ["statement_id"], "redacted_text")
+    return E.dedup_first(E.parse_lines(chunks, _CHUNK))
+
+
+@register("parse_lines")
+def _parse_lines(spark, sf):
+    t = statement_transactions(X.stmt_pages(spark, sf))
+    return t.select("statement_id", "date", "description", "amount", "balance", "type")
+
+
+@register("typed_load")
+def _typed_load(spark, sf):
+    kept, _ = _kept_and_rejects(spark, sf)
+    t = L.typed_load(kept, view=None)
+    return t.select(*_ids(t), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "amount", "balance")
+
+
+@register("adhoc_sql")
+def _adhoc_sql(spark, sf):
+    L.typed_load(X.txn_li(spark, sf), view="transactions")
+    return L.run_sql(
+        spark,
+        "SELECT statement_id, category, COUNT(*) AS n, MIN(amount) AS min_amount, MAX(amount) AS max_amount "
+        "FROM transactions WHERE amount < :lim GROUP BY statement_id, category",
+        lim=0,
+    )
+
+
+@register("sanitize")
+def _sanitize(spark, sf):
+    ev = read_table(spark, sf, "events", "event_id", "value")
+    return L.sanitize(ev.select("event_id", "value", F.sqrt(F.col("value") - 100).alias("root")))
+
+
+@register("vector_roundtrip")
+def _vector_roundtrip(spark, sf):
+    path = L.scratch_path(spark, "vectors")
+    L.save_vectors(read_table(spark, sf, "embeddings"), path)
+    back = L.load_vectors(spark, path)
+    return back.select(
+        "vec_id", "label", F.size("embedding").cast("bigint").alias("n_dims"),
+        F.col("embedding")[0].cast("double").alias("e_first"),
+        F.element_at("embedding", -1).cast("double").alias("e_last"),
+    )

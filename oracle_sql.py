@@ -342,3 +342,93 @@ SQL["pii_audit"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL)
 SQL["token_vault"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
     "SELECT original_hash, arg_min(token, (doc_id, pass, span_start)) AS token FROM eall GROUP BY original_hash"
 )
+
+
+# --- sources and extraction ------------------------------------------------------
+
+CONV_PAGES = """conv_pages AS (
+  SELECT CAST(conv_id AS BIGINT) AS statement_id, CAST(turn + 1 AS INTEGER) AS page_num,
+         COALESCE(text, '') AS text, 'conv_' || CAST(conv_id AS VARCHAR) AS source
+  FROM conversations)"""
+
+# Unicode white space (Python's str.strip set minus the 0x1C-0x1F separators).
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, {lit('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+SQL["page_scan"] = with_(CONV_PAGES) + "SELECT * FROM conv_pages"
+SQL["combine_pages"] = with_(CONV_PAGES) + f"""SELECT statement_id,
+  string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS raw_text, COUNT(*) AS n_pages
+FROM conv_pages WHERE {strip('text')} <> '' GROUP BY statement_id"""
+
+SQL["chunk_text"] = f"""WITH RECURSIVE
+lines AS (
+  SELECT doc_id, unnest(arr) AS line, unnest(range(1, len(arr) + 1)) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)),
+walk(doc_id, i, cur_len, chunk_no) AS (
+  SELECT doc_id, i, length(line) + 1, CASE WHEN length(line) > 3000 THEN 1 ELSE 0 END FROM lines WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i,
+         CASE WHEN w.cur_len + length(l.line) > 3000 THEN length(l.line) + 1 ELSE w.cur_len + length(l.line) + 1 END,
+         CASE WHEN w.cur_len + length(l.line) > 3000 THEN w.chunk_no + 1 ELSE w.chunk_no END
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.i = w.i + 1),
+chunks AS (
+  SELECT w.doc_id, w.chunk_no, {strip("string_agg(l.line, chr(10) ORDER BY l.i)")} AS chunk
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.i = w.i
+  GROUP BY w.doc_id, w.chunk_no)
+SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1 AS chunk_idx, chunk,
+       CAST(length(chunk) AS BIGINT) AS n_chars
+FROM chunks WHERE chunk <> ''"""
+
+REPLIES = [
+    TXN_EV,
+    positioned("txn_ev"),
+    """rj AS (
+  SELECT *, CAST((pos - 1) // 20 AS BIGINT) AS chunk_idx, CAST((pos - 1) % 20 AS BIGINT) AS item_idx,
+         txn_id % 97 = 0 AS bad
+  FROM pos_txn)""",
+    """rj_first AS (SELECT statement_id, chunk_idx, MIN(item_idx) AS first_bad FROM rj WHERE bad GROUP BY 1, 2)""",
+    """rj_mark AS (
+  SELECT r.*, f.first_bad IS NOT NULL AND r.item_idx >= f.first_bad AS lost
+  FROM rj r LEFT JOIN rj_first f ON f.statement_id = r.statement_id AND f.chunk_idx = r.chunk_idx)""",
+]
+
+SQL["json_repair"] = with_(*REPLIES) + "SELECT statement_id, chunk_idx, COUNT(*) AS n_items FROM rj GROUP BY 1, 2"
+SQL["json_records"] = with_(*REPLIES) + """SELECT statement_id, chunk_idx, item_idx, date, description,
+  CASE WHEN bad THEN NULL ELSE amount END AS amount, type FROM rj"""
+SQL["normalize_records"] = with_(*REPLIES) + """SELECT statement_id, chunk_idx, item_idx, date, description, amount,
+  balance, type FROM rj_mark WHERE NOT lost"""
+SQL["extract_rejects"] = with_(*REPLIES) + """SELECT statement_id, chunk_idx, item_idx,
+  CASE WHEN bad THEN 'amount not a number' ELSE 'after failed record' END AS reason FROM rj_mark WHERE lost"""
+SQL["empty_statements"] = with_(*REPLIES) + """SELECT statement_id, CAST(COUNT(*) FILTER (WHERE NOT lost) AS BIGINT) AS n_txns,
+  CASE WHEN COUNT(*) FILTER (WHERE NOT lost) = 0 THEN 'No transactions could be extracted from any chunk.' END AS error
+FROM rj_mark GROUP BY statement_id"""
+SQL["txn_count"] = with_(*REPLIES) + "SELECT statement_id, COUNT(*) AS count FROM rj_mark WHERE NOT lost GROUP BY statement_id"
+SQL["typed_load"] = with_(*REPLIES) + """SELECT statement_id, chunk_idx, item_idx, strftime(ts, '%Y-%m-%d 00:00:00') AS ts,
+  amount, balance FROM rj_mark WHERE NOT lost"""
+
+SQL["dedup_txns"] = with_(
+    TXN_EV, positioned("txn_ev"),
+    """b AS (SELECT statement_id, txn_id, date, description, amount, balance, pos,
+         CAST((pos - 1) // 20 AS BIGINT) AS chunk_idx, CAST((pos - 1) % 20 AS BIGINT) AS item_idx FROM pos_txn)""",
+    """u AS (SELECT statement_id, txn_id, date, description, amount, balance, chunk_idx, item_idx FROM b
+         UNION ALL
+         SELECT statement_id, txn_id, date, description, amount, balance + 1.0,
+                chunk_idx + CASE WHEN pos % 2 = 0 THEN 1 ELSE -1 END, item_idx FROM b)""",
+) + """SELECT statement_id, date, description, amount,
+  arg_min(txn_id, (chunk_idx, item_idx)) AS txn_id, arg_min(balance, (chunk_idx, item_idx)) AS balance,
+  arg_min(chunk_idx, (chunk_idx, item_idx)) AS chunk_idx, arg_min(item_idx, (chunk_idx, item_idx)) AS item_idx
+FROM u GROUP BY statement_id, date, description, amount"""
+
+SQL["parse_lines"] = with_(TXN_EV, positioned("txn_ev")) + """SELECT statement_id, date, description, amount, balance,
+  CASE WHEN amount > 0 THEN 'credit' ELSE 'debit' END AS type FROM pos_txn"""
+
+SQL["adhoc_sql"] = with_(TXN_LI) + """SELECT statement_id, category, COUNT(*) AS n, MIN(amount) AS min_amount,
+  MAX(amount) AS max_amount FROM txn_li WHERE amount < 0 GROUP BY statement_id, category"""
+SQL["sanitize"] = """SELECT event_id, value,
+  CASE WHEN isnan(sqrt(value - 100)) THEN NULL ELSE sqrt(value - 100) END AS root FROM events"""
+SQL["vector_roundtrip"] = """SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS n_dims,
+  CAST(embedding[1] AS DOUBLE) AS e_first, CAST(embedding[len(embedding)] AS DOUBLE) AS e_last FROM embeddings"""
