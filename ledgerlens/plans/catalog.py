@@ -401,3 +401,61 @@ def _vector_roundtrip(spark, sf):
         F.col("embedding")[0].cast("double").alias("e_first"),
         F.element_at("embedding", -1).cast("double").alias("e_last"),
     )
+
+
+# --- C1-C8 categorisation -------------------------------------------------------------
+from ledgerlens.operators import categorize as C  # noqa: E402
+
+
+@register("categories")
+def _categories(spark, sf):
+    return C.category_usage(spark, C.categorize_rules(X.txn_ev(spark, sf), X.category_rules(spark)))
+
+
+@register("distinct_descriptions")
+def _distinct_descriptions(spark, sf):
+    return C.distinct_descriptions(X.txn_ev(spark, sf))
+
+
+@register("batches_of_20")
+def _batches_of_20(spark, sf):
+    return C.batches(X.txn_ev(spark, sf)).select("statement_id", "txn_id", "batch", "item_idx")
+
+
+@register("batch_payload")
+def _batch_payload(spark, sf):
+    return C.batch_payload(C.batches(X.txn_ev(spark, sf)))
+
+
+@register("categorize_rules")
+def _categorize_rules(spark, sf):
+    t = C.categorize_rules(X.txn_ev(spark, sf), X.category_rules(spark))
+    return t.select("statement_id", "txn_id", "description", "category", "confidence")
+
+
+@register("categorize_ml")
+def _categorize_ml(spark, sf):
+    t = X.txn_ev(spark, sf)
+    return C.categorize_ml(t, t).select("statement_id", "txn_id", "description", "category", "confidence")
+
+
+def _reply_map(spark, sf):
+    recs, _ = C.parse_category_replies(X.category_replies(spark, sf))
+    return C.reply_map(recs)
+
+
+@register("category_map")
+def _category_map(spark, sf):
+    return _reply_map(spark, sf)
+
+
+@register("categorize_join")
+def _categorize_join(spark, sf):
+    t = C.apply_map(X.txn_ev(spark, sf), _reply_map(spark, sf))
+    return t.select("statement_id", "txn_id", "description", "category", "confidence")
+
+
+@register("category_rejects")
+def _category_rejects(spark, sf):
+    _, rej = C.parse_category_replies(X.category_replies(spark, sf))
+    return rej

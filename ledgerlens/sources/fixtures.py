@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import cents, dollars
 from ledgerlens.functions.windows import day_bucket, running_totals
-from ledgerlens.schemas import CATEGORIES
 from ledgerlens.sources.tables import read_table
 
 OPENING_BALANCE_CENTS = 500000  # 5000.00, opening balance of the sample statement
@@ -150,13 +149,6 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def categories(spark: SparkSession) -> DataFrame:
-    """The fixed category list as a dimension (16 rows)."""
-    return spark.createDataFrame(
-        [(c, i) for i, c in enumerate(CATEGORIES)], "category string, ord int"
-    )
-
-
 def category_rules(spark: SparkSession) -> DataFrame:
     """Keyword rules for the rule-based categoriser (``ERROR`` has none,
     so it tests the ``Other`` default)."""
@@ -172,15 +164,10 @@ def category_rules(spark: SparkSession) -> DataFrame:
 
 
 def recognizers(spark: SparkSession) -> DataFrame:
-    """Entity recogniser table for the second redaction pass (no date entity)."""
-    return spark.createDataFrame(
-        [
-            ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6),
-            ("URL", r"\bhttps?://[^\s\"'<>]+", 0.5),
-            ("PERSON", r"\bJohn Doe\b", 0.85),
-        ],
-        "entity_type string, pattern string, score double",
-    )
+    """The default entity recogniser table as a DataFrame."""
+    from ledgerlens.operators.redact import RECOGNIZERS
+
+    return spark.createDataFrame(RECOGNIZERS, "entity_type string, pattern string, score double")
 
 
 def label_centroids(embeddings: DataFrame) -> DataFrame:
@@ -197,3 +184,36 @@ def label_centroids(embeddings: DataFrame) -> DataFrame:
         F.col("label").cast("bigint").alias("query_id"),
         F.transform("v", lambda x: x / norm).alias("embedding"),
     )
+
+
+# Category a stand-in categoriser answers per event type (others: Other).
+REPLY_CATEGORY = {
+    "purchase": "Shopping",
+    "signup": "Income & Salary",
+    "view": "Entertainment",
+    "click": "Subscriptions",
+}
+
+
+def category_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for categoriser replies: per batch of 20 transactions of a
+    statement (by ``txn_id``), a fenced JSON array of
+    (description, category, confidence); the reply of a batch holding a
+    ``txn_id % 97 = 0`` has an unclosed record, i.e. is invalid JSON."""
+    from ledgerlens.operators.categorize import batches
+
+    b = batches(txn_ev(spark, sf_dir))
+    cat = F.coalesce(
+        F.create_map(*[F.lit(x) for kv in REPLY_CATEGORY.items() for x in kv])[F.col("category")],
+        F.lit("Other"),
+    )
+    conf = ((F.col("txn_id") % 50) + 50) / F.lit(100.0)
+    item = F.to_json(F.struct(F.col("description"), cat.alias("category"), conf.alias("confidence")))
+    item = F.when(F.col("txn_id") % 97 == 0, F.regexp_replace(item, r"\}$", "")).otherwise(item)
+    return b.groupBy("statement_id", "batch").agg(
+        F.concat(
+            F.lit("```json\n[\n"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_idx", item.alias("j")))), lambda s: s["j"]), ",\n"),
+            F.lit(",\n]\n```"),
+        ).alias("raw")
+    )

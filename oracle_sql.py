@@ -432,3 +432,57 @@ SQL["sanitize"] = """SELECT event_id, value,
   CASE WHEN isnan(sqrt(value - 100)) THEN NULL ELSE sqrt(value - 100) END AS root FROM events"""
 SQL["vector_roundtrip"] = """SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS n_dims,
   CAST(embedding[1] AS DOUBLE) AS e_first, CAST(embedding[len(embedding)] AS DOUBLE) AS e_last FROM embeddings"""
+
+
+# --- categorisation ---------------------------------------------------------------
+
+CATEGORY_NAMES = [
+    "Food & Dining", "Groceries", "Shopping", "Transportation", "Travel", "Entertainment",
+    "Health & Medical", "Utilities", "Rent & Housing", "Subscriptions", "Income & Salary",
+    "Transfers", "ATM & Cash", "Insurance", "Education", "Other",
+]
+CAT_DIM = "cat_dim AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({lit(c)}, {i})" for i, c in enumerate(CATEGORY_NAMES)) + ") AS t(category, ord))"
+RULES_CTE = """rules AS (SELECT * FROM (VALUES ('PURCHASE', 'Shopping', 0.9, 1), ('SIGNUP', 'Income & Salary', 0.95, 2),
+  ('VIEW', 'Entertainment', 0.8, 3), ('CLICK', 'Subscriptions', 0.85, 4)) AS t(word, category, confidence, priority))"""
+RULE_MAP = """rmap AS (
+  SELECT statement_id, description, arg_min(category, (priority, word)) AS category,
+         arg_min(CAST(confidence AS DOUBLE), (priority, word)) AS confidence
+  FROM (SELECT DISTINCT statement_id, description, unnest(string_split_regex(upper(description), '[^A-Z0-9&]+')) AS word
+        FROM txn_ev) w JOIN rules USING (word)
+  GROUP BY statement_id, description)"""
+RULE_CAT = """rcat AS (
+  SELECT t.statement_id, t.txn_id, t.description, COALESCE(m.category, 'Other') AS category,
+         COALESCE(m.confidence, 0.0) AS confidence
+  FROM txn_ev t LEFT JOIN rmap m ON m.statement_id = t.statement_id AND m.description = t.description)"""
+BATCHED = """bt AS (
+  SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY statement_id ORDER BY txn_id) - 1) // 20 AS BIGINT) AS batch,
+         CAST((ROW_NUMBER() OVER (PARTITION BY statement_id ORDER BY txn_id) - 1) % 20 AS BIGINT) AS item_idx
+  FROM txn_ev)"""
+REPLY_ROWS = """rep AS (
+  SELECT *, CASE category WHEN 'purchase' THEN 'Shopping' WHEN 'signup' THEN 'Income & Salary'
+                          WHEN 'view' THEN 'Entertainment' WHEN 'click' THEN 'Subscriptions' ELSE 'Other' END AS rcat,
+         (txn_id % 50 + 50) / 100.0 AS rconf,
+         bool_or(txn_id % 97 = 0) OVER (PARTITION BY statement_id, batch) AS bad_batch
+  FROM bt)"""
+REPLY_MAP = """rpm AS (
+  SELECT statement_id, description, arg_max(rcat, (batch, item_idx)) AS category,
+         CAST(arg_max(rconf, (batch, item_idx)) AS DOUBLE) AS confidence
+  FROM rep WHERE NOT bad_batch GROUP BY statement_id, description)"""
+
+SQL["categories"] = with_(TXN_EV, RULES_CTE, RULE_MAP, RULE_CAT, CAT_DIM) + """SELECT d.category, CAST(d.ord AS BIGINT) AS ord,
+  CAST(COALESCE(c.n, 0) AS BIGINT) AS n_txns
+FROM cat_dim d LEFT JOIN (SELECT category, COUNT(*) AS n FROM rcat GROUP BY category) c ON c.category = d.category"""
+SQL["distinct_descriptions"] = with_(TXN_EV) + "SELECT statement_id, description, COUNT(*) AS n FROM txn_ev GROUP BY 1, 2"
+SQL["batches_of_20"] = with_(TXN_EV, BATCHED) + "SELECT statement_id, txn_id, batch, item_idx FROM bt"
+SQL["batch_payload"] = with_(TXN_EV, BATCHED) + """SELECT statement_id, batch, COUNT(*) AS n_items,
+  '[' || chr(10) || string_agg('  {' || chr(10) || '    "description": ' || to_json(description) || chr(10) || '  }',
+                               ',' || chr(10) ORDER BY item_idx) || chr(10) || ']' AS payload
+FROM bt GROUP BY statement_id, batch"""
+SQL["categorize_rules"] = with_(TXN_EV, RULES_CTE, RULE_MAP, RULE_CAT) + "SELECT * FROM rcat"
+SQL["category_map"] = with_(TXN_EV, BATCHED, REPLY_ROWS, REPLY_MAP) + "SELECT * FROM rpm"
+SQL["categorize_join"] = with_(TXN_EV, BATCHED, REPLY_ROWS, REPLY_MAP) + """SELECT t.statement_id, t.txn_id, t.description,
+  COALESCE(m.category, 'Other') AS category, COALESCE(m.confidence, 0.0) AS confidence
+FROM txn_ev t LEFT JOIN rpm m ON m.statement_id = t.statement_id AND m.description = t.description"""
+SQL["category_rejects"] = with_(TXN_EV, BATCHED, REPLY_ROWS) + """SELECT DISTINCT statement_id, batch, 'invalid json' AS reason
+FROM rep WHERE bad_batch"""
