@@ -459,3 +459,80 @@ def _categorize_join(spark, sf):
 def _category_rejects(spark, sf):
     _, rej = C.parse_category_replies(X.category_replies(spark, sf))
     return rej
+
+
+# --- V1-V9 search ----------------------------------------------------------------------
+from ledgerlens.operators import search as V  # noqa: E402
+
+
+def _corpus(spark, sf):
+    return read_table(spark, sf, "embeddings", "vec_id", "embedding", "label").withColumn(
+        "category", F.col("label").cast("string")
+    )
+
+
+def _questions(spark, sf):
+    """One question per label: its unit centroid; the filter category of a
+    question is the next label."""
+    c = X.label_centroids(read_table(spark, sf, "embeddings", "embedding", "label"))
+    return c.withColumn("filter_category", ((F.col("query_id") + 1) % 10).cast("string"))
+
+
+def _global_question(spark, sf):
+    e = read_table(spark, sf, "embeddings", "embedding").withColumn("label", F.lit(0))
+    return X.label_centroids(e)
+
+
+_KNN_COLS = ["query_id", "rank", "vec_id", "label", "similarity_score"]
+
+
+@register("txn_sentences")
+def _txn_sentences(spark, sf):
+    t = C.categorize_rules(X.txn_ev(spark, sf), X.category_rules(spark))
+    return V.txn_sentences(t).select("statement_id", "txn_id", "content")
+
+
+@register("txn_metadata")
+def _txn_metadata(spark, sf):
+    t = C.apply_map(X.with_position(X.txn_ev(spark, sf)), _reply_map(spark, sf))
+    return V.txn_metadata(t)
+
+
+@register("embed_tfidf")
+def _embed_tfidf(spark, sf):
+    t = V.txn_sentences(C.categorize_rules(X.txn_ev(spark, sf), X.category_rules(spark)))
+    e = V.embed_tfidf(t.select("statement_id", "txn_id", "content"))
+    return e.select("statement_id", "txn_id", F.size("embedding").cast("bigint").alias("n_dims"))
+
+
+@register("embed_normalize")
+def _embed_normalize(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("vec_id", norm.alias("norm"), V.normalize(F.col("embedding"))[0].alias("e_first"))
+
+
+@register("knn_l2")
+def _knn_l2(spark, sf):
+    return V.knn(_corpus(spark, sf), _global_question(spark, sf)).select("rank", "vec_id", "label", "similarity_score")
+
+
+@register("knn_batch")
+def _knn_batch(spark, sf):
+    return V.knn_batch(_corpus(spark, sf), _questions(spark, sf)).select(*_KNN_COLS)
+
+
+@register("knn_postfilter")
+def _knn_postfilter(spark, sf):
+    return V.knn_postfilter(_corpus(spark, sf), _questions(spark, sf)).select(*_KNN_COLS)
+
+
+@register("knn_prefilter")
+def _knn_prefilter(spark, sf):
+    return V.knn_prefilter(_corpus(spark, sf), _questions(spark, sf)).select(*_KNN_COLS)
+
+
+@register("knn_lsh")
+def _knn_lsh(spark, sf):
+    q = _global_question(spark, sf).first()["embedding"]  # one 64-d vector
+    return V.knn_lsh(_corpus(spark, sf), list(q)).select("vec_id", "label", "l2")

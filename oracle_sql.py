@@ -486,3 +486,54 @@ SQL["categorize_join"] = with_(TXN_EV, BATCHED, REPLY_ROWS, REPLY_MAP) + """SELE
 FROM txn_ev t LEFT JOIN rpm m ON m.statement_id = t.statement_id AND m.description = t.description"""
 SQL["category_rejects"] = with_(TXN_EV, BATCHED, REPLY_ROWS) + """SELECT DISTINCT statement_id, batch, 'invalid json' AS reason
 FROM rep WHERE bad_batch"""
+
+
+# --- search -----------------------------------------------------------------------
+
+def sqsum(v: str) -> str:
+    return f"list_reduce(list_transform({v}, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)), lambda a, b: a + b)"
+
+
+def centroid_ctes(group: str) -> str:
+    return f"""dims AS (
+  SELECT {group} AS query_id, i, AVG(CAST(x AS DOUBLE)) AS m
+  FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+  GROUP BY 1, 2),
+cvec AS (SELECT CAST(query_id AS BIGINT) AS query_id, list(m ORDER BY i) AS v FROM dims GROUP BY query_id),
+qs AS (SELECT query_id, list_transform(v, lambda x: x / sqrt({sqsum('v')})) AS q,
+              CAST((query_id + 1) % 10 AS VARCHAR) AS filter_category FROM cvec)"""
+
+
+DIST = ("list_reduce(list_transform(list_zip(e.embedding, qs.q), "
+        "lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])), lambda a, b: a + b)")
+SCORED = f"""scored AS (
+  SELECT qs.query_id, qs.filter_category, e.vec_id, e.label, CAST(e.label AS VARCHAR) AS category, {DIST} AS dist
+  FROM embeddings e CROSS JOIN qs)"""
+
+
+def ranked(where: str = "", k: int = 5) -> str:
+    return f"""SELECT query_id, rank, vec_id, label, round(dist, 4) AS similarity_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM scored {where})
+WHERE rank <= {k}"""
+
+
+SQL["txn_sentences"] = with_(TXN_EV, RULES_CTE, RULE_MAP, RULE_CAT) + """SELECT r.statement_id, r.txn_id,
+  t.date || ' | ' || t.description || ' | ' || CASE WHEN t.amount < 0 THEN 'spent' ELSE 'received' END
+    || ' $' || printf('%.2f', abs(t.amount)) || ' | category: ' || r.category AS content
+FROM rcat r JOIN txn_ev t ON t.txn_id = r.txn_id"""
+SQL["txn_metadata"] = with_(TXN_EV, positioned("txn_ev"), BATCHED, REPLY_ROWS, REPLY_MAP) + """SELECT t.statement_id, t.txn_id,
+  t.date, t.description, t.amount, t.type, COALESCE(m.category, 'Other') AS category,
+  COALESCE(m.confidence, 0.0) AS confidence, t.balance
+FROM pos_txn t LEFT JOIN rpm m ON m.statement_id = t.statement_id AND m.description = t.description"""
+SQL["embed_normalize"] = f"""SELECT vec_id, sqrt({sqsum('embedding')}) AS norm,
+  CAST(embedding[1] AS DOUBLE) / sqrt({sqsum('embedding')}) AS e_first FROM embeddings"""
+SQL["knn_l2"] = with_(centroid_ctes("0"), SCORED) + """SELECT rank, vec_id, label, round(dist, 4) AS similarity_score FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY dist, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+SQL["knn_batch"] = with_(centroid_ctes("label"), SCORED) + ranked()
+SQL["knn_postfilter"] = with_(centroid_ctes("label"), SCORED) + """SELECT query_id, rank, vec_id, label, similarity_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY r2k) AS rank FROM (
+    SELECT *, round(dist, 4) AS similarity_score,
+           ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r2k FROM scored)
+  WHERE r2k <= 10 AND category = filter_category)
+WHERE rank <= 5"""
+SQL["knn_prefilter"] = with_(centroid_ctes("label"), SCORED) + ranked("WHERE category = filter_category")
