@@ -536,3 +536,77 @@ def _knn_prefilter(spark, sf):
 def _knn_lsh(spark, sf):
     q = _global_question(spark, sf).first()["embedding"]  # one 64-d vector
     return V.knn_lsh(_corpus(spark, sf), list(q)).select("vec_id", "label", "l2")
+
+
+# --- R1-R4 report, H1-H5 threads ------------------------------------------------------
+from ledgerlens.operators import report as R  # noqa: E402
+from ledgerlens.operators import threads as H  # noqa: E402
+
+QUESTION = "Where did most of my money go this month?"
+
+
+@register("report_summary")
+def _report_summary(spark, sf):
+    return R.summary_text(A.summary_record(X.txn_li(spark, sf)))
+
+
+@register("report_anomalies")
+def _report_anomalies(spark, sf):
+    t = X.txn_li(spark, sf)
+    return R.anomaly_text(t, W.anomalies(t))
+
+
+def _vector_hits(spark, sf):
+    hits = V.knn_batch(_corpus(spark, sf), _questions(spark, sf))
+    return hits.select(
+        "query_id", "rank", "similarity_score", F.lit("").alias("date"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("description"),
+        F.lit(0.0).alias("amount"), F.col("category"),
+    )
+
+
+@register("report_relevant")
+def _report_relevant(spark, sf):
+    return R.relevant_text(_questions(spark, sf), _vector_hits(spark, sf), key="query_id")
+
+
+@register("advisor_context")
+def _advisor_context(spark, sf):
+    t = X.txn_li(spark, sf)
+    summary = R.summary_text(A.summary_record(t))
+    anomaly = R.anomaly_text(t, W.anomalies(t))
+    none = t.select("statement_id").limit(0).withColumn("relevant_text", F.lit(None).cast("string"))
+    return R.advisor_context(summary, anomaly, none, F.lit(QUESTION))
+
+
+def _conversations(spark, sf):
+    return read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+
+
+@register("history_append")
+def _history_append(spark, sf):
+    c = _conversations(spark, sf)
+    return H.history_append(c.filter(F.col("turn") < 2), c.filter(F.col("turn") >= 2))
+
+
+@register("latest_turn")
+def _latest_turn(spark, sf):
+    return H.latest_turn(_conversations(spark, sf))
+
+
+@register("qa_pairs")
+def _qa_pairs(spark, sf):
+    return H.qa_pairs(_conversations(spark, sf))
+
+
+@register("followup_guard")
+def _followup_guard(spark, sf):
+    return H.followup_guard(_conversations(spark, sf), X.txn_li(spark, sf))
+
+
+@register("stage_status")
+def _stage_status(spark, sf):
+    rj = X.raw_json(spark, sf)
+    extracted = E.statement_errors(rj, _kept_txns(spark, sf))
+    return H.stage_status(rj, [("extracted", extracted), ("categorized", extracted.select("statement_id", F.lit(None).cast("string").alias("error"))),
+                               ("analyzed", extracted.select("statement_id", F.lit(None).cast("string").alias("error")))])

@@ -537,3 +537,76 @@ SQL["knn_postfilter"] = with_(centroid_ctes("label"), SCORED) + """SELECT query_
   WHERE r2k <= 10 AND category = filter_category)
 WHERE rank <= 5"""
 SQL["knn_prefilter"] = with_(centroid_ctes("label"), SCORED) + ranked("WHERE category = filter_category")
+
+
+# --- report text, conversations, run status ---------------------------------------
+
+def money(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', {x})"
+
+
+SUMMARY_TEXT = f"""cat_t AS (
+  SELECT statement_id, string_agg('  • ' || COALESCE(category, 'None') || ': ' || {money('total')} || ' ('
+           || CAST(count AS VARCHAR) || ' transactions)', chr(10) ORDER BY rank) AS t
+  FROM cat_r GROUP BY statement_id),
+mon_t AS (
+  SELECT statement_id, string_agg('  • ' || COALESCE(month, 'None') || ': Income ' || {money('income')}
+           || ' | Expenses ' || {money('expenses')}, chr(10) ORDER BY month ASC NULLS FIRST) AS t
+  FROM mon GROUP BY statement_id),
+sum_t AS (
+  SELECT fs.statement_id,
+    '- Total Income:      ' || {money('total_income')} || chr(10) ||
+    '- Total Expenses:    ' || {money('total_expenses')} || chr(10) ||
+    '- Net Cashflow:      ' || {money('net_cashflow')} || chr(10) ||
+    '- Transaction Count: ' || CAST(transaction_count AS VARCHAR) || '.0' || chr(10) ||
+    '- Avg Expense:       ' || {money('avg_expense')} || chr(10) ||
+    '- Largest Expense:   ' || {money('largest_expense')} || chr(10) || chr(10) ||
+    'Spending by Category:' || COALESCE(chr(10) || c.t, '') || chr(10) || chr(10) ||
+    'Monthly Breakdown:' || COALESCE(chr(10) || m.t, '') AS summary_text
+  FROM fs LEFT JOIN cat_t c ON c.statement_id = fs.statement_id LEFT JOIN mon_t m ON m.statement_id = fs.statement_id)"""
+
+ANOM_TEXT = f"""anom_t AS (
+  SELECT statement_id, string_agg(line, chr(10) ORDER BY mr, g, date, txn_id, line) AS t FROM (
+    SELECT statement_id, txn_id, date, CASE WHEN method = 'z_score' THEN 0 ELSE 1 END AS mr,
+           CASE WHEN method = 'z_score' THEN category ELSE description END AS g,
+           '  • [' || upper(method) || '] ' || date || ' | ' || description || ' | ' || {money('abs(amount)')}
+             || ' — ' || reason AS line
+    FROM anom) GROUP BY statement_id),
+anom_s AS (
+  SELECT s.statement_id, COALESCE(a.t, 'No anomalies detected.') AS anomaly_text
+  FROM (SELECT DISTINCT statement_id FROM txn_li) s LEFT JOIN anom_t a ON a.statement_id = s.statement_id)"""
+
+SQL["report_summary"] = with_(
+    TXN_LI, f"fs AS ({metrics_sql('txn_li')})", by_category_cte("txn_li"), by_month_cte("txn_li"), SUMMARY_TEXT
+) + "SELECT * FROM sum_t"
+SQL["report_anomalies"] = with_(TXN_LI, anomalies_ctes("txn_li"), ANOM_TEXT) + "SELECT * FROM anom_s"
+SQL["report_relevant"] = with_(centroid_ctes("label"), SCORED) + f"""SELECT query_id,
+  string_agg('  •  | vector ' || CAST(vec_id AS VARCHAR) || ' | $0.00 | ' || CAST(label AS VARCHAR)
+             || ' (score: ' || printf('%.2f', similarity_score) || ')', chr(10) ORDER BY rank) AS relevant_text
+FROM ({ranked()}) GROUP BY query_id"""
+SQL["advisor_context"] = with_(
+    TXN_LI, f"fs AS ({metrics_sql('txn_li')})", by_category_cte("txn_li"), by_month_cte("txn_li"), SUMMARY_TEXT,
+    anomalies_ctes("txn_li"), ANOM_TEXT,
+) + """SELECT s.statement_id,
+  'FINANCIAL SUMMARY:' || chr(10) || s.summary_text || chr(10) || chr(10) || 'ANOMALIES DETECTED:' || chr(10)
+  || a.anomaly_text || chr(10) || chr(10) || 'RELEVANT TRANSACTIONS (semantic search results):' || chr(10)
+  || 'No specific transactions retrieved.' || chr(10) || chr(10) || 'USER QUESTION:' || chr(10)
+  || 'Where did most of my money go this month?' AS context
+FROM sum_t s LEFT JOIN anom_s a ON a.statement_id = s.statement_id"""
+
+SQL["history_append"] = """SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1
+  + MIN(turn) OVER (PARTITION BY conv_id) AS turn, role, text FROM conversations"""
+SQL["latest_turn"] = """SELECT conv_id, MAX(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text
+FROM conversations GROUP BY conv_id"""
+SQL["qa_pairs"] = """SELECT conv_id, prev_turn AS user_turn, prev_text AS question, text AS answer FROM (
+  SELECT *, LAG(turn) OVER w AS prev_turn, LAG(role) OVER w AS prev_role, LAG(text) OVER w AS prev_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'assistant' AND prev_role = 'user'"""
+SQL["followup_guard"] = with_(TXN_LI) + """SELECT c.conv_id, s.statement_id IS NOT NULL AS has_statement,
+  CASE WHEN s.statement_id IS NULL THEN 'No statement loaded yet. Please upload a PDF first.' END AS message
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (SELECT DISTINCT statement_id FROM txn_li) s ON s.statement_id = c.conv_id"""
+SQL["stage_status"] = with_(*REPLIES) + """SELECT statement_id,
+  CASE WHEN COUNT(*) FILTER (WHERE NOT lost) = 0 THEN 'error' ELSE 'analyzed' END AS stage,
+  CASE WHEN COUNT(*) FILTER (WHERE NOT lost) = 0 THEN 'No transactions could be extracted from any chunk.' END AS error
+FROM rj_mark GROUP BY statement_id"""
