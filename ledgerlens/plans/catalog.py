@@ -610,3 +610,22 @@ def _stage_status(spark, sf):
     extracted = E.statement_errors(rj, _kept_txns(spark, sf))
     return H.stage_status(rj, [("extracted", extracted), ("categorized", extracted.select("statement_id", F.lit(None).cast("string").alias("error"))),
                                ("analyzed", extracted.select("statement_id", F.lit(None).cast("string").alias("error")))])
+
+
+# --- T1-T2 streaming ---------------------------------------------------------------------
+from ledgerlens.streaming import duplicates as T2  # noqa: E402
+from ledgerlens.streaming import ingest as T1  # noqa: E402
+
+
+@register("stream_daily_cashflow")
+def _stream_daily_cashflow(spark, sf):
+    return T1.run_daily_cashflow(spark, lambda s: X.txn_ev_frame(X.stream_table(s, sf, "events")))
+
+
+@register("stream_duplicates")
+def _stream_duplicates(spark, sf):
+    def source(s):
+        li = X.stream_table(s, sf, "lineitem")
+        return X.txn_li_frame(li, read_table(s, sf, "part", "p_partkey", "p_brand"))
+
+    return T2.run_duplicate_stream(spark, source)

@@ -20,7 +20,21 @@ ITEMS_PER_REPLY = 20
 
 def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event; ``user_id`` is the statement."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return txn_ev_frame(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a streaming source (schema taken from the files)."""
+    from ledgerlens.sources.tables import table_path
+
+    path = table_path(sf_dir, name)
+    # A file source takes a folder or a glob; the class ``[t]`` makes the
+    # file name a glob that matches just this file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+
+
+def txn_ev_frame(ev: DataFrame) -> DataFrame:
+    """``txn_ev`` from an events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     amount = F.when(F.col("event_type") == "signup", F.col("value")).otherwise(-F.col("value"))
     return ev.select(
@@ -43,7 +57,11 @@ def txn_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate",
     )
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    return txn_li_frame(li, read_table(spark, sf_dir, "part", "p_partkey", "p_brand"))
+
+
+def txn_li_frame(li: DataFrame, part: DataFrame) -> DataFrame:
+    """``txn_li`` from a lineitem frame (batch or streaming) and the part table."""
     amount = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
     return li.join(part, li.l_partkey == part.p_partkey, "inner").select(
         (F.col("l_partkey") % 50).alias("statement_id"),

@@ -610,3 +610,13 @@ SQL["stage_status"] = with_(*REPLIES) + """SELECT statement_id,
   CASE WHEN COUNT(*) FILTER (WHERE NOT lost) = 0 THEN 'error' ELSE 'analyzed' END AS stage,
   CASE WHEN COUNT(*) FILTER (WHERE NOT lost) = 0 THEN 'No transactions could be extracted from any chunk.' END AS error
 FROM rj_mark GROUP BY statement_id"""
+
+
+# --- streaming (checked against the batch statement of the same result) ------------
+SQL["stream_daily_cashflow"] = with_(TXN_EV) + f"""SELECT statement_id, strftime(ts, '%Y-%m-%d') AS day,
+  {dollars(f"SUM(CASE WHEN amount > 0 THEN {cents()} ELSE 0 END)")} AS income,
+  {dollars(f"SUM(CASE WHEN amount < 0 THEN -{cents()} ELSE 0 END)")} AS expenses,
+  COUNT(*) AS n_txns
+FROM (SELECT DISTINCT ON (statement_id, date, description, amount) * FROM txn_ev ORDER BY statement_id, date, description, amount, txn_id)
+GROUP BY statement_id, strftime(ts, '%Y-%m-%d')"""
+SQL["stream_duplicates"] = with_(TXN_LI, duplicate_ctes("txn_li")) + "SELECT * FROM dup"
