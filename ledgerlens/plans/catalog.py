@@ -152,10 +152,6 @@ def _anomaly_view(spark, sf):
     return U.anomaly_view(W.anomalies(X.txn_li(spark, sf)))
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return A.financial_summary(X.txn_ev(spark, sf))
-
-
 # --- P1-P13 redaction ----------------------------------------------------------
 from ledgerlens.operators import redact as P  # noqa: E402
 from ledgerlens.sources.tables import read_table  # noqa: E402
@@ -629,3 +625,22 @@ def _stream_duplicates(spark, sf):
         return X.txn_li_frame(li, read_table(s, sf, "part", "p_partkey", "p_brand"))
 
     return T2.run_duplicate_stream(spark, source)
+
+
+# --- the whole chain ----------------------------------------------------------------------
+from ledgerlens.plans import statement as PLAN  # noqa: E402
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement pages -> ... -> per-statement financial summary."""
+    return PLAN.analyse(X.stmt_pages(spark, sf), X.category_rules(spark)).summary
+
+
+@register("statement_summary")
+def _statement_summary(spark, sf):
+    return flagship(spark, sf)
+
+
+@register("statement_status")
+def _statement_status(spark, sf):
+    return PLAN.analyse(X.stmt_pages(spark, sf), X.category_rules(spark)).status

@@ -620,3 +620,9 @@ SQL["stream_daily_cashflow"] = with_(TXN_EV) + f"""SELECT statement_id, strftime
 FROM (SELECT DISTINCT ON (statement_id, date, description, amount) * FROM txn_ev ORDER BY statement_id, date, description, amount, txn_id)
 GROUP BY statement_id, strftime(ts, '%Y-%m-%d')"""
 SQL["stream_duplicates"] = with_(TXN_LI, duplicate_ctes("txn_li")) + "SELECT * FROM dup"
+
+
+# --- whole chain: the text round trip gives back txn_ev, so the oracle reads events --------
+SQL["statement_summary"] = SQL["financial_summary"]
+SQL["statement_status"] = with_(TXN_EV) + """SELECT statement_id, COUNT(*) AS n_txns, CAST(NULL AS VARCHAR) AS error
+FROM txn_ev GROUP BY statement_id"""
