@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import UNICODE, match_starts, regex_parts, stitch
+from ledgerlens.functions.text import UNICODE, match_starts, stitch
 
 # --- fixed values (must equal the reference's) ---------------------------
 # Regex rules in pass order: label, pattern, flags ("i" = ignore case).
@@ -79,6 +79,64 @@ def _findings(label: str, parts: Column, ms: Column, pass_no: int, score: float
     )
 
 
+# A rule whose every possible match is consumed by an earlier rule.  Proof
+# for ROUTING_NUMBER after ACCOUNT_NUMBER: a ``\b\d{9}\b`` match is a whole
+# digit run of length 9 with word boundaries on both sides, which
+# ``\b\d{8,17}\b`` matches first and turns into a token; inside a token
+# every digit run follows ``_`` or a letter (word characters), so no
+# boundary precedes it.  The rule stays in the list (same pass numbers,
+# same output) but its scans are skipped.
+SHADOWED_BY = {"ROUTING_NUMBER": "ACCOUNT_NUMBER"}
+
+
+def _empty_findings() -> Column:
+    return F.array().cast(f"array<{FINDING}>")
+
+
+def _let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it any number of times inside ``fn`` (a
+    one-element ``transform``).  Each pass reads the previous text several
+    times; without the binding, projection collapsing or a pushed-down
+    filter would copy the previous passes into every use, and the plan
+    would grow exponentially with the number of rules."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _rule_findings(t: Column, label: str, jp: str, pass_no: int, score: float | None, rewrite: bool):
+    """Matches of one rule on text ``t`` (one scan); the split and the
+    rewrite only when there is a match.  Returns a function of the running
+    state struct(text, findings)."""
+
+    def on_matches(ms: Column, s: Column) -> Column:
+        def on_parts(parts: Column) -> Column:
+            text = stitch(parts, F.transform(ms, _token_fn(label))) if rewrite else t
+            return F.struct(
+                text.alias("text"),
+                F.concat(s["findings"], _findings(label, parts, ms, pass_no, score)).alias("findings"),
+            )
+
+        return F.when(F.size(ms) > 0, _let(F.split(t, jp, -1), on_parts)).otherwise(s)
+
+    return on_matches
+
+
+def _apply_rule(state: Column, label: str, jp: str, pass_no: int, score: float | None = None,
+                rewrite: bool = True, text: Column | None = None) -> Column:
+    """state struct(text, findings) -> state after one rule.  ``text``
+    (default: the state's text) is the text the rule scans."""
+
+    def on_state(s: Column) -> Column:
+        t = s["text"] if text is None else text
+        step = _rule_findings(t, label, jp, pass_no, score, rewrite)
+        return _let(F.regexp_extract_all(t, F.lit(jp), 0), lambda ms: step(ms, s))
+
+    return _let(state, on_state)
+
+
+def _start_state(text: Column) -> Column:
+    return F.struct(text.alias("text"), _empty_findings().alias("findings"))
+
+
 def regex_redact(
     df: DataFrame,
     text_col: str = "text",
@@ -91,24 +149,14 @@ def regex_redact(
     findings of every pass).  ``upto`` stops after that many rules."""
     base = df.columns
     rules = list(rules)[: upto or len(rules)]
-    cur = F.col(text_col)
-    found: list[str] = []
+    state = _start_state(F.col(text_col))
+    done: set[str] = set()
     for i, (label, pattern, flags) in enumerate(rules, 1):
-        jp = java_pattern(pattern, flags)
-        parts, ms = regex_parts(cur, jp)
-        # Materialise pieces and matches once; both the findings and the
-        # rewritten text read them.
-        df = df.select("*", parts.alias(f"__p{i}"), ms.alias(f"__m{i}"))
-        p, m = F.col(f"__p{i}"), F.col(f"__m{i}")
-        df = df.select(
-            "*",
-            F.coalesce(_findings(label, p, m, i, None), F.array().cast(f"array<{FINDING}>")).alias(f"__f{i}"),
-            F.when(cur.isNull(), F.lit(None)).otherwise(stitch(p, F.transform(m, _token_fn(label)))).alias(f"__t{i}"),
-        ).drop(f"__p{i}", f"__m{i}")
-        found.append(f"__f{i}")
-        cur = F.col(f"__t{i}")
-    allf = F.concat(*[F.col(f) for f in found]) if found else F.array().cast(f"array<{FINDING}>")
-    return df.select(*base, cur.alias(out), allf.alias(findings))
+        if SHADOWED_BY.get(label) not in done:
+            state = _apply_rule(state, label, java_pattern(pattern, flags), i)
+        done.add(label)
+    tmp = df.select("*", state.alias("__rx"))
+    return tmp.select(*base, F.col("__rx.text").alias(out), F.col("__rx.findings").alias(findings))
 
 
 def pass_hits(findings: Column, pass_no: int) -> Column:
@@ -124,22 +172,16 @@ def entity_findings(
 ) -> DataFrame:
     """Every recogniser hit on the (regex-redacted) text, with
     ``round(score, 3)`` and its token; spans are kept as well."""
-    text = F.col(text_col)
     base = df.columns
-    names = []
-    for k, (etype, pattern, score) in enumerate(recognizers):
-        jp = java_pattern(pattern)
-        parts, ms = regex_parts(text, jp)
-        df = df.select("*", parts.alias(f"__ep{k}"), ms.alias(f"__em{k}"))
-        df = df.select(
-            "*",
-            F.coalesce(
-                _findings(etype, F.col(f"__ep{k}"), F.col(f"__em{k}"), first_pass + k, round(score, 3)),
-                F.array().cast(f"array<{FINDING}>"),
-            ).alias(f"__ef{k}"),
-        ).drop(f"__ep{k}", f"__em{k}")
-        names.append(f"__ef{k}")
-    return df.select(*base, F.concat(*[F.col(n) for n in names]).alias(out))
+
+    def on_text(t: Column) -> Column:
+        state = _start_state(t)
+        for k, (etype, pattern, score) in enumerate(recognizers):
+            state = _apply_rule(state, etype, java_pattern(pattern), first_pass + k, round(score, 3),
+                                rewrite=False, text=t)
+        return state["findings"]
+
+    return df.select(*base, _let(F.col(text_col), on_text).alias(out))
 
 
 def entity_redact(

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,40 +33,54 @@ DAY = pd.Timedelta(days=1)
 
 
 def _detector(max_days: int):
+    day_ns = np.int64(86_400_000_000_000)
+
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
+        parts = list(pdfs)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        n = len(pdf)
+        if n == 0:
             return
-        pdf = pdf.sort_values(["event_time", "txn_id", "amount"], kind="mergesort").reset_index(drop=True)
-        prev_ts = pdf["event_time"].shift(1)
-        prev_amount = pdf["amount"].shift(1)
+        # Plain arrays: the per-key cost is what bounds this operator.
+        ts = pdf["event_time"].to_numpy(dtype="datetime64[ns]").astype(np.int64)
+        txn = pdf["txn_id"].to_numpy(dtype=np.int64)
+        amt = pdf["amount"].to_numpy(dtype=np.float64)
+        order = np.lexsort((amt, txn, ts))
+        ts, txn, amt = ts[order], txn[order], amt[order]
+        prev_ts = np.empty(n, dtype=np.int64)
+        prev_amt = np.empty(n, dtype=np.float64)
+        has_prev = np.ones(n, dtype=bool)
+        prev_ts[1:], prev_amt[1:] = ts[:-1], amt[:-1]
         if state.exists:
             last_ts, last_amount, _ = state.get
-            prev_ts.iloc[0] = pd.Timestamp(last_ts)
-            prev_amount.iloc[0] = last_amount
-        days = (pdf["event_time"] - prev_ts) // DAY
-        hit = prev_ts.notna() & (days.abs() <= max_days) & (pdf["amount"] == prev_amount)
-        out = pdf[hit].copy()
-        if not out.empty:
-            d = days[hit].abs().astype("int64").astype(str)
+            prev_ts[0] = pd.Timestamp(last_ts).value
+            prev_amt[0] = last_amount
+        else:
+            has_prev[0] = False
+            prev_ts[0], prev_amt[0] = ts[0], np.nan
+        days = np.abs((ts - prev_ts) // day_ns)
+        hit = has_prev & (days <= max_days) & (amt == prev_amt)
+        if hit.any():
+            rows = pdf.iloc[order[hit]]
+            when = pd.to_datetime(ts[hit])
             yield pd.DataFrame({
-                "statement_id": out["statement_id"].astype("int64"),
-                "txn_id": out["txn_id"].astype("int64"),
-                "date": out["event_time"].dt.strftime("%Y-%m-%d"),
-                "description": out["description"],
-                "amount": out["amount"].astype("float64"),
-                "category": out["category"].fillna("Other"),
-                "reason": "Possible duplicate — same amount charged " + d + " day(s) apart",
+                "statement_id": rows["statement_id"].to_numpy(dtype=np.int64),
+                "txn_id": txn[hit],
+                "date": when.strftime("%Y-%m-%d"),
+                "description": rows["description"].to_numpy(),
+                "amount": amt[hit],
+                "category": rows["category"].fillna("Other").to_numpy(),
+                "reason": ["Possible duplicate — same amount charged " + str(int(d)) + " day(s) apart" for d in days[hit]],
                 "method": "duplicate",
             })
-        last = pdf.iloc[-1]
-        state.update((last["event_time"].to_pydatetime(), float(last["amount"]), int(last["txn_id"])))
+        last_ns = int(ts[-1])
+        state.update((pd.Timestamp(last_ns).to_pydatetime(), float(amt[-1]), int(txn[-1])))
         # Expire by event time: nothing later than max_days after the last
         # expense can pair with it.
-        state.setTimeoutTimestamp(int((last["event_time"] + pd.Timedelta(days=max_days + 1)).timestamp() * 1000))
+        state.setTimeoutTimestamp((last_ns + (max_days + 1) * int(day_ns)) // 1_000_000)
 
     return step
 
