@@ -90,10 +90,12 @@ def relevant_text(keys: DataFrame, hits: DataFrame, key: str = KEY) -> DataFrame
     )
 
 
-def advisor_context(summary: DataFrame, anomalies_: DataFrame, relevant: DataFrame, question: Column) -> DataFrame:
+def advisor_context(summary: DataFrame, anomalies_: DataFrame, relevant: DataFrame | None, question: Column) -> DataFrame:
     """The advisor prompt body with its fixed headings (no history:
-    the reference never puts it in the prompt)."""
-    j = summary.join(anomalies_, KEY, "left").join(relevant, KEY, "left")
+    the reference never puts it in the prompt).  ``relevant`` may be None
+    (no search run): the fixed no-result line is used."""
+    j = summary.join(anomalies_, KEY, "left")
+    j = j.join(relevant, KEY, "left") if relevant is not None else j.withColumn("relevant_text", F.lit(None).cast("string"))
     text = F.concat(
         F.lit("FINANCIAL SUMMARY:\n"), F.col("summary_text"),
         F.lit("\n\nANOMALIES DETECTED:\n"), F.coalesce("anomaly_text", F.lit(NO_ANOMALIES)),

@@ -571,8 +571,7 @@ def _advisor_context(spark, sf):
     t = X.txn_li(spark, sf)
     summary = R.summary_text(A.summary_record(t))
     anomaly = R.anomaly_text(t, W.anomalies(t))
-    none = t.select("statement_id").limit(0).withColumn("relevant_text", F.lit(None).cast("string"))
-    return R.advisor_context(summary, anomaly, none, F.lit(QUESTION))
+    return R.advisor_context(summary, anomaly, None, F.lit(QUESTION))
 
 
 def _conversations(spark, sf):

@@ -80,7 +80,4 @@ def advisor_contexts(results: StatementResults, question: str) -> DataFrame:
     """R4 for every statement of the run (no search hits attached)."""
     summary = R.summary_text(A.summary_record(results.transactions))
     anomaly = R.anomaly_text(results.transactions, results.anomalies)
-    none = results.transactions.select("statement_id").limit(0).withColumn(
-        "relevant_text", F.lit(None).cast("string")
-    )
-    return R.advisor_context(summary, anomaly, none, F.lit(question))
+    return R.advisor_context(summary, anomaly, None, F.lit(question))
