@@ -154,13 +154,13 @@ def _anomaly_view(spark, sf):
 
 # --- P1-P13 redaction ----------------------------------------------------------
 from ledgerlens.operators import redact as P  # noqa: E402
-from ledgerlens.sources.tables import read_table  # noqa: E402
+from ledgerlens.sources.tables import read_table, spread  # noqa: E402
 
 _RULE_KEYS = ["redact_account", "redact_routing", "redact_ssn", "redact_phone", "redact_email"]
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents", "doc_id", "text")
+    return spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
 
 
 def _pass_query(pass_no: int):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution settings every job here is planned with.  AQE
@@ -20,6 +21,10 @@ _AQE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Coalescing keeps parallelism first; a small shuffle of long texts
+    # (statements after page assembly) still gets several tasks for its
+    # CPU-heavy per-row work.  Large shuffles are unaffected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
@@ -78,7 +83,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     A reliable checkpoint survives the loss of the executors that
-    computed it, unlike cached blocks or local checkpoints.
+    computed it, unlike cached blocks or local checkpoints.  The frame is
+    persisted first: writing an RDD checkpoint is a second job over the
+    same partitions, which would otherwise compute the whole lineage
+    again.  The cached blocks are dropped once the files are written.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
