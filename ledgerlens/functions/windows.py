@@ -13,6 +13,14 @@ two levels:
    earlier buckets, joined back on ``(key, bucket)``.
 
 Both levels are exact: bucket totals are sums of integers/decimals.
+
+The rows are shuffled once, by (keys, bucket), for the first-level
+window.  The bucket table comes from a partial (map-side) aggregation, so
+only one row per bucket and task crosses the network for it, and the join
+back is a plain equi-join on non-null stand-ins of the keys: the big side
+keeps the window's hash partitioning and only the small bucket table
+moves.  (A null-safe join would be rewritten to other key expressions and
+shuffle every row a second time.)
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BUCKET = "__bucket"
 
@@ -32,10 +41,24 @@ def day_bucket(ts: Column | str) -> Column:
     return F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
 
 
-def _join_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = [left[k].eqNullSafe(right[k]) for k in [*keys, _BUCKET]]
-    rcols = [c for c in right.columns if c not in (*keys, _BUCKET)]
-    return left.join(right, cond, "inner").select(left["*"], *[right[c] for c in rcols])
+def _stand_in(c: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(c, F.lit(""))
+    if isinstance(dtype, T.NumericType):
+        return F.coalesce(c, F.lit(0).cast(dtype))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _with_groups(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """Add the bucket and, per key, a non-null value + null flag that are
+    equal exactly when the keys are equal null-safely.  Returns the frame,
+    the key stand-ins, and the stand-ins plus the bucket."""
+    extra, names = [], []
+    for i, k in enumerate(keys):
+        dtype = df.schema[k].dataType
+        extra += [_stand_in(F.col(k), dtype).alias(f"__gk{i}"), F.col(k).isNull().alias(f"__gn{i}")]
+        names += [f"__gk{i}", f"__gn{i}"]
+    return df.select("*", *extra, bucket.alias(_BUCKET)), names, [*names, _BUCKET]
 
 
 def running_totals(
@@ -50,32 +73,18 @@ def running_totals(
     ``bucket`` must be monotone in ``order`` (all rows of an earlier bucket
     sort before all rows of a later one) and never null.
     """
-    tmp = df.withColumn(_BUCKET, bucket)
-    bucket_totals = tmp.groupBy(*keys, _BUCKET).agg(
+    tmp, gkeys, groups = _with_groups(df, keys, bucket)
+    bucket_totals = tmp.groupBy(*groups).agg(
         *[F.sum(expr).alias(f"__t_{name}") for name, expr in values.items()]
     )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(_BUCKET))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy(*gkeys).orderBy(F.col(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucket_totals.select(
-        *keys,
-        _BUCKET,
-        *[
-            F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}")
-            for name in values
-        ],
-    )
-    inside = (
-        Window.partitionBy(*keys, _BUCKET)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *groups,
+        *[F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in values],
     )
-    local = tmp.select(
-        "*", *[F.sum(expr).over(inside).alias(f"__l_{name}") for name, expr in values.items()]
-    )
-    joined = _join_back(local, offsets, keys)
+    inside = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tmp.select("*", *[F.sum(expr).over(inside).alias(f"__l_{name}") for name, expr in values.items()])
+    joined = local.join(offsets, groups, "inner")
     return joined.select(
         *df.columns,
         *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in values],
@@ -93,23 +102,22 @@ def previous_row(
     """Add ``prefix + c`` = value of ``c`` on the previous row in ``order``
     within ``keys`` (null on the first row), i.e. ``lag(c)`` without
     putting a whole key into one task.  Same bucket rule as above."""
-    tmp = df.withColumn(_BUCKET, bucket)
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    tmp, gkeys, groups = _with_groups(df, keys, bucket)
+    inside = Window.partitionBy(*groups).orderBy(*order)
     local = tmp.select(
         "*",
         F.lag(F.lit(True)).over(inside).isNull().alias("__first"),
         *[F.lag(c).over(inside).alias(f"__p_{c}") for c in columns],
     )
     order_struct = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    last = tmp.groupBy(*keys, _BUCKET).agg(
+    last = tmp.groupBy(*groups).agg(
         F.max_by(F.struct(*[F.col(c) for c in columns]), order_struct).alias("__last")
     )
     prev_bucket = last.select(
-        *keys,
-        _BUCKET,
-        F.lag("__last").over(Window.partitionBy(*keys).orderBy(F.col(_BUCKET))).alias("__pb"),
+        *groups,
+        F.lag("__last").over(Window.partitionBy(*gkeys).orderBy(F.col(_BUCKET))).alias("__pb"),
     )
-    joined = _join_back(local, prev_bucket, keys)
+    joined = local.join(prev_bucket, groups, "inner")
     return joined.select(
         *df.columns,
         *[
@@ -117,4 +125,3 @@ def previous_row(
             for c in columns
         ],
     )
-
