@@ -7,10 +7,13 @@ report text (R).
 
 Shuffles: page assembly groups pages by statement; dedup and every
 aggregate group by keys that start with ``statement_id``, each with a
-map-side partial aggregate first.  The categorised transactions are cut
-from their lineage with a reliable checkpoint in the session's shared
-checkpoint folder: every downstream result reads those files, and a lost
-executor costs a re-read, not a re-run of redaction and parsing.
+map-side partial aggregate first.  The parsed transactions are cut from
+their lineage with a reliable checkpoint in the session's shared
+checkpoint folder, before categorisation: the categoriser reads the
+transactions twice (distinct descriptions for the small category map,
+then the join back), and every downstream result reads them again, so
+all of these read the checkpoint files instead of re-running redaction
+and parsing; a lost executor costs a re-read, not a re-run.
 Transactions are *not* repartitioned by statement alone: one statement
 holding a third of the rows would become one task.
 """
@@ -59,13 +62,13 @@ def extract_transactions(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def analyse(pages: DataFrame, rules: DataFrame, checkpoint: bool = True) -> StatementResults:
-    """Run the chain; ``checkpoint`` materialises the categorised
-    transactions once (eager) before the fan-out."""
+    """Run the chain; ``checkpoint`` materialises the parsed transactions
+    once (eager) before categorisation and the fan-out."""
     txns, findings = extract_transactions(pages)
     typed = L.typed_load(txns, view=None)
-    categorised = C.categorize_rules(typed, rules)
     if checkpoint:
-        categorised = cut_lineage(categorised)
+        typed = cut_lineage(typed)
+    categorised = C.categorize_rules(typed, rules)
     status = E.statement_errors(pages, categorised)
     return StatementResults(
         transactions=categorised,
