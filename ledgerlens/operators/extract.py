@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import greedy_chunks, py_strip
@@ -95,13 +95,14 @@ def normalize(records: DataFrame) -> DataFrame:
 
 def isolate_failures(norm: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split into (kept, rejects).  Per chunk, records after the first
-    bad one are lost too.  The first bad index per chunk is an aggregate
-    (one row per chunk) joined back, not a window over the chunk."""
-    first_bad = norm.filter(F.col("reject_reason").isNotNull()).groupBy(*keys).agg(
-        F.min(F.coalesce(F.col("item_idx"), F.lit(-1))).alias("first_bad")
-    )
-    marked = norm.join(first_bad, list(keys), "left")
-    lost = F.col("first_bad").isNotNull() & (F.coalesce(F.col("item_idx"), F.lit(-1)) >= F.col("first_bad"))
+    bad one are lost too.  The first bad index is a window minimum over the
+    chunk: a chunk is one reply, whose records were exploded from a single
+    row, so the group is bounded by one row's array; one pass over the
+    records, no self-join that would compute them twice."""
+    idx = F.coalesce(F.col("item_idx"), F.lit(-1))
+    first_bad = F.min(F.when(F.col("reject_reason").isNotNull(), idx)).over(Window.partitionBy(*keys))
+    marked = norm.withColumn("first_bad", first_bad)
+    lost = F.col("first_bad").isNotNull() & (idx >= F.col("first_bad"))
     kept = marked.filter(~lost).drop("first_bad", "reject_reason")
     rejects = marked.filter(lost).select(
         *keys,
