@@ -3,8 +3,11 @@
 The reference runs eight SQL scans for one statement; here the six
 scalar metrics are one conditional aggregation per ``statement_id`` (one
 scan, partial aggregation before the shuffle), and the two breakdowns are
-one aggregation each.  Money is summed as integer cents (exact, the same
-on any partitioning).
+one aggregation each.  The combined record (A10) is a single
+grouping-sets aggregation over (statement), (statement, category) and
+(statement, month): one scan, one partial aggregate, then one small
+aggregation per statement; no joins.  Money is summed as integer cents
+(exact, the same on any partitioning).
 """
 
 from __future__ import annotations
@@ -98,21 +101,53 @@ def summary_record(txns: DataFrame) -> DataFrame:
     """A10: one row per statement, the six metrics plus the two breakdowns as
     ordered ``array<struct>`` columns (category by rank, month ascending,
     null month first)."""
-    base = financial_summary(txns)
-    cats = spending_by_category(txns).groupBy(KEY).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", "category", "total", "count"))),
-            lambda s: F.struct(s["category"].alias("category"), s["total"].alias("total"), s["count"].alias("count")),
-        ).alias("spending_by_category")
+    amount = F.col("amount")
+    c = cents(amount)
+    with_month = txns.withColumn("month", _month(txns))
+    # grouping_id: 0 = (statement, category, month) never occurs; the
+    # levels used are 3 = statement, 1 = statement + category,
+    # 2 = statement + month (a bit is set for each column left out).
+    fine = with_month.groupingSets([[KEY], [KEY, "category"], [KEY, "month"]], KEY, "category", "month").agg(
+        F.grouping_id().alias("gid"),
+        F.sum(F.when(amount > 0, c)).alias("inc"),
+        F.sum(F.when(amount < 0, -c)).alias("exp"),
+        F.sum(c).alias("net"),
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(amount < 0, F.lit(1))).alias("n_exp"),
+        F.max(F.when(amount < 0, -c)).alias("max_exp"),
     )
-    months = monthly_breakdown(txns).groupBy(KEY).agg(
-        F.sort_array(F.collect_list(F.struct("month", "income", "expenses"))).alias("monthly_breakdown")
+    at = lambda level, col: F.when(F.col("gid") == level, col)
+    per_statement = fine.groupBy(KEY).agg(
+        F.max(at(3, F.col("inc"))).alias("_inc"),
+        F.max(at(3, F.col("exp"))).alias("_exp"),
+        F.max(at(3, F.col("net"))).alias("_net"),
+        F.max(at(3, F.col("n"))).alias("transaction_count"),
+        F.max(at(3, F.col("n_exp"))).alias("_n_exp"),
+        F.max(at(3, F.col("max_exp"))).alias("_max"),
+        # Categories with expenses, by total desc then category (nulls first).
+        F.sort_array(F.collect_list(F.when(
+            (F.col("gid") == 1) & (F.col("n_exp") > 0),
+            F.struct((-F.col("exp")).alias("k"), F.col("category"), dollars("exp").alias("total"), F.col("n_exp").alias("count")),
+        ))).alias("_cats"),
+        F.sort_array(F.collect_list(at(2, F.struct(
+            F.col("month"),
+            dollars(F.coalesce("inc", F.lit(0))).alias("income"),
+            dollars(F.coalesce("exp", F.lit(0))).alias("expenses"),
+        )))).alias("monthly_breakdown"),
     )
-    empty_cats = F.array().cast("array<struct<category:string,total:double,count:bigint>>")
-    return (
-        base.join(cats, KEY, "left")
-        .join(months, KEY, "left")
-        .withColumn("spending_by_category", F.coalesce("spending_by_category", empty_cats))
+    return per_statement.select(
+        KEY,
+        dollars(F.coalesce("_inc", F.lit(0))).alias("total_income"),
+        dollars(F.coalesce("_exp", F.lit(0))).alias("total_expenses"),
+        dollars(F.coalesce("_net", F.lit(0))).alias("net_cashflow"),
+        F.col("transaction_count"),
+        dollars(F.coalesce(avg_cents_half_up(F.col("_exp"), F.col("_n_exp")), F.lit(0))).alias("avg_expense"),
+        dollars(F.coalesce("_max", F.lit(0))).alias("largest_expense"),
+        F.transform(
+            "_cats",
+            lambda x: F.struct(x["category"].alias("category"), x["total"].alias("total"), x["count"].alias("count")),
+        ).alias("spending_by_category"),
+        "monthly_breakdown",
     )
 
 

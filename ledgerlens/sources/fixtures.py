@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import cents, dollars
 from ledgerlens.functions.windows import day_bucket, running_totals
-from ledgerlens.sources.tables import read_table
+from ledgerlens.sources.tables import read_table, spread
 
 OPENING_BALANCE_CENTS = 500000  # 5000.00, opening balance of the sample statement
 LINES_PER_PAGE = 40
@@ -57,7 +57,7 @@ def txn_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate",
     )
-    return txn_li_frame(li, read_table(spark, sf_dir, "part", "p_partkey", "p_brand"))
+    return txn_li_frame(spread(li, "l_orderkey"), read_table(spark, sf_dir, "part", "p_partkey", "p_brand"))
 
 
 def txn_li_frame(li: DataFrame, part: DataFrame) -> DataFrame:
