@@ -2,7 +2,10 @@
 
 Exact top-k is a scan of the corpus against a *bounded* set of query
 vectors: the query side is broadcast only after its row count is checked
-(``MAX_BROADCAST_QUERIES``); the corpus side is never collected.  For one
+(``MAX_BROADCAST_QUERIES``); the corpus side is never collected.  A
+larger query set is split into hash groups whose sizes are checked to be
+under the bound, and each group is one broadcast pass over the corpus
+(exact; never a shuffled Cartesian product of two large tables).  For one
 query, ``orderBy(dist).limit(k)`` becomes TakeOrderedAndProject (a top-k
 per partition, then a merge).  For many, ``row_number() <= k`` per query
 becomes WindowGroupLimit, which also cuts each partition to k rows per
@@ -83,16 +86,37 @@ def embed_tfidf(docs: DataFrame, text_col: str = "content", num_features: int =
     return out.withColumn("embedding", vector_to_array("_v", "float32")).drop("_w", "_tf", "_idf", "_v")
 
 
-def _checked_broadcast(queries: DataFrame) -> DataFrame:
+def _bounded_groups(queries: DataFrame, key: str | None) -> list[DataFrame]:
+    """The query table as broadcast parts of at most
+    ``MAX_BROADCAST_QUERIES`` rows each (sizes checked, not assumed)."""
     n = queries.count()
-    return F.broadcast(queries) if n <= MAX_BROADCAST_QUERIES else queries
+    if n <= MAX_BROADCAST_QUERIES or key is None:
+        if n > MAX_BROADCAST_QUERIES:
+            raise ValueError("a single query must be one row")
+        return [F.broadcast(queries)]
+    groups = 2 * -(-n // MAX_BROADCAST_QUERIES)
+    while True:
+        part = F.pmod(F.xxhash64(F.col(key)), F.lit(groups))
+        sizes = queries.groupBy(part.alias("g")).count().collect()  # one row per group
+        if max(r["count"] for r in sizes) <= MAX_BROADCAST_QUERIES:
+            return [F.broadcast(queries.filter(part == i)) for i in range(groups)]
+        groups *= 2
+
+
+def _pairs(corpus: DataFrame, queries: DataFrame, key: str | None, on: Column | None = None) -> DataFrame:
+    """Corpus rows against each bounded, broadcast part of the queries."""
+    out = None
+    for part in _bounded_groups(queries, key):
+        j = corpus.crossJoin(part) if on is None else corpus.join(part, on, "inner")
+        out = j if out is None else out.unionByName(j)
+    return out
 
 
 def knn(corpus: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
     """V5: the k nearest corpus rows to the single query vector
     (``query`` has one row with column ``q``); ties broken by id."""
-    q = _checked_broadcast(query.select(F.col("embedding").alias("q")))
-    scored = corpus.crossJoin(q).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
+    q = query.select(F.col("embedding").alias("q"))
+    scored = _pairs(corpus, q, None).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
     top = scored.orderBy(F.col("dist"), F.col(id_col)).limit(k)
     w = Window.orderBy(F.col("dist"), F.col(id_col))  # over k rows only
     return top.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn(
@@ -102,8 +126,8 @@ def knn(corpus: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "vec_
 
 def knn_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
     """V6: top k per query for a batch of queries (``query_id``, ``embedding``)."""
-    q = _checked_broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    scored = corpus.crossJoin(q).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    scored = _pairs(corpus, q, "query_id").withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
     w = Window.partitionBy("query_id").orderBy(F.col("dist"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     return ranked.withColumn("similarity_score", F.round("dist", 4))
@@ -124,8 +148,8 @@ def knn_postfilter(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, catego
 def knn_prefilter(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, category_col: str = "category",
                   id_col: str = "vec_id") -> DataFrame:
     """V8: filter on the category first, then top k: always k when k exist."""
-    q = _checked_broadcast(queries.select("query_id", F.col("embedding").alias("q"), "filter_category"))
-    scored = corpus.join(q, F.col(category_col) == F.col("filter_category"), "inner")
+    q = queries.select("query_id", F.col("embedding").alias("q"), "filter_category")
+    scored = _pairs(corpus, q, "query_id", F.col(category_col) == F.col("filter_category"))
     scored = scored.withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q", "filter_category")
     w = Window.partitionBy("query_id").orderBy(F.col("dist"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
