@@ -117,3 +117,31 @@ def test_anomaly_marking_by_description(spark):
     found = W.anomalies(t)
     marked = {r.txn_id: r.is_anomaly for r in W.mark_anomalies(t, found).collect()}
     assert marked == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_summary_record_edge_groups(spark):
+    """Null category is its own expense group; an income-only category is
+    not listed; equal totals rank by category; the null month sorts first."""
+    d = dt.datetime(2024, 2, 3)
+    rows = [
+        (1, 1, d, "A", -5.0, "b"),
+        (1, 2, d, "B", -5.0, "a"),
+        (1, 3, None, "C", -2.5, None),
+        (1, 4, d + dt.timedelta(days=40), "D", 100.0, "pay"),
+        (1, 5, d, "E", 0.0, "zero"),
+    ]
+    r = A.summary_record(txn_frame(spark, rows)).collect()[0]
+    assert [(c.category, c.total, c["count"]) for c in r.spending_by_category] == [
+        ("a", 5.0, 1), ("b", 5.0, 1), (None, 2.5, 1)
+    ]
+    assert [(m.month, m.income, m.expenses) for m in r.monthly_breakdown] == [
+        (None, 0.0, 2.5), ("2024-02", 0.0, 10.0), ("2024-03", 100.0, 0.0)
+    ]
+    assert (r.total_income, r.total_expenses, r.net_cashflow, r.transaction_count) == (100.0, 12.5, 87.5, 5)
+    assert (r.avg_expense, r.largest_expense) == (4.17, 5.0)
+
+
+def test_empty_input_gives_empty_results(spark):
+    t = txn_frame(spark, [(1, 1, dt.datetime(2024, 1, 1), "X", -1.0, "c")]).limit(0)
+    assert A.summary_record(t).count() == 0
+    assert W.anomalies(t).count() == 0
