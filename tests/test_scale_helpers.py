@@ -68,3 +68,15 @@ def test_cut_lineage_same_rows_short_plan(spark):
     key = lambda r: (r["k1"] is None, r["k1"] or 0)
     assert sorted(cut.collect(), key=key) == sorted(df.collect(), key=key)
     assert "Aggregate" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_summary_record_is_one_scan_without_joins(spark):
+    from ledgerlens.operators import summary as A
+
+    t = read_table(spark, SF_SMALL, "events", "event_id", "user_id", "value", "event_type", "ts").select(
+        F.col("user_id").alias("statement_id"), F.col("event_id").alias("txn_id"), "ts",
+        (-F.col("value")).alias("amount"), F.col("event_type").alias("category"),
+    )
+    plan = A.summary_record(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "Join" not in plan
