@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, license_scan
+from ledgerlens.llm import exact_dedup, language_id, license_scan, packing
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op4_packing": packing.op4_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
