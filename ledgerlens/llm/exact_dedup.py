@@ -52,7 +52,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _leaf(keyed: DataFrame, order: Column) -> DataFrame:
+def leaf_runs(keyed: DataFrame, order: Column) -> DataFrame:
     return keyed.groupBy("__sha", "__len", "__run").agg(
         F.min(order).alias("__best"), F.count(F.lit(1)).alias("__size")
     )
@@ -72,7 +72,7 @@ def _merge_rounds(leaf: DataFrame) -> DataFrame:
     return runs.drop("__run")
 
 
-def _down(leaf: DataFrame) -> DataFrame:
+def spread_down(leaf: DataFrame) -> DataFrame:
     """Every leaf run with the final row of its digest."""
     return leaf.select("__sha", "__len", "__run").join(_merge_rounds(leaf), ["__sha", "__len"])
 
@@ -84,7 +84,7 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Written once: the row number that separates repeated rows is fixed from here on.
     rows = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
     order = F.struct("__neg", F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "__row")
-    found = rows.join(_down(_leaf(rows, order)), ["__sha", "__len", "__run"])
+    found = rows.join(spread_down(leaf_runs(rows, order)), ["__sha", "__len", "__run"])
     return found.select(
         F.col(id_col),
         F.col("__best.id").alias("keep_id"),
@@ -99,9 +99,9 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows with one id and one text an arbitrary one stays."""
     keyed = _keyed(df, id_col, text_col)
     order = F.struct("__neg", F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
-    leaf = _leaf(keyed.select(id_col, "__sha", "__len", "__neg", "__run"), order)
+    leaf = leaf_runs(keyed.select(id_col, "__sha", "__len", "__neg", "__run"), order)
     stays = (
-        keyed.join(_down(leaf), ["__sha", "__len", "__run"])
+        keyed.join(spread_down(leaf), ["__sha", "__len", "__run"])
         .where((F.col("__neg") == F.col("__best.__neg")) & F.col(id_col).eqNullSafe(F.col("__best.id")))
     )
     # The run is a function of the id, so this needs no further shuffle.
