@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat_format, exact_dedup, language_id, license_scan, packing, topk_search, warc
+from ledgerlens.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, packing, topk_search, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_warc": warc.op2_warc,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_packing": packing.op4_packing,
+    "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_language_id": language_id.op10_language_id,
