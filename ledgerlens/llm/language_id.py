@@ -8,11 +8,11 @@ bucket embeddings and applies a linear softmax.  Because averaging and the
 linear layer commute, prediction uses one precomputed score row per bucket:
 one pass over the whole text.
 
-Training uses a bounded sample of the labelled rows: at most
-``per_language`` rows of each language with the smallest id hash, and at
-most ``max_rows`` together (documented parameters; everything else covers
-all rows).  Spark picks the sample from ids and labels alone and computes
-the feature counts in tasks; the driver only trains.  One in five sample
+Training uses a bounded sample of the labelled rows: of each language
+``per_language`` rows on average, those with the smallest id hash, and never
+more than ``max_rows`` together (documented parameters; everything else
+covers all rows).  Spark picks the sample from counts, ids and labels alone
+and computes the feature counts in tasks; the driver only trains.  One in five sample
 rows is kept out of training: they set the temperature of the softmax and
 the rejection threshold (``reject_share`` quantile of the calibrated
 probability of rightly labelled rows, never over ``max_threshold``).
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_bucket
@@ -78,15 +78,12 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
     """Sparse feature counts of the sampled rows; bounded by the parameters."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     mark = F.xxhash64(F.col(id_col).cast("string"))
-    # The cut per language comes from ids and labels alone; the group limit of
-    # the window keeps per_language rows a task before anything is shuffled.
-    by_mark = Window.partitionBy(lang_col).orderBy("__mark")
+    # Each language takes the rows whose hash lies in the share of the hash
+    # range that holds per_language rows on average; only counts are shuffled.
     cuts = (
-        labelled.select(lang_col, mark.alias("__mark"))
-        .withColumn("__nth", F.row_number().over(by_mark))
-        .where(F.col("__nth") <= per_language)
-        .groupBy(lang_col).agg(F.max("__mark").alias("__cut"), F.max("__nth").alias("__rows"))
+        labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__rows"))
         .orderBy(F.desc("__rows"), lang_col).limit(max(1, max_rows // per_language))
+        .withColumn("__share", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("__rows")))
     )
 
     @F.udf("struct<bucket:binary,hits:binary>")
@@ -98,10 +95,10 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
     picked = (
         labelled.withColumn("__mark", mark)
         .join(F.broadcast(cuts), lang_col)
-        .where(F.col("__mark") <= F.col("__cut"))
+        .where((F.col("__mark") / 2.0**64 + 0.5) <= F.col("__share"))
         .select(F.col(lang_col).alias("lang"), F.col("__mark").alias("mark"), sparse(F.col(text_col)).alias("f"))
     )
-    # Rows that share an id share its hash, so the last mark may bring some more of them: bounded again.
+    # The number per language is an expected one (and rows that share an id share its hash): bounded here.
     rows = picked.orderBy("mark", "lang", "f").limit(max_rows).collect()
     return [r for r in rows if len(r.f.bucket)]
 
