@@ -31,7 +31,6 @@ table gives an empty result.  Special tokens are ordinary text.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -41,11 +40,11 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import byte_bpe
+from ledgerlens.llm.packed import by_hash_part, pack_words, ragged, squeeze, unpack_words, unsqueeze
 
 CHUNK_BYTES = 24 << 20  # text of a chunk; a chunk ends with the row that reaches it
 BUNDLE_WORDS = 1 << 16  # packed words of one row of documents
@@ -55,49 +54,6 @@ _compile = lru_cache(maxsize=4)(regex.compile)
 _odd_blank = regex.compile(r" (?:\s|\Z)")
 
 
-# -------------------------------------------------------------- packing
-
-
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, split into byte planes and compressed."""
-    planes = []
-    for a in arrays:
-        a = a.astype(np.uint32)
-        planes += [((a >> shift) & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
-
-
-def unsqueeze(data: bytes, *lengths: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    out, at = [], 0
-    for n in lengths:
-        planes = raw[at : at + 4 * n].reshape(4, n).astype(np.uint32)
-        out.append(planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24)
-        at += 4 * n
-    return out
-
-
-def pack_words(words: list[bytes]) -> tuple[bytes, int]:
-    body = b"".join(words)
-    lengths = np.array([len(w) for w in words], np.uint32)
-    packed = zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + body)
-    return packed, zlib.crc32(lengths.tobytes() + body)
-
-
-def unpack_words(packed: bytes, n: int) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64) + 4 * n
-    starts = np.append(4 * n, ends[:-1]) if n else ends
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The slices of ``values`` one after another."""
-    total = int(lengths.sum())
-    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return values[shift + np.arange(total)]
-
-
 # --------------------------------------------------------------- chunks
 
 
@@ -149,7 +105,7 @@ class Chunk:
         encoded = pa.concat_arrays(blocks).dictionary_encode()
         piece_numbers = encoded.indices.to_numpy()
         distinct = [find(" " + p) for p in encoded.dictionary.to_pylist()]
-        by_part = parted(set().union(*distinct, *firsts), parts)
+        by_part = by_hash_part((w.encode() for w in set().union(*distinct, *firsts)), parts)
         place = {w: i for i, w in enumerate(w for words in by_part for w in words)}
         lengths = np.array([len(ws) for ws in distinct], np.int64)
         values = np.array([place[w.encode()] for ws in distinct for w in ws], np.int64)
@@ -164,16 +120,6 @@ class Chunk:
         return by_part, np.concatenate(own), np.array(totals, np.int64)
 
 
-def parted(words: set[str], parts: int) -> list[list[bytes]]:
-    by_part: list[list[bytes]] = [[] for _ in range(parts)]
-    for word in words:
-        raw = word.encode()
-        by_part[zlib.crc32(raw) % parts].append(raw)
-    for own in by_part:
-        own.sort()
-    return by_part
-
-
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     """The chunks of a task.  A chunk's number comes from the scan partition
     (a column: the task's own number differs below a union)."""
@@ -205,7 +151,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     def word_rows(batches):
         for number, chunk in chunks(batches):
             rows = []
-            for part, words in enumerate(parted(chunk.word_set(pattern), parts)):
+            for part, words in enumerate(by_hash_part((w.encode() for w in chunk.word_set(pattern)), parts)):
                 if words:
                     rows.append((part, number, len(words), *pack_words(words)))
             yield pa.RecordBatch.from_arrays(
@@ -269,14 +215,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
                     (order,) = unsqueeze(packed, n)
                     if marks != mark or sum(map(len, lengths)) != n:
                         raise RuntimeError(f"chunk {number}: its two scans found different words")
-                    word_lengths = np.concatenate([*lengths, np.zeros(0, np.uint32)]).astype(np.int64)
-                    ids = np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)
+                    word_lengths = np.concatenate([*lengths, np.zeros(0, np.int64)])
+                    ids = np.concatenate([*flat, np.zeros(0, np.int64)]).astype(np.int32)
                     word_starts = (np.cumsum(word_lengths) - word_lengths)[order]
                     word_lengths = word_lengths[order]
                 else:
                     totals, own = unsqueeze(packed, n, m)
                     sizes = word_lengths[own]
-                    per_doc = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(totals.astype(np.int64)))]
+                    per_doc = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(totals))]
                     yield pa.RecordBatch.from_arrays(
                         [docs.values, pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), pa.array(ragged(ids, word_starts[own], sizes)))],
                         [id_col, "ids"])
