@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, ngram_join, packing, topk_search, warc
+from ledgerlens.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, lm_score, ngram_join, packing, topk_search, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_warc": warc.op2_warc,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_packing": packing.op4_packing,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
