@@ -4,7 +4,8 @@ and turns to a training text whose control strings can be undone.
 **Layouts.**  A record's layout is the set of its nested field paths
 (``messages[].role``), as far as any known mapping mentions them, so other
 fields do not matter.  The hash of the sorted paths (the fingerprint)
-selects a declarative mapping from ``LAYOUTS``.  ``record_turns`` does this
+selects a declarative mapping from ``LAYOUTS``; a record that mixes fields of
+several gets the largest that it has all fields of.  ``record_turns`` does this
 per JSON record, ``row_turns`` once per table whose rows are turns, with
 the field paths of its schema.
 
@@ -110,6 +111,16 @@ def fingerprint(paths) -> str:
 MAPPINGS = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
 
 
+def layout_of(paths: set[str], rows: bool) -> Layout | None:
+    """The mapping of a fingerprint; where a record has fields of several
+    layouts, the largest layout that it has all fields of."""
+    found = MAPPINGS.get(fingerprint(paths))
+    if found is None or bool(found.row) != rows:
+        inside = [x for x in LAYOUTS if bool(x.row) == rows and x.paths() <= paths]
+        found = max(inside, key=lambda x: len(x.paths()), default=None)
+    return found
+
+
 def value_paths(value, at: str = "") -> Iterator[str]:
     """Field paths of the leaves of a JSON value; null fields are absent."""
     if isinstance(value, dict):
@@ -166,8 +177,8 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
                     record = None
                 paths = set(value_paths(record)) if isinstance(record, dict) else set()
                 mark = fingerprint(paths)
-                layout = MAPPINGS.get(mark)
-                turns = mapped_turns(record, layout) if layout and not layout.row else []
+                layout = layout_of(paths, rows=False)
+                turns = mapped_turns(record, layout) if layout else []
                 rows += [(conv, i, role, text, layout.name, mark) for i, (role, text) in enumerate(turns)]
                 if not turns:
                     rows.append((conv, None, None, None, None, mark))
@@ -184,9 +195,9 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def row_turns(df: DataFrame) -> DataFrame:
     """Canonical turns of a table whose rows are turns; the fingerprint of
     its schema selects the mapping of its columns."""
-    mark = fingerprint(schema_paths(df.schema))
-    layout = MAPPINGS.get(mark)
-    if layout is None or layout.row is None:
+    paths = set(schema_paths(df.schema))
+    mark, layout = fingerprint(paths), layout_of(paths, rows=True)
+    if layout is None:
         raise ValueError(f"no layout of turn rows has the fingerprint {mark}")
     conv, order, role, text = (F.col(c) for c in layout.row)
     role = F.coalesce(role, F.lit(""))

@@ -97,15 +97,15 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``.  Of repeated
     rows with one id and one text an arbitrary one stays."""
-    keyed = _keyed(df, id_col, text_col)
-    order = F.struct("__neg", F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
-    leaf = leaf_runs(keyed.select(id_col, "__sha", "__len", "__neg", "__run"), order)
-    stays = (
-        keyed.join(spread_down(leaf), ["__sha", "__len", "__run"])
-        .where((F.col("__neg") == F.col("__best.__neg")) & F.col(id_col).eqNullSafe(F.col("__best.id")))
-    )
+    # The whole row travels as one struct, so no column name can clash.
+    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = _keyed(whole, "id", "text").drop("text")
+    order = F.struct("__neg", F.col("id").isNull().alias("n"), "id")
+    found = spread_down(leaf_runs(keyed.drop("row"), order))
+    stays = keyed.join(found, ["__sha", "__len", "__run"]).where(
+        (F.col("__neg") == F.col("__best.__neg")) & F.col("id").eqNullSafe(F.col("__best.id")))
     # The run is a function of the id, so this needs no further shuffle.
-    return stays.dropDuplicates(["__sha", "__len", "__run", id_col]).select(*df.columns)
+    return stays.dropDuplicates(["__sha", "__len", "__run", "id"]).select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
