@@ -104,7 +104,7 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-          per_language: int = 800, max_rows: int = 12_000, dim: int = 16, epochs: int = 12, rate: float = 8.0,
+          per_language: int = 800, max_rows: int = 12_000, dim: int = 16, steps: int = 1500, rate: float = 8.0,
           reject_share: float = 0.0005, max_threshold: float = 0.4, seed: int = 7) -> LanguageModel:
     """Train on a bounded sample of the labelled rows of ``df``."""
     rows = labelled_sample(df, id_col, text_col, lang_col, per_language, max_rows)
@@ -128,9 +128,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     used = order[len(rows) // 5 :] if len(rows) >= 50 else order
     emb = rng.normal(0, 0.5, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
+    done = 0
+    while done < steps:
         for batch in np.array_split(rng.permutation(used), max(1, len(used) // 32)):
+            step = rate * max(0.02, 1 - done / steps)
+            done += 1
             x = dense(batch)
             h = x @ emb
             z = h @ out + bias
@@ -185,7 +187,8 @@ def training_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_identified(df: DataFrame) -> DataFrame:
     """The rows of a documents table whose language is identified."""
     model = train(training_rows(df))
-    return df.withColumn("__lang", predicted(F.col("text"), model)).where("__lang.accepted").select(*df.columns)
+    whole = df.select(F.struct("*").alias("row"), predicted(F.col("text"), model).alias("found"))
+    return whole.where("found.accepted").select("row.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
