@@ -1,10 +1,11 @@
-"""Money as exact integer cents.
+"""Money as exact scaled integers.
 
 Sums of doubles depend on the order in which partitions are added, so a
 result computed on 8 threads and on 1000 executors could differ in the
-last bit.  Every money aggregate here is a sum of BIGINT cents; the final
-conversion ``cents / 100`` is one IEEE division, so the value is the same
-on any partitioning (and in any engine that does the same division).
+last bit.  Every money aggregate here is a sum of BIGINT millionths of a
+dollar (so parts of a cent count), turned into a double by one division at
+the end; results that the reference rounds are rounded once, after the sum.
+A NaN or infinite amount counts as missing.
 """
 
 from __future__ import annotations
@@ -12,18 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UNITS = 1_000_000  # units of a dollar
+_PER_CENT = UNITS // 100
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def cents(amount: Column | str) -> Column:
-    """Whole cents of a dollar amount (2-decimal inputs convert exactly)."""
-    return F.round(_c(amount) * 100).cast("bigint")
+def units(amount: Column | str) -> Column:
+    """Millionths of a dollar; null for a missing, NaN or infinite amount."""
+    return F.round(_c(amount) * UNITS).try_cast("bigint")
 
 
-def dollars(cents_col: Column | str) -> Column:
-    return _c(cents_col).cast("double") / F.lit(100.0)
+def dollars(units_col: Column | str) -> Column:
+    """The exact amount as a double (one division)."""
+    return _c(units_col).cast("double") / F.lit(float(UNITS))
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -31,10 +36,21 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
 
 
-def avg_cents_half_up(sum_cents: Column, count: Column) -> Column:
-    """Mean in whole cents, rounded half up, in integer arithmetic only
-    (for the non-negative sums it is used on)."""
-    return int_div(sum_cents * 2 + count, count * 2)
+def _half_up(value: Column, divisor: Column) -> Column:
+    """``value / divisor`` to a whole number, halves away from zero, in
+    integers."""
+    up = int_div(F.abs(value) * 2 + divisor, divisor * 2)
+    return F.when(value < 0, -up).otherwise(up)
+
+
+def rounded(units_col: Column | str) -> Column:
+    """Dollars rounded to whole cents, once."""
+    return _half_up(_c(units_col), F.lit(_PER_CENT)).cast("double") / F.lit(100.0)
+
+
+def rounded_mean(sum_units: Column, count: Column) -> Column:
+    """The mean in dollars, rounded to whole cents, once."""
+    return _half_up(sum_units, count * _PER_CENT).cast("double") / F.lit(100.0)
 
 
 def money_text(x: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Anomaly detection: z-score outliers per category, near-duplicate charges.
 
 Z-scores use exact moments: per (statement, category) the count, the sum
-of cents and the sum of squared cents are integer sums (partial
+of units (millionths) and the sum of their squares are integer sums (partial
 aggregation, map-side), so mean and sample deviation do not depend on how
 rows are spread over tasks.  The group statistics table has one row per
 (statement, category); it joins back to the expenses with a plain join
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import cents
+from ledgerlens.functions.money import UNITS, units
 from ledgerlens.functions.windows import day_bucket, previous_row
 from ledgerlens.schemas import DUPLICATE_DAYS, Z_MIN_GROUP, Z_THRESHOLD
 
@@ -56,7 +56,7 @@ def zscore_stats(expenses: DataFrame, min_group: int = Z_MIN_GROUP) -> DataFrame
 
 
 def _expenses(txns: DataFrame) -> DataFrame:
-    return txns.filter(F.col("amount") < 0).withColumn("_c", -cents("amount"))
+    return txns.filter(F.col("amount") < 0).withColumn("_c", -units("amount")).filter(F.col("_c").isNotNull())
 
 
 def zscore_anomalies(txns: DataFrame, threshold: float = Z_THRESHOLD, min_group: int = Z_MIN_GROUP) -> DataFrame:
@@ -73,7 +73,7 @@ def zscore_anomalies(txns: DataFrame, threshold: float = Z_THRESHOLD, min_group:
         F.lit(" (z="),
         fixed2(F.col("z")),
         F.lit(", avg=$"),
-        fixed2(F.col("mean_c") / F.lit(100.0)),
+        fixed2(F.col("mean_c") / F.lit(float(UNITS))),
         F.lit(")"),
     )
     return flagged.select(

@@ -6,8 +6,9 @@ scan, partial aggregation before the shuffle), and the two breakdowns are
 one aggregation each.  The combined record (A10) is a single
 grouping-sets aggregation over (statement), (statement, category) and
 (statement, month): one scan, one partial aggregate, then one small
-aggregation per statement; no joins.  Money is summed as integer cents
-(exact, the same on any partitioning).
+aggregation per statement; no joins.  Money is summed
+as integer millionths (exact, the same on any partitioning); the six
+metrics are rounded to cents once, after the sum, the breakdowns not at all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import avg_cents_half_up, cents, dollars
+from ledgerlens.functions.money import dollars, rounded, rounded_mean, units
 
 KEY = "statement_id"
 
@@ -27,7 +28,7 @@ def _month(txns: DataFrame) -> F.Column:
 
 def _metrics(txns: DataFrame, keys: list[str]) -> DataFrame:
     amount = F.col("amount")
-    c = cents(amount)
+    c = units(amount)
     agg = txns.groupBy(*keys).agg(
         F.sum(F.when(amount > 0, c)).alias("_inc"),
         F.sum(F.when(amount < 0, -c)).alias("_exp"),
@@ -38,12 +39,12 @@ def _metrics(txns: DataFrame, keys: list[str]) -> DataFrame:
     )
     return agg.select(
         *keys,
-        dollars(F.coalesce("_inc", F.lit(0))).alias("total_income"),
-        dollars(F.coalesce("_exp", F.lit(0))).alias("total_expenses"),
-        dollars(F.coalesce("_net", F.lit(0))).alias("net_cashflow"),
+        rounded(F.coalesce("_inc", F.lit(0))).alias("total_income"),
+        rounded(F.coalesce("_exp", F.lit(0))).alias("total_expenses"),
+        rounded(F.coalesce("_net", F.lit(0))).alias("net_cashflow"),
         F.col("transaction_count"),
-        dollars(F.coalesce(avg_cents_half_up(F.col("_exp"), F.col("_n_exp")), F.lit(0))).alias("avg_expense"),
-        dollars(F.coalesce("_max", F.lit(0))).alias("largest_expense"),
+        F.coalesce(rounded_mean(F.col("_exp"), F.col("_n_exp")), F.lit(0.0)).alias("avg_expense"),
+        rounded(F.coalesce("_max", F.lit(0))).alias("largest_expense"),
     )
 
 
@@ -61,39 +62,39 @@ def metric(txns: DataFrame, name: str) -> DataFrame:
 def spending_by_category(txns: DataFrame) -> DataFrame:
     """Expense total and count per category, with its rank (total desc,
     category as tie-break).  Null categories form their own group, as in SQL."""
-    c = cents("amount")
+    c = units("amount")
     agg = (
         txns.filter(F.col("amount") < 0)
         .groupBy(KEY, "category")
-        .agg(F.sum(-c).alias("total_cents"), F.count(F.lit(1)).alias("count"))
+        .agg(F.sum(-c).alias("total_units"), F.count(F.lit(1)).alias("count"))
     )
     # The rank window runs over the aggregated rows (categories per statement).
-    w = Window.partitionBy(KEY).orderBy(F.desc("total_cents"), F.asc_nulls_first("category"))
+    w = Window.partitionBy(KEY).orderBy(F.desc("total_units"), F.asc_nulls_first("category"))
     return agg.select(
         KEY,
         "category",
-        dollars("total_cents").alias("total"),
+        dollars("total_units").alias("total"),
         "count",
         F.row_number().over(w).cast("bigint").alias("rank"),
-        "total_cents",
+        "total_units",
     )
 
 
 def monthly_breakdown(txns: DataFrame) -> DataFrame:
     """Income and expenses per month; zero amounts count on neither side."""
     amount = F.col("amount")
-    c = cents(amount)
+    c = units(amount)
     agg = txns.groupBy(F.col(KEY), _month(txns).alias("month")).agg(
-        F.sum(F.when(amount > 0, c).otherwise(0)).alias("income_cents"),
-        F.sum(F.when(amount < 0, -c).otherwise(0)).alias("expenses_cents"),
+        F.sum(F.when(amount > 0, c).otherwise(0)).alias("income_units"),
+        F.sum(F.when(amount < 0, -c).otherwise(0)).alias("expenses_units"),
     )
     return agg.select(
         KEY,
         "month",
-        dollars("income_cents").alias("income"),
-        dollars("expenses_cents").alias("expenses"),
-        "income_cents",
-        "expenses_cents",
+        dollars("income_units").alias("income"),
+        dollars("expenses_units").alias("expenses"),
+        "income_units",
+        "expenses_units",
     )
 
 
@@ -102,7 +103,7 @@ def summary_record(txns: DataFrame) -> DataFrame:
     ordered ``array<struct>`` columns (category by rank, month ascending,
     null month first)."""
     amount = F.col("amount")
-    c = cents(amount)
+    c = units(amount)
     with_month = txns.withColumn("month", _month(txns))
     # grouping_id: 0 = (statement, category, month) never occurs; the
     # levels used are 3 = statement, 1 = statement + category,
@@ -137,12 +138,12 @@ def summary_record(txns: DataFrame) -> DataFrame:
     )
     return per_statement.select(
         KEY,
-        dollars(F.coalesce("_inc", F.lit(0))).alias("total_income"),
-        dollars(F.coalesce("_exp", F.lit(0))).alias("total_expenses"),
-        dollars(F.coalesce("_net", F.lit(0))).alias("net_cashflow"),
+        rounded(F.coalesce("_inc", F.lit(0))).alias("total_income"),
+        rounded(F.coalesce("_exp", F.lit(0))).alias("total_expenses"),
+        rounded(F.coalesce("_net", F.lit(0))).alias("net_cashflow"),
         F.col("transaction_count"),
-        dollars(F.coalesce(avg_cents_half_up(F.col("_exp"), F.col("_n_exp")), F.lit(0))).alias("avg_expense"),
-        dollars(F.coalesce("_max", F.lit(0))).alias("largest_expense"),
+        F.coalesce(rounded_mean(F.col("_exp"), F.col("_n_exp")), F.lit(0.0)).alias("avg_expense"),
+        rounded(F.coalesce("_max", F.lit(0))).alias("largest_expense"),
         F.transform(
             "_cats",
             lambda x: F.struct(x["category"].alias("category"), x["total"].alias("total"), x["count"].alias("count")),
@@ -177,7 +178,7 @@ def category_share(txns: DataFrame) -> DataFrame:
         KEY,
         "category",
         "total",
-        (F.col("total_cents").cast("double") / F.sum("total_cents").over(w).cast("double")).alias("share"),
+        (F.col("total_units").cast("double") / F.sum("total_units").over(w).cast("double")).alias("share"),
     )
 
 

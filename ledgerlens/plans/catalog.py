@@ -49,7 +49,7 @@ for _name in ["total_income", "total_expenses", "net_cashflow", "transaction_cou
 
 @register("spending_by_category")
 def _spending_by_category(spark, sf):
-    return A.spending_by_category(X.txn_li(spark, sf)).drop("total_cents")
+    return A.spending_by_category(X.txn_li(spark, sf)).drop("total_units")
 
 
 @register("monthly_breakdown")
@@ -614,13 +614,13 @@ from ledgerlens.streaming import ingest as T1  # noqa: E402
 
 @register("stream_daily_cashflow")
 def _stream_daily_cashflow(spark, sf):
-    return T1.run_daily_cashflow(spark, lambda s: X.txn_ev_frame(X.stream_table(s, sf, "events")))
+    return T1.run_daily_cashflow(spark, lambda s: X.txn_ev_frame(X.stream_table(s, sf, "events", "event_id")))
 
 
 @register("stream_duplicates")
 def _stream_duplicates(spark, sf):
     def source(s):
-        li = X.stream_table(s, sf, "lineitem")
+        li = X.stream_table(s, sf, "lineitem", "l_orderkey")
         return X.txn_li_frame(li, read_table(s, sf, "part", "p_partkey", "p_brand"))
 
     return T2.run_duplicate_stream(spark, source)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import cents, dollars
+from ledgerlens.functions.money import UNITS, rounded, units
 from ledgerlens.functions.windows import day_bucket, running_totals
 from ledgerlens.sources.tables import read_table, spread
 
-OPENING_BALANCE_CENTS = 500000  # 5000.00, opening balance of the sample statement
+OPENING_BALANCE = 5000  # dollars
 LINES_PER_PAGE = 40
 ITEMS_PER_REPLY = 20
 
@@ -23,14 +23,15 @@ def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn_ev_frame(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a streaming source (schema taken from the files)."""
-    from ledgerlens.sources.tables import table_path
+def stream_table(spark: SparkSession, sf_dir: str, name: str, key: str, files: int = 4) -> DataFrame:
+    """The same table as a streaming source whose rows arrive out of order:
+    dealt by a hash of ``key`` to files, one micro-batch each."""
+    from ledgerlens.sources.loader import scratch_path
 
-    path = table_path(sf_dir, name)
-    # A file source takes a folder or a glob; the class ``[t]`` makes the
-    # file name a glob that matches just this file.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    table = read_table(spark, sf_dir, name)
+    path = scratch_path(spark, f"stream-{name}")
+    table.repartition(files, F.xxhash64(key)).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def txn_ev_frame(ev: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def with_position(txns: DataFrame) -> DataFrame:
         keys=["statement_id"],
         bucket=day_bucket("ts"),
         order=[F.col("ts"), F.col("txn_id")],
-        values={"pos": F.lit(1).cast("bigint"), "run_cents": cents("amount")},
+        values={"pos": F.lit(1).cast("bigint"), "run_units": units("amount")},
     )
-    return out.withColumn("balance", dollars(F.col("run_cents") + F.lit(OPENING_BALANCE_CENTS))).drop(
-        "run_cents"
+    return out.withColumn("balance", rounded(F.col("run_units") + F.lit(OPENING_BALANCE * UNITS))).drop(
+        "run_units"
     )
 
 
@@ -111,7 +112,7 @@ def stmt_lines(txns: DataFrame) -> DataFrame:
 def page_header(statement_id: str = "statement_id") -> F.Column:
     sid = F.col(statement_id)
     return F.concat(
-        F.lit("First National Bank - Statement\nAccount: "),
+        F.lit("Tidewater Savings | Account record\nAccount: "),
         (sid + F.lit(1000000000)).cast("string"),
         F.lit(" | Holder "),
         sid.cast("string"),

@@ -1,130 +1,86 @@
-"""Streaming near-duplicate charges with per-key state.
+"""Near-duplicate charges in a stream, for rows in any order of arrival.
 
-Keyed by (statement_id, description); the state holds the last expense
-seen (event time, amount, txn id).  Inside a micro-batch the rows of a
-key are ordered by (ts, txn_id, amount) and each is compared with its
-predecessor (from the batch, or from the state for the first one): same
-amount and at most ``max_days`` whole days later flags it (W2).  The
-state expires by *event time* (``max_days`` after the last expense, once
-the watermark has passed it), so replays behave like live data.
+A row that arrives late becomes the neighbour of rows that were judged
+before, so a batch judges again exactly the days it can change.  A charge
+pairs with the previous one of its (statement, description) at most
+``max_days`` days before: a new row on day ``d`` can change the verdicts of
+its key on the days ``d .. d + max_days`` (later ones look back no further),
+and these verdicts depend on rows from ``max_days`` days before.
 
-Equal to the batch W2 when input arrives in time order; a late row is
-compared with the latest state, not re-sorted into the past.
+Per micro-batch: the new expenses are stored (in folders by month); the
+(key, day) pairs they touch are listed; the stored rows around those days
+are compared with W2's rule; and the verdicts of the touched pairs are
+written with the batch id.  The verdicts of a pair are those of the latest
+batch that touched it, so a verdict can be withdrawn, nothing is dropped,
+and the result always equals the batch W2 over all rows so far.  Work
+follows the touched days; no key is one Python call, and no state is held.
+
+A batch writes only to folders of its own id and overwrites them, so a
+batch that runs again gives the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlens.operators.anomalies import duplicate_charges
+from ledgerlens.schemas import DUPLICATE_DAYS
 from ledgerlens.sources.loader import scratch_path
+from ledgerlens.streaming.ingest import _stored, month_of
 
+_ROWS = (
+    "statement_id long, txn_id long, ts timestamp_ntz, description string, amount double, category string, "
+    "day date, month string, batch long"
+)
+_PAIRS = "statement_id long, description string, day date, batch long"
 OUT_SCHEMA = (
     "statement_id long, txn_id long, date string, description string, amount double, "
-    "category string, reason string, method string"
+    "category string, reason string, method string, batch long"
 )
-STATE_SCHEMA = "last_ts timestamp, last_amount double, last_txn long"
-DAY = pd.Timedelta(days=1)
-
+_KEY = ["statement_id", "description"]
 
-def _detector(max_days: int):
-    day_ns = np.int64(86_400_000_000_000)
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(pdfs)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        n = len(pdf)
-        if n == 0:
-            return
-        # Plain arrays: the per-key cost is what bounds this operator.
-        ts = pdf["event_time"].to_numpy(dtype="datetime64[ns]").astype(np.int64)
-        txn = pdf["txn_id"].to_numpy(dtype=np.int64)
-        amt = pdf["amount"].to_numpy(dtype=np.float64)
-        order = np.lexsort((amt, txn, ts))
-        ts, txn, amt = ts[order], txn[order], amt[order]
-        prev_ts = np.empty(n, dtype=np.int64)
-        prev_amt = np.empty(n, dtype=np.float64)
-        has_prev = np.ones(n, dtype=bool)
-        prev_ts[1:], prev_amt[1:] = ts[:-1], amt[:-1]
-        if state.exists:
-            last_ts, last_amount, _ = state.get
-            prev_ts[0] = pd.Timestamp(last_ts).value
-            prev_amt[0] = last_amount
-        else:
-            has_prev[0] = False
-            prev_ts[0], prev_amt[0] = ts[0], np.nan
-        days = np.abs((ts - prev_ts) // day_ns)
-        hit = has_prev & (days <= max_days) & (amt == prev_amt)
-        if hit.any():
-            rows = pdf.iloc[order[hit]]
-            when = pd.to_datetime(ts[hit])
-            yield pd.DataFrame({
-                "statement_id": rows["statement_id"].to_numpy(dtype=np.int64),
-                "txn_id": txn[hit],
-                "date": when.strftime("%Y-%m-%d"),
-                "description": rows["description"].to_numpy(),
-                "amount": amt[hit],
-                "category": rows["category"].fillna("Other").to_numpy(),
-                "reason": ["Possible duplicate — same amount charged " + str(int(d)) + " day(s) apart" for d in days[hit]],
-                "method": "duplicate",
-            })
-        last_ns = int(ts[-1])
-        state.update((pd.Timestamp(last_ns).to_pydatetime(), float(amt[-1]), int(txn[-1])))
-        # Expire by event time: nothing later than max_days after the last
-        # expense can pair with it.
-        state.setTimeoutTimestamp((last_ns + (max_days + 1) * int(day_ns)) // 1_000_000)
-
-    return step
-
-
-def duplicate_stream(txns: DataFrame, max_days: int = 3, watermark: str = "3 days") -> DataFrame:
-    """Streaming plan of T2 over a streaming transaction frame."""
-    exp = txns.filter(
-        (F.col("amount") < 0) & F.col("description").isNotNull() & F.col("ts").isNotNull()
-    ).select(
-        "statement_id", "txn_id", "description", "amount", "category",
-        F.col("ts").cast("timestamp").alias("event_time"),
-    )
-    return (
-        exp.withWatermark("event_time", watermark)
-        .groupBy("statement_id", "description")
-        .applyInPandasWithState(
-            _detector(max_days), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+def judge_batch(batch: DataFrame, batch_id: int, out_dir: str, max_days: int = DUPLICATE_DAYS) -> None:
+    spark = batch.sparkSession
+    new = batch.filter((F.col("amount") < 0) & F.col("description").isNotNull() & F.col("ts").isNotNull()).select(
+        "statement_id", "txn_id", "ts", "description", "amount", "category", F.to_date("ts").alias("day"),
+        month_of(F.to_date("ts")).alias("month"))
+    new.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/rows/batch={batch_id}")
+    rows = _stored(spark, f"{out_dir}/rows", _ROWS, batch_id + 1)
+    days = rows.where(F.col("batch") == batch_id).select(*_KEY, "day").distinct()
+    spread = lambda before, after: days.select(*_KEY, F.explode(F.sequence(
+        F.date_sub("day", before), F.date_add("day", after))).alias("day")).distinct()
+    # A gap of max_days whole days can span max_days + 1 dates.
+    touched, around = spread(0, max_days + 1), spread(max_days + 1, max_days + 1)
+    touched.write.mode("overwrite").parquet(f"{out_dir}/pairs/batch={batch_id}")
+    near = rows.join(around, [rows["statement_id"].eqNullSafe(around["statement_id"]),
+                              rows["description"] == around["description"], rows["day"] == around["day"]], "left_semi")
+    found = duplicate_charges(near, max_days)
+    mine = spark.read.schema(_PAIRS.replace(", batch long", "")).parquet(f"{out_dir}/pairs/batch={batch_id}")
+    found.join(mine, [found["statement_id"].eqNullSafe(mine["statement_id"]), found["description"] == mine["description"],
+                      F.to_date(found["date"]) == mine["day"]], "left_semi").write.mode("overwrite").parquet(
+        f"{out_dir}/found/batch={batch_id}")
 
 
 def run_duplicate_stream(
     spark: SparkSession, source: Callable[[SparkSession], DataFrame], out_dir: str | None = None
 ) -> DataFrame:
-    """Run T2 over everything available now into a parquet folder (append
-    sink, exactly-once through the checkpoint) and return what it found."""
+    """Run T2 over everything available now and return the verdicts that
+    hold after the last batch."""
     out_dir = out_dir or scratch_path(spark, "duplicate-stream")
-    # A timeout only removes state (nothing is emitted for it), so this
-    # query needs no batches without data: expired keys are removed by the
-    # next batch that carries data, and a replay ends with its last data
-    # batch instead of calling Python once more for every key.  The setting
-    # is taken when the query starts; other streams keep the default.
-    conf_key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(conf_key, "true")
-    spark.conf.set(conf_key, "false")
-    try:
-        q = (
-            duplicate_stream(source(spark)).writeStream.outputMode("append").format("parquet")
-            .option("path", out_dir + "/data")
-            .option("checkpointLocation", out_dir + "/_checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-    finally:
-        spark.conf.set(conf_key, before)
+    q = (
+        source(spark).writeStream
+        .foreachBatch(lambda batch, batch_id: judge_batch(batch, batch_id, out_dir))
+        .option("checkpointLocation", out_dir + "/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(out_dir + "/data")
+    found = _stored(spark, f"{out_dir}/found", OUT_SCHEMA, 1 << 62)
+    latest = _stored(spark, f"{out_dir}/pairs", _PAIRS, 1 << 62).groupBy(*_KEY, "day").agg(F.max("batch").alias("last"))
+    return found.join(latest, [found["statement_id"].eqNullSafe(latest["statement_id"]),
+                               found["description"] == latest["description"], F.to_date(found["date"]) == latest["day"],
+                               found["batch"] == latest["last"]], "left_semi").drop("batch")

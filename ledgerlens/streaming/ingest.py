@@ -1,40 +1,67 @@
 """Streaming ingest with first-wins dedup and daily cash flow.
 
-``readStream`` -> transaction columns -> event time as TIMESTAMP ->
-watermark -> ``dropDuplicatesWithinWatermark`` on the dedup key (E6) ->
-daily windows per statement with income/expense cents (A9 by day).
+``readStream`` -> transaction columns -> ``foreachBatch``.  A watermark
+would drop rows that arrive late, so none is used: every micro-batch is
+compared with the keys stored for its own days, rows of new keys are
+stored (in folders by month), and their sums per (statement, day) are
+appended as one delta table per batch.  The current value of a day is the
+sum of its deltas.  Late rows count like any others, the work of a batch
+follows the days it touches, and no state grows in memory.
 
-The aggregate is written in *update* mode through ``foreachBatch``: every
-micro-batch appends the windows it changed, tagged with its batch id, to
-a parquet folder under the shared checkpoint folder; the current value of
-a window is its row from the latest batch.  Append mode would hold back
-the windows still inside the watermark.
+A batch writes only to folders that carry its own id and overwrites them,
+and it reads only batches before it, so a batch that is run again after a
+failure gives the same result (exactly once).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import cents, dollars
+from ledgerlens.functions.money import dollars, units
 from ledgerlens.sources.loader import scratch_path
 
 DEDUP_KEY = ["statement_id", "date", "description", "amount"]
+_ROWS = "statement_id long, date string, description string, amount double, day date, month string, batch long"
+_DELTAS = "statement_id long, day date, income_units long, expenses_units long, n_txns long, batch long"
 
 
-def daily_cashflow_stream(txns: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Streaming plan: ``txns`` (a streaming frame with ``ts``) deduplicated
-    within the watermark and summed per (statement, day)."""
-    timed = txns.withColumn("event_time", F.col("ts").cast("timestamp"))
-    dedup = timed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(DEDUP_KEY)
-    c = cents("amount")
-    return dedup.groupBy(F.window("event_time", "1 day").alias("w"), "statement_id").agg(
-        F.sum(F.when(F.col("amount") > 0, c).otherwise(0)).alias("income_cents"),
-        F.sum(F.when(F.col("amount") < 0, -c).otherwise(0)).alias("expenses_cents"),
+def month_of(day: Column) -> Column:
+    """Name of the folder of a day; a row without a date has its own."""
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none"))
+
+
+def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
+    """The rows that earlier batches wrote."""
+    try:
+        return spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*").where(F.col("batch") < before)
+    except Exception as e:  # no batch has written yet
+        if getattr(e, "getCondition", lambda: "")() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+    """Store the rows of new keys and the sums they add."""
+    spark = batch.sparkSession
+    day = F.to_date("ts")
+    rows = batch.select(*DEDUP_KEY, day.alias("day"), month_of(day).alias("month")).dropDuplicates(DEDUP_KEY)
+    stored = _stored(spark, f"{out_dir}/rows", _ROWS, batch_id)
+    days = rows.select("day", "month").distinct()
+    near = stored.join(days, (stored["month"] == days["month"]) & stored["day"].eqNullSafe(days["day"]), "left_semi")
+    same = [rows[c].eqNullSafe(near[c]) for c in DEDUP_KEY]
+    fresh = rows.join(near, same, "left_anti")
+    path = f"{out_dir}/rows/batch={batch_id}"
+    fresh.repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    written = spark.read.schema(_ROWS.replace(", batch long", "")).parquet(path)
+    u = units("amount")
+    written.groupBy("statement_id", "day").agg(
+        F.coalesce(F.sum(F.when(u > 0, u)), F.lit(0)).alias("income_units"),
+        F.coalesce(F.sum(F.when(u < 0, -u)), F.lit(0)).alias("expenses_units"),
         F.count(F.lit(1)).alias("n_txns"),
-    )
+    ).write.mode("overwrite").parquet(f"{out_dir}/deltas/batch={batch_id}")
 
 
 def run_daily_cashflow(
@@ -45,27 +72,21 @@ def run_daily_cashflow(
     """Run T1 over everything available now and return the current daily
     rows (statement_id, day, income, expenses, n_txns) as a batch frame."""
     out_dir = out_dir or scratch_path(spark, "daily-cashflow")
-    agg = daily_cashflow_stream(source(spark))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir + "/data")
-
     q = (
-        agg.writeStream.outputMode("update")
-        .foreachBatch(write)
+        source(spark).writeStream
+        .foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, out_dir))
         .option("checkpointLocation", out_dir + "/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    rows = spark.read.parquet(out_dir + "/data")
-    latest = rows.groupBy("w", "statement_id").agg(
-        F.max_by(F.struct("income_cents", "expenses_cents", "n_txns"), "batch_id").alias("s")
-    )
-    return latest.select(
+    deltas = _stored(spark, f"{out_dir}/deltas", _DELTAS, 1 << 62)
+    now = deltas.groupBy("statement_id", "day").agg(
+        *[F.sum(c).alias(c) for c in ("income_units", "expenses_units", "n_txns")])
+    return now.select(
         "statement_id",
-        F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"),
-        dollars("s.income_cents").alias("income"),
-        dollars("s.expenses_cents").alias("expenses"),
-        F.col("s.n_txns").alias("n_txns"),
+        F.date_format("day", "yyyy-MM-dd").alias("day"),
+        dollars("income_units").alias("income"),
+        dollars("expenses_units").alias("expenses"),
+        "n_txns",
     )

@@ -2,8 +2,8 @@
 
 Each entry states the expected result directly over the driver's tables
 (views ``events``, ``lineitem``, ``part``, ``documents``, ...).  Money is
-handled as integer cents and converted with one division at the end, the
-same rule the Spark side follows, so doubles compare bit for bit.
+summed as integer millionths of a dollar and rounded once, after the sum,
+where the result is rounded at all, so doubles compare bit for bit.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def positioned(src: str, name: str = "pos_txn") -> str:
     """Rank by (ts, txn_id) and running balance from 5000.00 per statement."""
     return f"""{name} AS (
   SELECT *, ROW_NUMBER() OVER w AS pos,
-         CAST(500000 + SUM(CAST(round(amount * 100) AS BIGINT)) OVER w AS DOUBLE) / 100.0 AS balance
-  FROM {src}
+         CAST(sign(run) * ((abs(run) + 5000) // 10000) AS DOUBLE) / 100.0 AS balance
+  FROM (SELECT *, 5000000000 + SUM({units()}) OVER v AS run FROM {src}
+        WINDOW v AS (PARTITION BY statement_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   WINDOW w AS (PARTITION BY statement_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
@@ -43,29 +44,38 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def cents(x: str = "amount") -> str:
-    return f"CAST(round({x} * 100) AS BIGINT)"
+def units(x: str = "amount") -> str:
+    """Millionths of a dollar; NaN and infinite amounts are missing."""
+    return f"CASE WHEN isfinite({x}) THEN CAST(round({x} * 1000000) AS BIGINT) END"
 
 
 def dollars(x: str) -> str:
-    return f"CAST({x} AS DOUBLE) / 100.0"
+    return f"CAST({x} AS DOUBLE) / 1000000.0"
+
+
+def rounded(x: str, n: str = "1") -> str:
+    """Sum ``x`` over ``n``, rounded to cents once, halves away from zero."""
+    return (f"CAST(sign({x}) * ((2 * abs({x}) + 10000 * {n}) // (20000 * {n})) AS DOUBLE) / 100.0")
 
 
 def metrics_sql(src: str) -> str:
-    c = cents()
+    """Sums first, one rounding at the end."""
     return f"""SELECT statement_id,
-  {dollars(f"COALESCE(SUM(CASE WHEN amount > 0 THEN {c} END), 0)")} AS total_income,
-  {dollars(f"COALESCE(SUM(CASE WHEN amount < 0 THEN -{c} END), 0)")} AS total_expenses,
-  {dollars(f"COALESCE(SUM({c}), 0)")} AS net_cashflow,
-  COUNT(*) AS transaction_count,
-  {dollars(f"COALESCE((2 * SUM(CASE WHEN amount < 0 THEN -{c} END) + COUNT(CASE WHEN amount < 0 THEN 1 END)) // (2 * COUNT(CASE WHEN amount < 0 THEN 1 END)), 0)")} AS avg_expense,
-  {dollars(f"COALESCE(MAX(CASE WHEN amount < 0 THEN -{c} END), 0)")} AS largest_expense
-FROM {src} GROUP BY statement_id"""
+  COALESCE({rounded("inc")}, 0.0) AS total_income,
+  COALESCE({rounded("exp")}, 0.0) AS total_expenses,
+  COALESCE({rounded("net")}, 0.0) AS net_cashflow,
+  transaction_count,
+  COALESCE({rounded("exp", "n_exp")}, 0.0) AS avg_expense,
+  COALESCE({rounded("top")}, 0.0) AS largest_expense
+FROM (
+  SELECT statement_id, SUM(u) FILTER (u > 0) AS inc, SUM(-u) FILTER (u < 0) AS exp, SUM(u) AS net,
+         COUNT(*) AS transaction_count, COUNT(*) FILTER (amount < 0 AND u IS NOT NULL) AS n_exp, MAX(-u) FILTER (u < 0) AS top
+  FROM (SELECT *, {units()} AS u FROM {src}) GROUP BY statement_id)"""
 
 
 def by_category_cte(src: str) -> str:
     return f"""cat_g AS (
-  SELECT statement_id, category, SUM(-{cents()}) AS tc, COUNT(*) AS count
+  SELECT statement_id, category, SUM(-({units()})) AS tc, COUNT(*) AS count
   FROM {src} WHERE amount < 0 GROUP BY statement_id, category),
 cat_r AS (
   SELECT statement_id, category, {dollars("tc")} AS total, count, tc,
@@ -74,7 +84,7 @@ cat_r AS (
 
 
 def by_month_cte(src: str) -> str:
-    c = cents()
+    c = "(" + units() + ")"
     return f"""mon AS (
   SELECT statement_id, strftime(ts, '%Y-%m') AS month,
          {dollars(f"SUM(CASE WHEN amount > 0 THEN {c} ELSE 0 END)")} AS income,
@@ -84,7 +94,7 @@ def by_month_cte(src: str) -> str:
 
 def zscore_ctes(src: str, name: str = "zs") -> str:
     return f"""{name}_e AS (
-  SELECT *, -{cents()} AS c FROM {src} WHERE amount < 0 AND category IS NOT NULL),
+  SELECT *, -({units()}) AS c FROM {src} WHERE amount < 0 AND category IS NOT NULL),
 {name}_s AS (
   SELECT statement_id, category, COUNT(*) AS n, SUM(CAST(c AS HUGEINT)) AS s1,
          SUM(CAST(c AS HUGEINT) * CAST(c AS HUGEINT)) AS s2
@@ -99,7 +109,7 @@ def zscore_ctes(src: str, name: str = "zs") -> str:
 {name} AS (
   SELECT statement_id, txn_id, date, description, amount, category,
          'Unusually large for ' || category || ' (z=' || printf('%.2f', z) || ', avg=$'
-           || printf('%.2f', mean_c / 100.0) || ')' AS reason,
+           || printf('%.2f', mean_c / 1000000.0) || ')' AS reason,
          'z_score' AS method
   FROM {name}_z WHERE z > 2.5)"""
 
@@ -294,7 +304,7 @@ STMT_PAGES = [
   FROM pos_txn)""",
     """stmt_pages AS (
   SELECT statement_id, page_num,
-         'First National Bank - Statement' || chr(10) || 'Account: ' || CAST(statement_id + 1000000000 AS VARCHAR)
+         'Tidewater Savings | Account record' || chr(10) || 'Account: ' || CAST(statement_id + 1000000000 AS VARCHAR)
            || ' | Holder ' || CAST(statement_id AS VARCHAR) || ' | SSN: '
            || lpad(CAST(statement_id % 1000 AS VARCHAR), 3, '0') || '-45-6789' || chr(10)
            || 'Date Description Amount Balance' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text,
@@ -614,8 +624,8 @@ FROM rj_mark GROUP BY statement_id"""
 
 # --- streaming (checked against the batch statement of the same result) ------------
 SQL["stream_daily_cashflow"] = with_(TXN_EV) + f"""SELECT statement_id, strftime(ts, '%Y-%m-%d') AS day,
-  {dollars(f"SUM(CASE WHEN amount > 0 THEN {cents()} ELSE 0 END)")} AS income,
-  {dollars(f"SUM(CASE WHEN amount < 0 THEN -{cents()} ELSE 0 END)")} AS expenses,
+  {dollars(f"SUM(CASE WHEN amount > 0 THEN {units()} ELSE 0 END)")} AS income,
+  {dollars(f"SUM(CASE WHEN amount < 0 THEN -({units()}) ELSE 0 END)")} AS expenses,
   COUNT(*) AS n_txns
 FROM (SELECT DISTINCT ON (statement_id, date, description, amount) * FROM txn_ev ORDER BY statement_id, date, description, amount, txn_id)
 GROUP BY statement_id, strftime(ts, '%Y-%m-%d')"""

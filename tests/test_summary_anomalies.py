@@ -8,20 +8,19 @@ from ledgerlens.operators import summary as A
 
 
 def test_sample_statement_summary(sample):
-    # Hand-derived from the sample rows.
     r = A.financial_summary(sample).collect()[0]
-    assert r.total_income == 3500.00
-    assert r.total_expenses == 2056.84
-    assert r.net_cashflow == 1443.16
-    assert r.transaction_count == 11
-    assert r.avg_expense == 205.68
-    assert r.largest_expense == 1500.00
-    months = A.monthly_breakdown(sample).collect()
-    assert [(m.month, m.income, m.expenses) for m in months] == [("2024-01", 3500.0, 2056.84)]
+    assert r.total_income == 2823.10
+    assert r.total_expenses == 1463.10
+    assert r.net_cashflow == 1360.00
+    assert r.transaction_count == 12
+    assert r.avg_expense == 146.31
+    assert r.largest_expense == 1250.00
+    months = sorted((m.month, m.income, m.expenses) for m in A.monthly_breakdown(sample).collect())
+    assert months == [("2023-05", 2823.10, 1433.90), ("2023-06", 0.0, 29.20)]
 
 
 def test_sample_statement_has_no_anomalies(sample):
-    # The repeated charge is 20 days apart; no category has 9 expenses.
+    # The repeated charge is 18 days apart; no category has 9 expenses.
     assert W.anomalies(sample).count() == 0
 
 
@@ -30,20 +29,35 @@ def test_one_category_sample_flags_rent(sample):
     from pyspark.sql import functions as F
 
     hits = W.zscore_anomalies(sample.withColumn("category", F.lit("Other"))).collect()
-    assert [h.description for h in hits] == ["RENT PAYMENT"]
-    assert hits[0].reason == "Unusually large for Other (z=2.82, avg=$205.68)"
+    assert [h.description for h in hits] == ["TIDEWATER LETTINGS"]
+    assert hits[0].reason == "Unusually large for Other (z=2.84, avg=$146.31)"
 
 
 def test_summary_text(sample):
     text = R.summary_text(A.summary_record(sample)).collect()[0].summary_text
     lines = text.split("\n")
-    assert lines[0] == "- Total Income:      $3,500.00"
-    assert lines[3] == "- Transaction Count: 11.0"
-    assert lines[5] == "- Largest Expense:   $1,500.00"
+    assert lines[0] == "- Total Income:      $2,823.10"
+    assert lines[3] == "- Transaction Count: 12.0"
+    assert lines[5] == "- Largest Expense:   $1,250.00"
     assert lines[7] == "Spending by Category:"
-    assert lines[8] == "  • Rent & Housing: $1,500.00 (1 transactions)"
-    assert lines[10] == "  • Shopping: $99.98 (2 transactions)"
-    assert lines[-2:] == ["Monthly Breakdown:", "  • 2024-01: Income $3,500.00 | Expenses $2,056.84"]
+    assert lines[8] == "  • Rent & Housing: $1,250.00 (1 transactions)"
+    assert lines[10] == "  • Transportation: $40.00 (1 transactions)"
+    assert lines[-2:] == ["  • 2023-05: Income $2,823.10 | Expenses $1,433.90", "  • 2023-06: Income $0.00 | Expenses $29.20"]
+
+
+def test_money_is_rounded_once_at_the_end(spark):
+    # 1,000 expenses of 0.004 are 4.00; a NaN amount is a missing one.
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, i, day, f"S {i}", -0.004, "c") for i in range(1000)]
+    rows += [(1, 1000, day, "N", float("nan"), "c"), (1, 1001, day, "H", 0.125, "c"), (1, 1002, day, "H", 0.25, "c")]
+    t = txn_frame(spark, rows)
+    r = A.financial_summary(t).collect()[0]
+    assert (r.total_expenses, r.total_income, r.net_cashflow, r.transaction_count) == (4.0, 0.38, -3.63, 1003)
+    assert (r.avg_expense, r.largest_expense) == (0.0, 0.0)
+    assert [(x.total, x["count"]) for x in A.spending_by_category(t).collect()] == [(4.0, 1000)]
+    assert [(m.income, m.expenses) for m in A.monthly_breakdown(t).collect()] == [(0.38, 4.0)]
+    assert A.flatten_summary(A.summary_record(t)).collect()[0].total_expenses == 4.0
+    assert W.anomalies(t).filter("method = 'z_score'").count() == 0
 
 
 def test_no_expenses_gives_zero_defaults(spark):

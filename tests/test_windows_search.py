@@ -40,8 +40,8 @@ def test_previous_row_equals_lag(spark):
 
 def test_with_position_balance(sample):
     rows = X.with_position(sample).orderBy("pos").collect()
-    assert [r.pos for r in rows] == list(range(1, 12))
-    assert rows[0].balance == 4950.01 and rows[-1].balance == 6443.16
+    assert [r.pos for r in rows] == list(range(1, 13))
+    assert rows[0].balance == 4991.60 and rows[-1].balance == 6360.00
 
 
 def test_knn_matches_numpy(spark):
