@@ -39,6 +39,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import byte_bpe
 from ledgerlens.llm.packed import by_hash_part, pack_words, ragged, squeeze, unpack_words, unsqueeze
 
-CHUNK_BYTES = 24 << 20  # text of a chunk; a chunk ends with the row that reaches it
+CHUNK_BYTES = 8 << 20  # text of a chunk; a chunk ends with the row that reaches it
 BUNDLE_WORDS = 1 << 16  # packed words of one row of documents
 IDS, ORDER, DOCS = 0, 1, 2
 
@@ -81,43 +82,56 @@ class Chunk:
                 first, *pieces = text.split(" ")
                 yield find(first), pieces
 
-    def word_set(self, pattern: str) -> set[str]:
-        words, pieces, find = set(), set(), _compile(pattern).findall
+    def word_set(self, pattern: str) -> list[bytes]:
+        firsts, pieces = [], set()
         for first, rest in self.split(pattern):
-            words.update(first)
+            firsts += first
             pieces.update(rest)
-        for piece in pieces:
-            words.update(find(" " + piece))
-        return words
+        words = pa.array(firsts + piece_words(list(pieces), pattern), pa.string())
+        return words.unique().cast(pa.binary()).to_pylist()
 
     def numbered(self, pattern: str, parts: int):
         """The words by part, and every document's words as places in them."""
-        find = _compile(pattern).findall
-        firsts, flat, blocks, counts = [], [], [], []
+        firsts, n_first, flat, blocks, counts = [], [], [], [], []
         for first, rest in self.split(pattern):
-            firsts.append(first)
+            firsts += first
+            n_first.append(len(first))
             flat += rest
             counts.append(len(rest))
             if len(flat) > 1 << 18:
                 blocks.append(pa.array(flat, pa.string()))
                 flat = []
         blocks.append(pa.array(flat, pa.string()))
-        encoded = pa.concat_arrays(blocks).dictionary_encode()
-        piece_numbers = encoded.indices.to_numpy()
-        distinct = [find(" " + p) for p in encoded.dictionary.to_pylist()]
-        by_part = by_hash_part((w.encode() for w in set().union(*distinct, *firsts)), parts)
-        place = {w: i for i, w in enumerate(w for words in by_part for w in words)}
-        lengths = np.array([len(ws) for ws in distinct], np.int64)
-        values = np.array([place[w.encode()] for ws in distinct for w in ws], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        own, at, totals = [], 0, []
-        for first, n in zip(firsts, counts, strict=True):
-            numbers = piece_numbers[at : at + n]
-            rest = ragged(values, starts[numbers], lengths[numbers])
-            own.append(np.concatenate([np.array([place[w.encode()] for w in first], np.int64), rest]))
-            totals.append(len(own[-1]))
-            at += n
-        return by_part, np.concatenate(own), np.array(totals, np.int64)
+        pieces = pa.concat_arrays(blocks).dictionary_encode()
+        del blocks, flat
+        words = pa.array(piece_words(pieces.dictionary.to_pylist(), pattern) + firsts, pa.string())
+        encoded = words.dictionary_encode()
+        own = encoded.dictionary.cast(pa.binary()).to_pylist()
+        by_part = by_hash_part(own, parts)
+        place = {w: i for i, w in enumerate(w for part in by_part for w in part)}
+        places = np.array([place[w] for w in own], np.int64)[encoded.indices.to_numpy()]
+        # A piece starts with the only word of it that starts with a blank.
+        n_words = len(words) - len(firsts)
+        starts = np.flatnonzero(pc.starts_with(words.slice(0, n_words), " ").to_numpy(zero_copy_only=False))
+        lengths = np.diff(np.append(starts, n_words))
+        of_pieces = pieces.indices.to_numpy()
+        # Per document its first words, then the words of its pieces.
+        n_first, counts = np.array(n_first), np.array(counts)
+        spans = np.zeros(len(of_pieces) + len(n_first), np.int64)
+        begins = np.zeros(len(spans), np.int64)
+        lead = np.cumsum(counts) - counts + np.arange(len(counts))
+        rest = np.ones(len(spans), bool)
+        rest[lead] = False
+        spans[lead], begins[lead] = n_first, n_words + np.cumsum(n_first) - n_first
+        spans[rest], begins[rest] = lengths[of_pieces], starts[of_pieces]
+        totals = np.add.reduceat(spans, lead)
+        return by_part, ragged(places, begins, spans), totals
+
+
+def piece_words(pieces: list[str], pattern: str) -> list[str]:
+    """The words of pieces that each follow a blank, in order: one match run
+    over all of them, since a border precedes every such blank."""
+    return _compile(pattern).findall(" " + " ".join(pieces)) if pieces else []
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
@@ -151,7 +165,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     def word_rows(batches):
         for number, chunk in chunks(batches):
             rows = []
-            for part, words in enumerate(by_hash_part((w.encode() for w in chunk.word_set(pattern)), parts)):
+            for part, words in enumerate(by_hash_part(chunk.word_set(pattern), parts)):
                 if words:
                     rows.append((part, number, len(words), *pack_words(words)))
             yield pa.RecordBatch.from_arrays(
