@@ -35,6 +35,7 @@ def chunk_text(df: DataFrame, keys: Sequence[str], text_col: str = "text", max_c
     return df.select(*keys, F.posexplode(greedy_chunks(F.col(text_col), max_chars)).alias("chunk_idx", "chunk"))
 
 
+# The patterns of a repair are fixed values: they must equal the reference's.
 def repair_json(raw: Column) -> Column:
     """Strip, drop a leading ```json / ``` fence and a trailing fence,
     drop trailing commas before ``]``/``}``, add missing outer brackets."""
@@ -49,10 +50,26 @@ def repair_json(raw: Column) -> Column:
 def parse_replies(replies: DataFrame, keys: Sequence[str], raw_col: str = "raw") -> DataFrame:
     """E2+E3: repaired reply parsed to ``records array<map<string,string>>``
     (null when the text is not valid JSON)."""
-    return replies.select(
-        *keys,
-        F.from_json(repair_json(F.col(raw_col)), "array<map<string,string>>").alias("records"),
-    )
+    return replies.select(*keys, json_records(repair_json(F.col(raw_col))).alias("records"))
+
+
+def json_records(text: Column) -> Column:
+    """The array of member maps that a JSON text holds, or null: no single
+    quotes, nothing behind the closing bracket (the array is read as the
+    only member of an object, which ends where the array does), the last of
+    a repeated member, NaN and Infinity as such."""
+    held = F.from_json(
+        F.concat(F.lit('{"x":'), text, F.lit("}")), "x array<map<string,string>>", {"allowSingleQuotes": "false"})["x"]
+
+    def last_of_each(rec: Column) -> Column:
+        entries = F.map_entries(rec)
+        kept = F.filter(entries, lambda e, i: ~F.exists(
+            F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+        bare = F.transform(kept, lambda e: F.struct(
+            e["key"], F.regexp_replace(e["value"], r'^"(NaN|-?Infinity)"$', "$1").alias("value")))
+        return F.map_from_entries(bare)
+
+    return F.transform(held, last_of_each)
 
 
 def reply_records(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,8 +78,21 @@ def reply_records(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parsed.select(*keys, F.posexplode_outer("records").alias("item_idx", "rec"))
 
 
+_DIGITS = r"\d+(?:_\d+)*"
+# What float() reads.
+FLOAT_PATTERN = (
+    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)$"
+)
+
+
+def _num(v: Column) -> Column:
+    """The number that ``float()`` reads, or null."""
+    bare = py_strip(v)
+    return F.when(bare.rlike(FLOAT_PATTERN), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def _num_ok(v: Column) -> Column:
-    return v.try_cast("double").isNotNull()
+    return py_strip(v).rlike(FLOAT_PATTERN)
 
 
 def normalize(records: DataFrame) -> DataFrame:
@@ -86,8 +116,8 @@ def normalize(records: DataFrame) -> DataFrame:
         "*",
         F.when(has("date"), F.coalesce(date_raw, F.lit("None"))).otherwise(F.lit("")).alias("date"),
         rec["description"].alias("description"),
-        F.when(has("amount"), amount_raw.try_cast("double")).otherwise(F.lit(0.0)).alias("amount"),
-        balance_raw.try_cast("double").alias("balance"),
+        F.when(has("amount"), _num(amount_raw)).otherwise(F.lit(0.0)).alias("amount"),
+        _num(balance_raw).alias("balance"),
         rec["type"].alias("type"),
         reason.alias("reject_reason"),
     ).drop("rec")

@@ -36,7 +36,6 @@ REGEX_RULES: list[tuple[str, str, str]] = [
 RECOGNIZERS: list[tuple[str, str, float]] = [
     ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6),
     ("URL", r"\bhttps?://[^\s\"'<>]+", 0.5),
-    ("PERSON", r"\bJohn Doe\b", 0.85),
 ]
 
 FINDING = (
@@ -79,20 +78,19 @@ def _findings(label: str, parts: Column, ms: Column, pass_no: int, score: float
     )
 
 
-# A rule whose every possible match is consumed by an earlier rule.  Proof
-# for ROUTING_NUMBER after ACCOUNT_NUMBER: a ``\b\d{9}\b`` match is a whole
-# digit run of length 9 with word boundaries on both sides, which
+# By pattern: a rule whose every possible match is consumed by an earlier one.
+# Proof for the routing rule after the account rule: a ``\b\d{9}\b`` match is
+# a whole digit run of length 9 with word boundaries on both sides, which
 # ``\b\d{8,17}\b`` matches first and turns into a token; inside a token
 # every digit run follows ``_`` or a letter (word characters), so no
-# boundary precedes it.  The rule stays in the list (same pass numbers,
-# same output) but its scans are skipped.
-SHADOWED_BY = {"ROUTING_NUMBER": "ACCOUNT_NUMBER"}
+# boundary precedes it.  The rule keeps its pass number, its scans are skipped.
+SHADOWED_BY = {REGEX_RULES[1][1:]: REGEX_RULES[0][1:]}
 
-# A character every match of the rule contains (outside any optional part
-# of its pattern).  A text without it cannot match, so its regex scans are
-# skipped after one byte search; the tokens earlier passes insert hold
-# neither character, so the test is exact on rewritten text too.
-REQUIRED_CHAR = {"SSN": "-", "EMAIL": "@"}
+# By pattern: a character every match contains (outside any optional part).
+# A text without it cannot match, so its regex scans are skipped after one
+# byte search; the tokens earlier passes insert hold neither character, so
+# the test is exact on rewritten text too.
+REQUIRED_CHAR = {REGEX_RULES[2][1:]: "-", REGEX_RULES[4][1:]: "@"}
 
 
 def _empty_findings() -> Column:
@@ -158,13 +156,14 @@ def regex_redact(
     """Add ``out`` (text after the rules) and ``findings`` (array of
     findings of every pass).  ``upto`` stops after that many rules."""
     base = df.columns
-    rules = list(rules)[: upto or len(rules)]
+    rules = list(rules) if upto is None else list(rules)[:upto]
     state = _start_state(F.col(text_col))
-    done: set[str] = set()
+    done: set[tuple[str, str]] = set()
     for i, (label, pattern, flags) in enumerate(rules, 1):
-        if SHADOWED_BY.get(label) not in done:
-            state = _apply_rule(state, label, java_pattern(pattern, flags), i, required=REQUIRED_CHAR.get(label))
-        done.add(label)
+        rule = (pattern, flags)
+        if SHADOWED_BY.get(rule) not in done:
+            state = _apply_rule(state, label, java_pattern(pattern, flags), i, required=REQUIRED_CHAR.get(rule))
+        done.add(rule)
     tmp = df.select("*", state.alias("__rx"))
     return tmp.select(*base, F.col("__rx.text").alias(out), F.col("__rx.findings").alias(findings))
 
@@ -194,27 +193,65 @@ def entity_findings(
     return df.select(*base, _let(F.col(text_col), on_text).alias(out))
 
 
+def winning_spans(hits: Column) -> Column:
+    """The hits that are replaced, by place: of overlapping ones the longest,
+    then the one with the highest score, then the first."""
+    ranked = F.array_sort(F.transform(hits, lambda h: F.struct(
+        (h["span_start"] - h["span_end"]).alias("k"), (-h["score"]).alias("s"), h["span_start"].alias("a"),
+        h["span_end"].alias("b"), h["type"].alias("type"))))
+    kind = "array<struct<a:int,b:int,type:string>>"
+
+    def step(kept: Column, h: Column) -> Column:
+        free = ~F.exists(kept, lambda w: (w["a"] < h["b"]) & (h["a"] < w["b"]))
+        return F.when(free, F.array_append(kept, F.struct(h["a"], h["b"], h["type"]))).otherwise(kept)
+
+    return F.array_sort(F.aggregate(ranked, F.array().cast(kind), step))
+
+
 def entity_redact(
     df: DataFrame,
     text_col: str = "redacted",
     recognizers: Sequence[tuple[str, str, float]] = RECOGNIZERS,
     out: str = "anonymized",
+    hits: str | None = None,
 ) -> DataFrame:
-    """P10: recogniser hits replaced by ``<ENTITY_TYPE>``, highest score first."""
-    text = F.col(text_col)
-    for etype, pattern, _ in sorted(recognizers, key=lambda r: -r[2]):
-        text = F.regexp_replace(text, java_pattern(pattern), f"<{etype}>")
-    return df.withColumn(out, text)
+    """P10: recogniser hits replaced by ``<ENTITY_TYPE>``.  All hits are found
+    on the text as it is (``hits``, or found here); overlaps are resolved,
+    then each winner is replaced once, so no part of a hit is left behind."""
+    base = df.columns
+    if hits is None:
+        df, hits = entity_findings(df, text_col, recognizers, out="__hits"), "__hits"
 
+    def rewrite(spans: Column) -> Column:
+        text = F.col(text_col)
+        before = F.transform(spans, lambda x, i: F.concat(
+            F.substring(text, F.when(i == 0, F.lit(0)).otherwise(spans[F.greatest(i - 1, F.lit(0))]["b"]) + 1,
+                        x["a"] - F.when(i == 0, F.lit(0)).otherwise(spans[F.greatest(i - 1, F.lit(0))]["b"])),
+            F.lit("<"), x["type"], F.lit(">")))
+        rest = F.substring(text, F.element_at(spans, -1)["b"] + 1, F.length(text))
+        return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(before, ""), rest))
 
-def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
+    return df.select(*base, _let(winning_spans(F.col(hits)), rewrite).alias(out))
+
+
+def redact_pii(df: DataFrame, text_col: str = "text",
+               recognizers: Sequence[tuple[str, str, float]] = RECOGNIZERS) -> DataFrame:
     """Both passes: ``redacted_text`` and all ``findings`` (regex then entity)."""
     r = regex_redact(df, text_col, out="__regex", findings="__rf")
-    r = entity_findings(r, "__regex", out="__ef")
-    r = entity_redact(r, "__regex", out="redacted_text")
+    r = entity_findings(r, "__regex", recognizers, out="__ef")
+    r = entity_redact(r, "__regex", recognizers, out="redacted_text", hits="__ef")
     return r.select(*df.columns, "redacted_text", F.concat("__rf", "__ef").alias("findings"))
 
 
+def load_recognizers(table: DataFrame, at_most: int = 1000) -> list[tuple[str, str, float]]:
+    """A recogniser table (``entity_type``, ``pattern``, ``score``) as rules,
+    in order of type and pattern; its size is checked."""
+    rows = table.orderBy("entity_type", "pattern").limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} recognisers")
+    return [(r["entity_type"], r["pattern"], r["score"]) for r in rows]
+
+
 def explode_findings(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:
     """One row per finding.
 

@@ -201,14 +201,17 @@ def _pii_tokens(spark, sf):
     return P.explode_findings(r, ["doc_id"]).select("type", "original_hash", "token").distinct()
 
 
-def _entity(spark, sf):
-    r = P.regex_redact(_docs(spark, sf), "text")
-    return P.entity_findings(r, "redacted")
+def _entity_docs(spark, sf):
+    return X.entity_documents(_docs(spark, sf))
+
+
+def _names(spark):
+    return P.load_recognizers(X.recognizers(spark))
 
 
 @register("entity_findings")
 def _entity_findings(spark, sf):
-    e = _entity(spark, sf)
+    e = P.entity_findings(P.regex_redact(_entity_docs(spark, sf), "text"), "redacted", _names(spark))
     return P.explode_findings(e, ["doc_id"], "entity_findings").select(
         "doc_id", "type", "score", "token",
         F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"),
@@ -217,12 +220,12 @@ def _entity_findings(spark, sf):
 
 @register("entity_redact")
 def _entity_redact(spark, sf):
-    r = P.regex_redact(_docs(spark, sf), "text")
-    return P.entity_redact(r, "redacted").select("doc_id", "anonymized")
+    r = P.regex_redact(_entity_docs(spark, sf), "text")
+    return P.entity_redact(r, "redacted", _names(spark)).select("doc_id", "anonymized")
 
 
 def _all_findings(spark, sf):
-    return P.explode_findings(P.redact_pii(_docs(spark, sf), "text"), ["doc_id"])
+    return P.explode_findings(P.redact_pii(_entity_docs(spark, sf), "text", _names(spark)), ["doc_id"])
 
 
 @register("findings_union")
@@ -235,7 +238,7 @@ def _findings_union(spark, sf):
 
 @register("pii_audit")
 def _pii_audit(spark, sf):
-    return P.pii_audit(P.redact_pii(_docs(spark, sf), "text"), ["doc_id"])
+    return P.pii_audit(P.redact_pii(_entity_docs(spark, sf), "text", _names(spark)), ["doc_id"])
 
 
 @register("token_vault")

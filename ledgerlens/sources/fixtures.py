@@ -182,11 +182,23 @@ def category_rules(spark: SparkSession) -> DataFrame:
     )
 
 
+# Invented names that the planted sentences hold.
+PLANTED = " Seen http://10.0.0.1/u?tok=abc by Mira Solberg and Tomas Okafor."
+
+
 def recognizers(spark: SparkSession) -> DataFrame:
-    """The default entity recogniser table as a DataFrame."""
+    """The recogniser table of the queries: the defaults and two names."""
     from ledgerlens.operators.redact import RECOGNIZERS
 
-    return spark.createDataFrame(RECOGNIZERS, "entity_type string, pattern string, score double")
+    return spark.createDataFrame(
+        [*RECOGNIZERS, ("PERSON", r"\b(?:Mira Solberg|Tomas Okafor)\b", 0.85)],
+        "entity_type string, pattern string, score double")
+
+
+def entity_documents(docs: DataFrame) -> DataFrame:
+    """Documents, every 50th with a planted sentence (an address inside a
+    URL, two names)."""
+    return docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(PLANTED))).otherwise(F.col("text")))
 
 
 def label_centroids(embeddings: DataFrame) -> DataFrame:

@@ -227,8 +227,8 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# Same rules as stated in the reference, in RE2 syntax (non-capturing group;
-# case-insensitive flag inline).
+# --- fixed values (must equal the reference's) ---------------------------
+# The regex rules in RE2 syntax (non-capturing group; flag inline).
 RULES = [
     ("ACCOUNT_NUMBER", r"\b\d{8,17}\b"),
     ("ROUTING_NUMBER", r"\b\d{9}\b"),
@@ -236,11 +236,14 @@ RULES = [
     ("PHONE", r"\b(?:\+1[\s-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b"),
     ("EMAIL", r"(?i)\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b"),
 ]
+# --------------------------------------------------------------------------
 ENTITIES = [
     ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6),
+    ("PERSON", r"\b(?:Mira Solberg|Tomas Okafor)\b", 0.85),
     ("URL", r"\bhttps?://[^\s\"'<>]+", 0.5),
-    ("PERSON", r"\bJohn Doe\b", 0.85),
 ]
+PLANTED = " Seen http://10.0.0.1/u?tok=abc by Mira Solberg and Tomas Okafor."
+ENTITY_DOCS = f"ent_docs AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text || {lit(PLANTED)} ELSE text END AS text FROM documents)"
 
 
 def tok(label: str, v: str) -> str:
@@ -334,22 +337,30 @@ SQL["pii_findings"] = with_(regex_chain("documents", DOC), _FALL) + (
     "SELECT doc_id, pass, idx, type, original_hash, token, span_start, span_end FROM fall"
 )
 SQL["pii_tokens"] = with_(regex_chain("documents", DOC), _FALL) + "SELECT DISTINCT type, original_hash, token FROM fall"
-SQL["entity_findings"] = with_(regex_chain("documents", DOC), entity_ctes(DOC)) + (
+SQL["entity_findings"] = with_(ENTITY_DOCS, regex_chain("ent_docs", DOC), entity_ctes(DOC)) + (
     "SELECT doc_id, type, score, token, span_start, span_end FROM ("
     + union_all(f"e{6 + k}" for k in range(len(ENTITIES))) + ")"
 )
-_anon = "t"
-for _etype, _pat, _score in sorted(ENTITIES, key=lambda e: -e[2]):
-    _anon = f"regexp_replace({_anon}, {lit(_pat)}, {lit('<' + _etype + '>')}, 'g')"
-SQL["entity_redact"] = with_(regex_chain("documents", DOC)) + f"SELECT doc_id, {_anon} AS anonymized FROM rx5"
+_HITS = "hits AS (" + union_all(f"e{6 + k}" for k in range(len(ENTITIES))) + ")"
+SQL["entity_redact"] = with_(ENTITY_DOCS, regex_chain("ent_docs", DOC), entity_ctes(DOC), _HITS,
+    """won AS (
+  SELECT * FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits g WHERE g.doc_id = h.doc_id AND g.span_start < h.span_end AND h.span_start < g.span_end
+      AND (h.span_end - h.span_start, h.score, -h.span_start) < (g.span_end - g.span_start, g.score, -g.span_start)))""",
+    """cut AS (
+  SELECT *, COALESCE(LAG(span_end) OVER (PARTITION BY doc_id ORDER BY span_start), 0) AS from_char FROM won)""",
+    """put AS (
+  SELECT rx5.doc_id, string_agg(substr(t, from_char + 1, span_start - from_char) || '<' || type || '>', '' ORDER BY span_start) AS head,
+         max(span_end) AS last_char FROM cut JOIN rx5 USING (doc_id) GROUP BY rx5.doc_id)""",
+) + "SELECT rx5.doc_id, COALESCE(head || substr(t, last_char + 1), t) AS anonymized FROM rx5 LEFT JOIN put USING (doc_id)"
 _EALL = "eall AS (" + union_all([*(f"f{i}" for i in range(1, 6)), *(f"e{6 + k}" for k in range(len(ENTITIES)))]) + ")"
-SQL["findings_union"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+SQL["findings_union"] = with_(ENTITY_DOCS, regex_chain("ent_docs", DOC), entity_ctes(DOC), _EALL) + (
     "SELECT doc_id, pass, idx, type, token, original_hash, score FROM eall"
 )
-SQL["pii_audit"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+SQL["pii_audit"] = with_(ENTITY_DOCS, regex_chain("ent_docs", DOC), entity_ctes(DOC), _EALL) + (
     "SELECT d.doc_id, (SELECT COUNT(*) FROM eall WHERE eall.doc_id = d.doc_id) AS items_found FROM documents d"
 )
-SQL["token_vault"] = with_(regex_chain("documents", DOC), entity_ctes(DOC), _EALL) + (
+SQL["token_vault"] = with_(ENTITY_DOCS, regex_chain("ent_docs", DOC), entity_ctes(DOC), _EALL) + (
     "SELECT original_hash, arg_min(token, (doc_id, pass, span_start)) AS token FROM eall GROUP BY original_hash"
 )
 

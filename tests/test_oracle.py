@@ -8,11 +8,11 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
+from ledgerlens.plans.catalog import QUERIES
+from oracle_sql import SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
 
 
 def norm(v):
@@ -37,6 +37,7 @@ def test_every_query_is_registered_with_oracle_or_listed():
     rows_only = {"categorize_ml", "embed_tfidf", "knn_lsh"}
     assert set(QUERIES) - set(SQL) == rows_only
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
