@@ -3,10 +3,11 @@
 * Batches of 20 per statement follow ``txn_id`` order; the position is a
   skew-safe running count (``functions.windows``), not a window over the
   whole statement.
-* The rule categoriser works on *distinct* descriptions: description
-  words are exploded and equi-joined to the keyword rules (a rules table of
-  checked size is broadcast), the best rule per description wins by
-  priority, and the (description -> category) map joins back.
+* The rule categoriser works on *distinct* descriptions: runs of
+  description words are exploded and equi-joined to the patterns (adaptive
+  execution broadcasts a rules table that it measures as small), the best
+  rule per description wins by priority, and the (description -> category)
+  map joins back.
 * Model replies are parsed; a later answer for a description replaces an
   earlier one (``max_by`` over (batch, item)); unmatched descriptions get
   ``Other`` / 0.0.
@@ -21,8 +22,7 @@ from ledgerlens.functions.windows import running_totals
 from ledgerlens.schemas import CATEGORIES, CATEGORY_BATCH, DEFAULT_CATEGORY
 
 KEY = "statement_id"
-MAX_BROADCAST_RULES = 100_000
-REPLY_SCHEMA = "array<map<string,string>>"
+_BETWEEN = r"[^\p{L}\p{N}&]+"  # what separates words of descriptions and patterns
 
 
 def category_dim(spark: SparkSession) -> DataFrame:
@@ -56,11 +56,12 @@ def json_string(c: Column) -> Column:
 
 
 def batch_payload(batched: DataFrame) -> DataFrame:
-    """C4: per batch, the descriptions as an indented JSON array (the request
-    body); each group holds at most ``CATEGORY_BATCH`` rows."""
+    """C4: per batch, the request: the category list and the descriptions as
+    an indented JSON array; each group holds at most ``CATEGORY_BATCH`` rows."""
     item = F.concat(F.lit('  {\n    "description": '), json_string(F.col("description")), F.lit("\n  }"))
     return batched.groupBy(KEY, "batch").agg(
         F.count(F.lit(1)).alias("n_items"),
+        F.first(category_list_text()).alias("categories"),
         F.concat(
             F.lit("[\n"),
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_idx", item.alias("j")))), lambda s: s["j"]), ",\n"),
@@ -69,23 +70,26 @@ def batch_payload(batched: DataFrame) -> DataFrame:
     )
 
 
-def _broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a configuration table only after checking its size."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _spelled(text: Column) -> Column:
+    """The upper-case words of a text, one blank between two."""
+    return F.trim(F.regexp_replace(F.upper(text), _BETWEEN, " "))
 
 
 def rule_map(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
     """C5 (rules): (statement, description) -> best matching rule.  A rule
-    matches when its keyword is one of the description's words
-    (case-insensitive); the lowest ``priority`` wins."""
-    words = descriptions.select(
-        KEY, "description",
-        F.explode(F.array_distinct(F.split(F.upper("description"), r"[^\p{L}\p{N}&]+"))).alias("word"),
-    ).filter(F.col("word") != "")
-    r = rules.select(F.upper("pattern").alias("word"), "category", "confidence", "priority")
-    hits = words.join(_broadcast_if_small(r, MAX_BROADCAST_RULES), "word", "inner")
-    return hits.groupBy(KEY, "description").agg(
-        F.min_by(F.struct("category", "confidence"), F.struct("priority", "word")).alias("m")
+    matches when the words of its pattern (one or several, ``WHOLE FOODS``,
+    ``NETFLIX.COM``) stand in a row in the description, whatever the case;
+    the lowest ``priority`` wins.  Every run of words that is as long as some
+    pattern joins the patterns by equality."""
+    r = rules.select(_spelled(F.col("pattern")).alias("phrase"), "category", "confidence", "priority").filter("phrase <> ''")
+    lengths = r.agg(F.array_sort(F.collect_set(F.size(F.split("phrase", " ")))).alias("lengths"))  # one short row
+    words = descriptions.select(KEY, "description", F.split(_spelled(F.col("description")), " ").alias("words"))
+    runs = words.join(F.broadcast(lengths)).select(KEY, "description", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.filter("lengths", lambda n: n <= F.size("words")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")),
+    )))).alias("phrase"))
+    return runs.join(r, "phrase").groupBy(KEY, "description").agg(
+        F.min_by(F.struct("category", "confidence"), F.struct("priority", "phrase")).alias("m")
     ).select(KEY, "description", F.col("m.category").alias("category"), F.col("m.confidence").alias("confidence"))
 
 
@@ -106,11 +110,13 @@ def categorize_rules(txns: DataFrame, rules: DataFrame) -> DataFrame:
 
 def parse_category_replies(replies: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse replies; returns (records, rejects).  ``strict`` fails the
-    whole job on the first invalid reply (FAILFAST), as the reference does."""
-    from ledgerlens.operators.extract import repair_json
+    whole job on the first invalid reply, as the reference does."""
+    from ledgerlens.operators.extract import json_records, repair_json
 
-    opts = {"mode": "FAILFAST"} if strict else {}
-    parsed = replies.select(KEY, "batch", F.from_json(repair_json(F.col("raw")), REPLY_SCHEMA, opts).alias("records"))
+    parsed = replies.select(KEY, "batch", json_records(repair_json(F.col("raw"))).alias("records"))
+    if strict:
+        parsed = parsed.withColumn("records", F.coalesce(
+            "records", F.raise_error(F.lit("a reply is not valid JSON")).cast("array<map<string,string>>")))
     rejects = parsed.filter(F.col("records").isNull()).select(KEY, "batch", F.lit("invalid json").alias("reason"))
     recs = parsed.filter(F.col("records").isNotNull()).select(
         KEY, "batch", F.posexplode("records").alias("item_idx", "r")

@@ -1,12 +1,8 @@
 """Similarity search over embedding columns (``array<float>``).
 
-Exact top-k is a scan of the corpus against a *bounded* set of query
-vectors: the query side is broadcast only after its row count is checked
-(``MAX_BROADCAST_QUERIES``); the corpus side is never collected.  A
-larger query set is split into hash groups whose sizes are checked to be
-under the bound, and each group is one broadcast pass over the corpus
-(exact; never a shuffled Cartesian product of two large tables).  For one
-query, ``orderBy(dist).limit(k)`` becomes TakeOrderedAndProject (a top-k
+Exact top-k is a scan of the corpus against the query vectors in blocks
+(``_pairs``): any number of queries, no row bound, nothing collected.  For
+one query, ``orderBy(dist).limit(k)`` becomes TakeOrderedAndProject (a top-k
 per partition, then a merge).  For many, ``row_number() <= k`` per query
 becomes WindowGroupLimit, which also cuts each partition to k rows per
 query *before* the shuffle.  Distance is squared L2 (smaller = nearer),
@@ -22,8 +18,6 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.anomalies import fixed2
 from ledgerlens.schemas import TOP_K
 
-MAX_BROADCAST_QUERIES = 10_000
-
 
 def sq_l2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance, summed left to right in double."""
@@ -69,54 +63,73 @@ def txn_metadata(txns: DataFrame) -> DataFrame:
     )
 
 
-def embed_tfidf(docs: DataFrame, text_col: str = "content", num_features: int = 1 << 12) -> DataFrame:
-    """V3 (built-in): words -> hashed term frequencies -> IDF -> unit length,
-    as ``embedding array<float>``.  IDF is fitted on the same rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_w", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_v", p=2.0),
-    ])
-    out = pipe.fit(docs).transform(docs)
-    return out.withColumn("embedding", vector_to_array("_v", "float32")).drop("_w", "_tf", "_idf", "_v")
-
-
-def _bounded_groups(queries: DataFrame, key: str | None) -> list[DataFrame]:
-    """The query table as broadcast parts of at most
-    ``MAX_BROADCAST_QUERIES`` rows each (sizes checked, not assumed)."""
-    n = queries.count()
-    if n <= MAX_BROADCAST_QUERIES or key is None:
-        if n > MAX_BROADCAST_QUERIES:
-            raise ValueError("a single query must be one row")
-        return [F.broadcast(queries)]
-    groups = 2 * -(-n // MAX_BROADCAST_QUERIES)
-    while True:
-        part = F.pmod(F.xxhash64(F.col(key)), F.lit(groups))
-        sizes = queries.groupBy(part.alias("g")).count().collect()  # one row per group
-        if max(r["count"] for r in sizes) <= MAX_BROADCAST_QUERIES:
-            return [F.broadcast(queries.filter(part == i)) for i in range(groups)]
-        groups *= 2
-
-
-def _pairs(corpus: DataFrame, queries: DataFrame, key: str | None, on: Column | None = None) -> DataFrame:
-    """Corpus rows against each bounded, broadcast part of the queries."""
-    out = None
-    for part in _bounded_groups(queries, key):
-        j = corpus.crossJoin(part) if on is None else corpus.join(part, on, "inner")
-        out = j if out is None else out.unionByName(j)
-    return out
+def _words(text: Column) -> Column:
+    """The distinct lower-case words (letters and digits) of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != F.lit(""))
+
+
+def question_hits(txns: DataFrame, questions: DataFrame, k: int = TOP_K, key: str = "statement_id") -> DataFrame:
+    """Search by question text: the ``k`` nearest transactions of every
+    (statement, question), with their columns, ``rank`` and
+    ``similarity_score`` (smaller is nearer, as squared L2 of unit vectors).
+
+    Transactions and questions share one sparse space: words weighted by
+    their rarity in the statement, ``ln(1 + n / df)`` in millionths, so that
+    sums are exact.  Question words meet transaction words by equality, so
+    only transactions that share a word are scored; the distance is
+    ``2 - 2 * (weight of the shared words / weight of the question's words)``.
+    """
+    asked = questions.select("question_id", F.explode(_words(F.col("question"))).alias("word"))
+    spoken = txn_sentences(txns).select(key, "txn_id", F.explode(_words(F.col("content"))).alias("word"))
+    shared = spoken.join(asked, "word").distinct()  # rows that share a transaction id count once
+    sizes = txns.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rarity = (
+        shared.groupBy(key, "question_id", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, key)
+        .withColumn("weight", F.round(F.log(1.0 + F.col("n") / F.col("df").cast("double")) * 1_000_000).cast("bigint"))
+        .drop("n", "df")
+    )
+    whole = rarity.groupBy(key, "question_id").agg(F.sum("weight").alias("whole"))
+    scored = (
+        shared.join(rarity, [key, "question_id", "word"])
+        .groupBy(key, "question_id", "txn_id").agg(F.sum("weight").alias("got"))
+        .join(whole, [key, "question_id"])
+    )
+    w = Window.partitionBy(key, "question_id").orderBy(F.desc("got"), F.asc("txn_id"))
+    top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    distance = 2.0 - 2.0 * F.col("got").cast("double") / F.col("whole").cast("double")
+    return top.withColumn("similarity_score", F.round(distance, 4)).drop("got", "whole").join(txns, [key, "txn_id"])
+
+
+QUERY_BLOCK = 1024  # query vectors that travel together
+CORPUS_PARTS = 64  # parts of the corpus that a query block visits
+
+
+def _pairs(corpus: DataFrame, queries: DataFrame, id_col: str, on: tuple[str, str] | None = None) -> DataFrame:
+    """Every corpus row with every query (or with those whose second column
+    of ``on`` equals its first), in blocks: the query set is dealt to blocks
+    of about ``QUERY_BLOCK`` rows, a block is one row and visits every part of
+    the corpus by an equality join.  Any number of queries, no broadcast
+    beyond what adaptive execution measures as small."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = corpus.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(CORPUS_PARTS))).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int"))
+    packed = dealt.groupBy("__block").agg(F.collect_list(F.struct(*queries.columns)).alias("__queries")).withColumn(
+        "__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CORPUS_PARTS - 1).cast("bigint"))))
+    wanted = F.col("__queries")
+    if on:
+        wanted = F.filter(wanted, lambda q: q[on[1]] == F.col(on[0]))
+    met = left.join(packed, ["__block", "__part"]).withColumn("__q", F.explode(wanted))
+    return met.select(*corpus.columns, "__q.*")
 
 
 def knn(corpus: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
     """V5: the k nearest corpus rows to the single query vector
     (``query`` has one row with column ``q``); ties broken by id."""
     q = query.select(F.col("embedding").alias("q"))
-    scored = _pairs(corpus, q, None).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
+    if q.limit(2).count() != 1:
+        raise ValueError("knn takes one query vector; use knn_batch for several")
+    scored = _pairs(corpus, q, id_col).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
     top = scored.orderBy(F.col("dist"), F.col(id_col)).limit(k)
     w = Window.orderBy(F.col("dist"), F.col(id_col))  # over k rows only
     return top.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn(
@@ -127,7 +140,7 @@ def knn(corpus: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "vec_
 def knn_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
     """V6: top k per query for a batch of queries (``query_id``, ``embedding``)."""
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = _pairs(corpus, q, "query_id").withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
+    scored = _pairs(corpus, q, id_col).withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q")
     w = Window.partitionBy("query_id").orderBy(F.col("dist"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     return ranked.withColumn("similarity_score", F.round("dist", 4))
@@ -149,7 +162,7 @@ def knn_prefilter(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, categor
                   id_col: str = "vec_id") -> DataFrame:
     """V8: filter on the category first, then top k: always k when k exist."""
     q = queries.select("query_id", F.col("embedding").alias("q"), "filter_category")
-    scored = _pairs(corpus, q, "query_id", F.col(category_col) == F.col("filter_category"))
+    scored = _pairs(corpus, q, id_col, (category_col, "filter_category"))
     scored = scored.withColumn("dist", sq_l2(F.col("embedding"), F.col("q"))).drop("q", "filter_category")
     w = Window.partitionBy("query_id").orderBy(F.col("dist"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)

@@ -438,6 +438,14 @@ def _categorize_ml(spark, sf):
     return C.categorize_ml(t, t).select("statement_id", "txn_id", "description", "category", "confidence")
 
 
+@register("category_unknown")
+def _category_unknown(spark, sf):
+    """Rows with replied categories, and error events with their own."""
+    t = C.apply_map(X.txn_ev(spark, sf), _reply_map(spark, sf)).unionByName(
+        X.txn_ev(spark, sf).where("category = 'error'"), allowMissingColumns=True)
+    return C.category_unknown(spark, t).select("statement_id", "txn_id", "category")
+
+
 def _reply_map(spark, sf):
     recs, _ = C.parse_category_replies(X.category_replies(spark, sf))
     return C.reply_map(recs)
@@ -497,11 +505,10 @@ def _txn_metadata(spark, sf):
     return V.txn_metadata(t)
 
 
-@register("embed_tfidf")
-def _embed_tfidf(spark, sf):
-    t = V.txn_sentences(C.categorize_rules(X.txn_ev(spark, sf), X.category_rules(spark)))
-    e = V.embed_tfidf(t.select("statement_id", "txn_id", "content"))
-    return e.select("statement_id", "txn_id", F.size("embedding").cast("bigint").alias("n_dims"))
+@register("search_transactions")
+def _search_transactions(spark, sf):
+    hits = V.question_hits(X.txn_li(spark, sf), X.questions(spark))
+    return hits.select("statement_id", "question_id", "rank", "txn_id", "date", "description", "amount", "category", "similarity_score")
 
 
 @register("embed_normalize")
@@ -541,9 +548,6 @@ def _knn_lsh(spark, sf):
 from ledgerlens.operators import report as R  # noqa: E402
 from ledgerlens.operators import threads as H  # noqa: E402
 
-QUESTION = "Where did most of my money go this month?"
-
-
 @register("report_summary")
 def _report_summary(spark, sf):
     return R.summary_text(A.summary_record(X.txn_li(spark, sf)))
@@ -555,18 +559,14 @@ def _report_anomalies(spark, sf):
     return R.anomaly_text(t, W.anomalies(t))
 
 
-def _vector_hits(spark, sf):
-    hits = V.knn_batch(_corpus(spark, sf), _questions(spark, sf))
-    return hits.select(
-        "query_id", "rank", "similarity_score", F.lit("").alias("date"),
-        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("description"),
-        F.lit(0.0).alias("amount"), F.col("category"),
-    )
+def _relevant(spark, sf):
+    t = X.txn_li(spark, sf)
+    return R.relevant_text(t, V.question_hits(t, X.questions(spark).where("question_id = 0")))
 
 
 @register("report_relevant")
 def _report_relevant(spark, sf):
-    return R.relevant_text(_questions(spark, sf), _vector_hits(spark, sf), key="query_id")
+    return _relevant(spark, sf)
 
 
 @register("advisor_context")
@@ -574,7 +574,7 @@ def _advisor_context(spark, sf):
     t = X.txn_li(spark, sf)
     summary = R.summary_text(A.summary_record(t))
     anomaly = R.anomaly_text(t, W.anomalies(t))
-    return R.advisor_context(summary, anomaly, None, F.lit(QUESTION))
+    return R.advisor_context(summary, anomaly, _relevant(spark, sf), F.lit(X.QUESTIONS[0]))
 
 
 def _conversations(spark, sf):

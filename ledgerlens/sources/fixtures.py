@@ -169,19 +169,29 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_rules(spark: SparkSession) -> DataFrame:
-    """Keyword rules for the rule-based categoriser (``ERROR`` has none,
-    so it tests the ``Other`` default)."""
+    """Keyword and phrase rules for the rule-based categoriser (``ERROR`` has
+    none, so it tests the ``Other`` default)."""
     return spark.createDataFrame(
         [
             ("PURCHASE", "Shopping", 0.9, 1),
             ("SIGNUP", "Income & Salary", 0.95, 2),
             ("VIEW", "Entertainment", 0.8, 3),
             ("CLICK", "Subscriptions", 0.85, 4),
+            ("view 3", "Travel", 0.7, 0),
+            ("CLICK.5", "Education", 0.6, 1),
         ],
         "pattern string, category string, confidence double, priority int",
     )
 
 
+QUESTIONS = ("What did I receive for Brand#13 in December 1996?", "spent on part 7 of Brand#42")
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    """Questions that are put to every statement."""
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+
+
 # Invented names that the planted sentences hold.
 PLANTED = " Seen http://10.0.0.1/u?tok=abc by Mira Solberg and Tomas Okafor."
 

@@ -465,12 +465,13 @@ CATEGORY_NAMES = [
 CAT_DIM = "cat_dim AS (SELECT * FROM (VALUES " + ", ".join(
     f"({lit(c)}, {i})" for i, c in enumerate(CATEGORY_NAMES)) + ") AS t(category, ord))"
 RULES_CTE = """rules AS (SELECT * FROM (VALUES ('PURCHASE', 'Shopping', 0.9, 1), ('SIGNUP', 'Income & Salary', 0.95, 2),
-  ('VIEW', 'Entertainment', 0.8, 3), ('CLICK', 'Subscriptions', 0.85, 4)) AS t(word, category, confidence, priority))"""
+  ('VIEW', 'Entertainment', 0.8, 3), ('CLICK', 'Subscriptions', 0.85, 4), ('VIEW 3', 'Travel', 0.7, 0),
+  ('CLICK 5', 'Education', 0.6, 1)) AS t(word, category, confidence, priority))"""
 RULE_MAP = """rmap AS (
   SELECT statement_id, description, arg_min(category, (priority, word)) AS category,
          arg_min(CAST(confidence AS DOUBLE), (priority, word)) AS confidence
-  FROM (SELECT DISTINCT statement_id, description, unnest(string_split_regex(upper(description), '[^A-Z0-9&]+')) AS word
-        FROM txn_ev) w JOIN rules USING (word)
+  FROM (SELECT DISTINCT statement_id, description FROM txn_ev) d JOIN rules
+    ON contains(' ' || regexp_replace(upper(description), '[^A-Z0-9&]+', ' ', 'g') || ' ', ' ' || word || ' ')
   GROUP BY statement_id, description)"""
 RULE_CAT = """rcat AS (
   SELECT t.statement_id, t.txn_id, t.description, COALESCE(m.category, 'Other') AS category,
@@ -497,6 +498,7 @@ FROM cat_dim d LEFT JOIN (SELECT category, COUNT(*) AS n FROM rcat GROUP BY cate
 SQL["distinct_descriptions"] = with_(TXN_EV) + "SELECT statement_id, description, COUNT(*) AS n FROM txn_ev GROUP BY 1, 2"
 SQL["batches_of_20"] = with_(TXN_EV, BATCHED) + "SELECT statement_id, txn_id, batch, item_idx FROM bt"
 SQL["batch_payload"] = with_(TXN_EV, BATCHED) + """SELECT statement_id, batch, COUNT(*) AS n_items,
+  """ + lit("\n".join(f"- {c}" for c in CATEGORY_NAMES)) + """ AS categories,
   '[' || chr(10) || string_agg('  {' || chr(10) || '    "description": ' || to_json(description) || chr(10) || '  }',
                                ',' || chr(10) ORDER BY item_idx) || chr(10) || ']' AS payload
 FROM bt GROUP BY statement_id, batch"""
@@ -505,6 +507,7 @@ SQL["category_map"] = with_(TXN_EV, BATCHED, REPLY_ROWS, REPLY_MAP) + "SELECT *
 SQL["categorize_join"] = with_(TXN_EV, BATCHED, REPLY_ROWS, REPLY_MAP) + """SELECT t.statement_id, t.txn_id, t.description,
   COALESCE(m.category, 'Other') AS category, COALESCE(m.confidence, 0.0) AS confidence
 FROM txn_ev t LEFT JOIN rpm m ON m.statement_id = t.statement_id AND m.description = t.description"""
+SQL["category_unknown"] = with_(TXN_EV) + "SELECT statement_id, txn_id, category FROM txn_ev WHERE category = 'error'"
 SQL["category_rejects"] = with_(TXN_EV, BATCHED, REPLY_ROWS) + """SELECT DISTINCT statement_id, batch, 'invalid json' AS reason
 FROM rep WHERE bad_batch"""
 
@@ -601,19 +604,48 @@ SQL["report_summary"] = with_(
     TXN_LI, f"fs AS ({metrics_sql('txn_li')})", by_category_cte("txn_li"), by_month_cte("txn_li"), SUMMARY_TEXT
 ) + "SELECT * FROM sum_t"
 SQL["report_anomalies"] = with_(TXN_LI, anomalies_ctes("txn_li"), ANOM_TEXT) + "SELECT * FROM anom_s"
-SQL["report_relevant"] = with_(centroid_ctes("label"), SCORED) + f"""SELECT query_id,
-  string_agg('  •  | vector ' || CAST(vec_id AS VARCHAR) || ' | $0.00 | ' || CAST(label AS VARCHAR)
-             || ' (score: ' || printf('%.2f', similarity_score) || ')', chr(10) ORDER BY rank) AS relevant_text
-FROM ({ranked()}) GROUP BY query_id"""
+QUESTIONS = ("What did I receive for Brand#13 in December 1996?", "spent on part 7 of Brand#42")
+QUESTION_HITS = f"""asked AS (
+  SELECT DISTINCT question_id, unnest(string_split_regex(lower(question), '[^a-z0-9]+')) AS word
+  FROM (VALUES {", ".join(f"({i}, {lit(q)})" for i, q in enumerate(QUESTIONS))}) AS q(question_id, question)),
+spoken AS (
+  SELECT DISTINCT statement_id, txn_id, unnest(string_split_regex(lower(
+    date || ' | ' || description || ' | ' || CASE WHEN amount < 0 THEN 'spent' ELSE 'received' END || ' $'
+    || printf('%.2f', abs(amount)) || ' | category: ' || category), '[^a-z0-9]+')) AS word FROM txn_li),
+met AS (SELECT * FROM spoken JOIN asked USING (word) WHERE word <> ''),
+rare AS (
+  SELECT statement_id, question_id, word, CAST(round(ln(1.0 + n / CAST(COUNT(*) AS DOUBLE)) * 1000000) AS BIGINT) AS weight
+  FROM met JOIN (SELECT statement_id, COUNT(*) AS n FROM txn_li GROUP BY statement_id) USING (statement_id)
+  GROUP BY statement_id, question_id, word, n),
+got AS (
+  SELECT statement_id, question_id, txn_id, SUM(weight) AS got FROM met JOIN rare USING (statement_id, question_id, word)
+  GROUP BY ALL),
+qh AS (
+  SELECT t.statement_id, question_id, rank, t.txn_id, date, description, amount, category,
+         round(2.0 - 2.0 * CAST(got AS DOUBLE) / CAST(whole AS DOUBLE), 4) AS similarity_score
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY statement_id, question_id ORDER BY got DESC, txn_id) AS rank FROM got) g
+  JOIN (SELECT statement_id, question_id, SUM(weight) AS whole FROM rare GROUP BY 1, 2) USING (statement_id, question_id)
+  JOIN txn_li t ON t.statement_id = g.statement_id AND t.txn_id = g.txn_id
+  WHERE rank <= 5),
+rel_t AS (
+  SELECT s.statement_id, COALESCE(string_agg(line, chr(10) ORDER BY rank, line),
+    'No specific transactions retrieved.') AS relevant_text
+  FROM (SELECT DISTINCT statement_id FROM txn_li) s LEFT JOIN (
+    SELECT statement_id, rank, '  • ' || date || ' | ' || description || ' | ' || {money('abs(amount)')}
+      || ' | ' || category || ' (score: ' || printf('%.2f', similarity_score) || ')' AS line
+    FROM qh WHERE question_id = 0) h ON h.statement_id = s.statement_id
+  GROUP BY s.statement_id)"""
+SQL["search_transactions"] = with_(TXN_LI, QUESTION_HITS) + "SELECT * FROM qh"
+SQL["report_relevant"] = with_(TXN_LI, QUESTION_HITS) + "SELECT * FROM rel_t"
 SQL["advisor_context"] = with_(
     TXN_LI, f"fs AS ({metrics_sql('txn_li')})", by_category_cte("txn_li"), by_month_cte("txn_li"), SUMMARY_TEXT,
-    anomalies_ctes("txn_li"), ANOM_TEXT,
+    anomalies_ctes("txn_li"), ANOM_TEXT, QUESTION_HITS,
 ) + """SELECT s.statement_id,
   'FINANCIAL SUMMARY:' || chr(10) || s.summary_text || chr(10) || chr(10) || 'ANOMALIES DETECTED:' || chr(10)
   || a.anomaly_text || chr(10) || chr(10) || 'RELEVANT TRANSACTIONS (semantic search results):' || chr(10)
-  || 'No specific transactions retrieved.' || chr(10) || chr(10) || 'USER QUESTION:' || chr(10)
-  || 'Where did most of my money go this month?' AS context
-FROM sum_t s LEFT JOIN anom_s a ON a.statement_id = s.statement_id"""
+  || r.relevant_text || chr(10) || chr(10) || 'USER QUESTION:' || chr(10)
+  || """ + lit(QUESTIONS[0]) + """ AS context
+FROM sum_t s LEFT JOIN anom_s a ON a.statement_id = s.statement_id LEFT JOIN rel_t r ON r.statement_id = s.statement_id"""
 
 SQL["history_append"] = """SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1
   + MIN(turn) OVER (PARTITION BY conv_id) AS turn, role, text FROM conversations"""
