@@ -1,16 +1,12 @@
 """String expressions built from Catalyst higher-order functions (no UDFs).
 
-* ``replace_matches``: ``regexp_replace`` whose replacement is computed
-  from each match (Spark's own ``regexp_replace`` cannot do that).
-* ``match_spans``: code-point offsets of every match.
+* ``match_starts``: code-point offsets of every match.
 * ``py_strip``: Python's ``str.strip()`` (Unicode blanks, not only spaces).
 * ``greedy_chunks``: line-bounded greedy packing of a text, as one fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +25,6 @@ def stitch(parts: Column, replacements: Column) -> Column:
     return F.array_join(F.flatten(pairs), "")
 
 
-def replace_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
-    """Every match ``m`` of ``pattern`` replaced by ``fn(m)``."""
-    parts, ms = regex_parts(text, pattern)
-    return F.when(text.isNull(), F.lit(None)).otherwise(stitch(parts, F.transform(ms, fn)))
-
-
 def match_starts(parts: Column, ms: Column) -> Column:
     """0-based code-point offset of each match: one linear fold over
     (piece, match) pairs carrying the running length."""

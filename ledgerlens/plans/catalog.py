@@ -247,6 +247,7 @@ def _token_vault(spark, sf):
 
 
 # --- S1-S9 sources, E1-E9 extraction ------------------------------------------------
+from ledgerlens.plans import statement as PLAN  # noqa: E402
 from ledgerlens.operators import extract as E  # noqa: E402
 from ledgerlens.sources import loader as L  # noqa: E402
 from ledgerlens.sources import pages as S  # noqa: E402
@@ -321,9 +322,17 @@ def _kept_txns(spark, sf):
     return E.dedup_first(kept)
 
 
+def _planted(spark, sf):
+    """Replies of which some statements' hold nothing, and their errors."""
+    replies = X.raw_json_planted(spark, sf)
+    records = E.normalize(E.reply_records(E.parse_replies(replies, _CHUNK), _CHUNK))
+    kept, _ = E.isolate_failures(records, _CHUNK)
+    return replies, E.statement_errors(replies, E.dedup_first(kept))
+
+
 @register("empty_statements")
 def _empty_statements(spark, sf):
-    return E.statement_errors(X.raw_json(spark, sf), _kept_txns(spark, sf))
+    return _planted(spark, sf)[1]
 
 
 @register("txn_count")
@@ -352,17 +361,9 @@ def _dedup_txns(spark, sf):
     )
 
 
-def statement_transactions(pages: DataFrame) -> DataFrame:
-    """Pages -> assembled text -> redacted -> chunks -> parsed lines -> first-wins dedup."""
-    text = S.combine_pages(pages)
-    red = P.redact_pii(text, "raw_text")
-    chunks = E.chunk_text(red, ["statement_id"], "redacted_text")
-    return E.dedup_first(E.parse_lines(chunks, _CHUNK))
-
-
 @register("parse_lines")
 def _parse_lines(spark, sf):
-    t = statement_transactions(X.stmt_pages(spark, sf))
+    t, _ = PLAN.extract_transactions(X.stmt_pages(spark, sf))
     return t.select("statement_id", "date", "description", "amount", "balance", "type")
 
 
@@ -604,10 +605,16 @@ def _followup_guard(spark, sf):
 
 @register("stage_status")
 def _stage_status(spark, sf):
-    rj = X.raw_json(spark, sf)
-    extracted = E.statement_errors(rj, _kept_txns(spark, sf))
-    return H.stage_status(rj, [("extracted", extracted), ("categorized", extracted.select("statement_id", F.lit(None).cast("string").alias("error"))),
-                               ("analyzed", extracted.select("statement_id", F.lit(None).cast("string").alias("error")))])
+    """All six stages: replies without transactions stop a statement at
+    extraction, an invalid categoriser reply at categorisation."""
+    replies, extracted = _planted(spark, sf)
+    _, bad = C.parse_category_replies(X.category_replies(spark, sf))
+    categorised = bad.select("statement_id", F.lit("LLM returned invalid JSON").alias("error")).distinct()
+    fine = replies.select("statement_id", F.lit(None).cast("string").alias("error")).limit(0)
+    index = extracted.select("statement_id", F.when(F.col("n_txns") == 0, F.lit("nothing to index")).alias("error"))
+    return H.stage_status(replies, [
+        ("redacted", fine), ("extracted", extracted), ("categorized", categorised), ("analyzed", fine),
+        ("vectorstore_ready", index), ("done", fine)])
 
 
 # --- T1-T2 streaming ---------------------------------------------------------------------
@@ -630,7 +637,6 @@ def _stream_duplicates(spark, sf):
 
 
 # --- the whole chain ----------------------------------------------------------------------
-from ledgerlens.plans import statement as PLAN  # noqa: E402
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

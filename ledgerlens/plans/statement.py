@@ -1,13 +1,11 @@
 """The statement-analysis chain as one lazy DataFrame plan.
 
-pages -> assembled text (S2) -> redaction (P1-P10) -> chunks (E1) ->
-parsed lines (E5) -> first-wins dedup (E6) -> typed load (S3) ->
+pages -> redaction (P1-P10) -> parsed lines (E5), both per page -> first-wins dedup (E6) -> typed load (S3) ->
 categories (C5/C7) -> [checkpoint] -> summary (A), anomalies (W),
 report text (R).
 
-Shuffles: page assembly groups pages by statement; dedup and every
-aggregate group by keys that start with ``statement_id``, each with a
-map-side partial aggregate first.  The parsed transactions are cut from
+Shuffles: dedup and every aggregate group by keys that start with
+``statement_id``, each with a map-side partial aggregate first.  The parsed transactions are cut from
 their lineage with a reliable checkpoint in the session's shared
 checkpoint folder, before categorisation: the categoriser reads the
 transactions twice (distinct descriptions for the small category map,
@@ -25,17 +23,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import py_strip
 from ledgerlens.operators import anomalies as W
 from ledgerlens.operators import categorize as C
 from ledgerlens.operators import extract as E
 from ledgerlens.operators import redact as P
-from ledgerlens.operators import report as R
 from ledgerlens.operators import summary as A
 from ledgerlens.session import cut_lineage
 from ledgerlens.sources import loader as L
-from ledgerlens.sources import pages as S
-
-CHUNK_KEYS = ["statement_id", "chunk_idx"]
 
 
 @dataclass
@@ -48,17 +43,19 @@ class StatementResults:
 
 
 def extract_transactions(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages -> (parsed, deduplicated transactions, redaction findings)."""
-    text = S.combine_pages(pages)
-    red = P.redact_pii(text, "raw_text")
-    chunks = E.chunk_text(red, ["statement_id"], "redacted_text")
-    parsed = E.dedup_first(E.parse_lines(chunks, CHUNK_KEYS))
-    # A stable id inside the statement: chunk, then line.
-    txns = parsed.withColumn(
+    """Pages -> (parsed, deduplicated transactions, redaction findings).
+
+    Redaction and line parsing work page by page: no rule's match spans the
+    blank line between pages, and first-wins dedup only needs the order
+    (page, line), so no statement becomes one row or one task."""
+    kept = pages.filter(py_strip(F.col("text")) != F.lit("")).select("statement_id", "page_num", "text")
+    red = P.redact_pii(kept, "text")
+    lines = E.parse_lines(red, ["statement_id", "page_num"], "redacted_text").withColumnRenamed("page_num", "chunk_idx")
+    # A stable id inside the statement: page, then line.
+    txns = E.dedup_first(lines).withColumn(
         "txn_id", F.col("chunk_idx").cast("bigint") * F.lit(1 << 20) + F.col("item_idx").cast("bigint")
     )
-    findings = P.explode_findings(red, ["statement_id"])
-    return txns, findings
+    return txns, P.explode_findings(red, ["statement_id", "page_num"])
 
 
 def analyse(pages: DataFrame, rules: DataFrame, checkpoint: bool = True) -> StatementResults:
@@ -78,9 +75,3 @@ def analyse(pages: DataFrame, rules: DataFrame, checkpoint: bool = True) -> Stat
         status=status,
     )
 
-
-def advisor_contexts(results: StatementResults, question: str) -> DataFrame:
-    """R4 for every statement of the run (no search hits attached)."""
-    summary = R.summary_text(A.summary_record(results.transactions))
-    anomaly = R.anomaly_text(results.transactions, results.anomalies)
-    return R.advisor_context(summary, anomaly, None, F.lit(question))

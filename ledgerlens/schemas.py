@@ -1,57 +1,7 @@
-"""Fixed schemas and fixed values, declared once."""
+"""Fixed values, declared once."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-# Canonical transaction table.  ``chunk_idx`` / ``item_idx`` carry the
-# extraction order needed by first-wins dedup and failure isolation.
-TRANSACTIONS = T.StructType(
-    [
-        T.StructField("statement_id", T.LongType()),
-        T.StructField("txn_id", T.LongType()),
-        T.StructField("chunk_idx", T.IntegerType()),
-        T.StructField("item_idx", T.IntegerType()),
-        T.StructField("date", T.StringType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("amount", T.DoubleType()),
-        T.StructField("balance", T.DoubleType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-    ]
-)
-
-PAGES = T.StructType(
-    [
-        T.StructField("statement_id", T.LongType()),
-        T.StructField("page_num", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("source", T.StringType()),
-    ]
-)
-
-# One extracted record as a model reply holds it: every member as text
-# so that a bad value is seen (and rejected) instead of failing the job.
-RAW_RECORD_DDL = (
-    "array<struct<date:string,description:string,amount:string,"
-    "balance:string,type:string>>"
-)
-RAW_CATEGORY_DDL = "array<struct<description:string,category:string,confidence:string>>"
-
-FINDINGS = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField("original_hash", T.StringType()),
-        T.StructField("token", T.StringType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("pass", T.IntegerType()),
-    ]
-)
-
 # --- fixed values (must equal the reference's) ---------------------------
 # The category list, in its given order.
 CATEGORIES = [

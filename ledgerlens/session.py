@@ -36,16 +36,25 @@ _AQE_CONF = {
 
 def get_spark(
     master: str | None = None,
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     app_name: str = "ledgerlens",
     extra_conf: dict | None = None,
 ) -> SparkSession:
-    """Build (or fetch) a session with the settings the library expects."""
+    """Build (or fetch) a session with the settings the library expects.
+
+    Without ``shuffle_partitions`` a cluster keeps its own setting (adaptive
+    execution merges small partitions but adds none); a local session takes
+    one per core."""
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("LEDGERLENS_MASTER", "local[8]"))
+    master = master or os.environ.get("LEDGERLENS_MASTER", "local[8]")
+    builder = builder.master(master)
     conf = dict(_AQE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions is None and master.startswith("local"):
+        shuffle_partitions = int("".join(c for c in master if c.isdigit()) or 8)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("LEDGERLENS_DRIVER_MEMORY", "8g")
     if extra_conf:
         conf.update(extra_conf)
     for key, value in conf.items():

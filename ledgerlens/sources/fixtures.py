@@ -168,6 +168,15 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NO_DATA = "Sorry, this page holds no transactions."
+
+
+def raw_json_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_json``, with replies that hold nothing for every 50th statement."""
+    return raw_json(spark, sf_dir).withColumn(
+        "raw", F.when(F.col("statement_id") % 50 == 7, F.lit(NO_DATA)).otherwise(F.col("raw")))
+
+
 def category_rules(spark: SparkSession) -> DataFrame:
     """Keyword and phrase rules for the rule-based categoriser (``ERROR`` has
     none, so it tests the ``Other`` default)."""

@@ -36,24 +36,34 @@ def run_sql(spark: SparkSession, query: str, **args) -> DataFrame:
     return spark.sql(query, args=args or None)
 
 
-def _nan_to_null(dtype):
-    # One-argument lambda: Spark passes (element, index) to two-argument ones.
-    return lambda x: F.nanvl(x, F.lit(None).cast(dtype))
+def _holds_float(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_float(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds_float(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_float(dtype.valueType)
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
+
+
+def _without_nan(c: F.Column, dtype: T.DataType) -> F.Column:
+    """``c`` with NaN -> null at any depth."""
+    if not _holds_float(dtype):
+        return c
+    if isinstance(dtype, T.StructType):
+        fields = [_without_nan(c[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _without_nan(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(c, lambda _, v: _without_nan(v, dtype.valueType))
+    return F.nanvl(c, F.lit(None).cast(dtype))
 
 
 def sanitize(df: DataFrame) -> DataFrame:
-    """NaN -> null in every double/float column and inside double arrays
-    (a NaN would otherwise poison Spark sums and group together)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.nanvl(c, F.lit(None).cast(f.dataType))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            et = f.dataType.elementType
-            c = F.transform(c, _nan_to_null(et))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    """NaN -> null in every double/float, also inside structs, arrays and
+    maps (a NaN would otherwise poison Spark sums and group together)."""
+    return df.select(*[_without_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def save_vectors(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import py_strip
@@ -10,21 +10,18 @@ from ledgerlens.functions.text import py_strip
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
     """S1 for plain-text pages: one file = one page, the file name is the
-    source.  Files of one statement share a prefix ``<statement>_``; the
-    page number follows the file-name order (a window over one
-    statement's page files only).  A missing path raises Spark's
-    PATH_NOT_FOUND, as a missing PDF raises in the reference."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("text"), F.col("_metadata.file_name").alias("source")
-    )
-    sid = F.regexp_extract("source", r"^(\d+)_", 1).cast("bigint")
-    with_id = raw.withColumn("statement_id", sid)
-    w = Window.partitionBy("statement_id").orderBy("source")
-    return with_id.select(
-        "statement_id",
-        F.row_number().over(w).cast("int").alias("page_num"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        "source",
+    source, ``<statement>_...<page>.txt``.  The statement is the number the
+    name starts with and the page the last number in it, read as numbers (so
+    page 10 follows page 9); a name without one gives null and fails
+    nothing; a file of no bytes gives no row.  A missing path raises Spark's PATH_NOT_FOUND, as a missing PDF
+    raises in the reference."""
+    number = lambda pattern: F.regexp_extract("source", pattern, 1).try_cast("bigint")
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("source"), F.coalesce("value", F.lit("")).alias("text"),
+    ).select(
+        number(r"^(\d+)_").alias("statement_id"),
+        number(r"^\d+_.*?(\d+)\D*$").cast("int").alias("page_num"),
+        "text", "source",
     )
 
 

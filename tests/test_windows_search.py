@@ -69,16 +69,14 @@ def test_postfilter_may_return_fewer(spark):
     assert {(r.query_id, r.vec_id) for r in V.knn_postfilter(emb, qs).collect()} <= top2k
 
 
-def test_knn_over_query_groups_equals_one_broadcast(spark, monkeypatch):
-    """Above the broadcast bound the queries are split into checked groups;
-    the result is the same exact top-k."""
+def test_knn_in_several_blocks_equals_one(spark, monkeypatch):
+    """Queries in several blocks give the same exact top-k as in one."""
     from ledgerlens.plans.catalog import _corpus, _questions
 
     corpus, questions = _corpus(spark, SF_SMALL), _questions(spark, SF_SMALL)
     cols = ["query_id", "rank", "vec_id", "similarity_score"]
     want_batch = sorted(V.knn_batch(corpus, questions).select(*cols).collect())
     want_pre = sorted(V.knn_prefilter(corpus, questions).select(*cols).collect())
-    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 3)
-    assert len(V._bounded_groups(questions.select("query_id"), "query_id")) >= 4
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
     assert sorted(V.knn_batch(corpus, questions).select(*cols).collect()) == want_batch
     assert sorted(V.knn_prefilter(corpus, questions).select(*cols).collect()) == want_pre
