@@ -77,8 +77,8 @@ def _spelled(text: Column) -> Column:
 
 def rule_map(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
     """C5 (rules): (statement, description) -> best matching rule.  A rule
-    matches when the words of its pattern (one or several, ``WHOLE FOODS``,
-    ``NETFLIX.COM``) stand in a row in the description, whatever the case;
+    matches when the words of its pattern (one or several, ``CORNER BOOKS``,
+    ``EXAMPLE.COM``) stand in a row in the description, whatever the case;
     the lowest ``priority`` wins.  Every run of words that is as long as some
     pattern joins the patterns by equality."""
     r = rules.select(_spelled(F.col("pattern")).alias("phrase"), "category", "confidence", "priority").filter("phrase <> ''")

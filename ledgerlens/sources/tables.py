@@ -28,11 +28,5 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     few tasks, so it is hash-partitioned by ``key`` over the cluster's
     default parallelism (deterministic, so a lost task recomputes the same
     rows)."""
-    try:
-        cores = scan.sparkSession.sparkContext.defaultParallelism
-        splits = scan.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the plan as it is
-        return scan
-    if splits >= cores:
-        return scan
-    return scan.repartition(cores, key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
