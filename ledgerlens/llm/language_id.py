@@ -9,9 +9,9 @@ linear layer commute, prediction uses one precomputed score row per bucket:
 one pass over the whole text.
 
 Training uses a bounded sample of the labelled rows: of each language
-``per_language`` rows on average, those with the smallest id hash, and never
-more than ``max_rows`` together (documented parameters; everything else
-covers all rows).  Spark picks the sample from counts, ids and labels alone
+``per_language`` rows on average (fewer where there are many languages),
+those with the smallest id hash, and never more than ``max_rows`` together
+(documented parameters; everything else covers all rows).  Spark picks the sample from counts, ids and labels alone
 and computes the feature counts in tasks; the driver only trains.  One in five sample
 rows is kept out of training: they set the temperature of the softmax and
 the rejection threshold (``reject_share`` quantile of the calibrated
@@ -38,6 +38,7 @@ BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
+LEAST_ROWS = 20  # sample rows of a language, however many languages there are
 
 
 @dataclass
@@ -79,12 +80,14 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     mark = F.xxhash64(F.col(id_col).cast("string"))
     # Each language takes the rows whose hash lies in the share of the hash
-    # range that holds per_language rows on average; only counts are shuffled.
-    cuts = (
+    # range that holds its part of the sample on average; only counts are
+    # shuffled.
+    sizes = (
         labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__rows"))
-        .orderBy(F.desc("__rows"), lang_col).limit(max(1, max_rows // per_language))
-        .withColumn("__share", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("__rows")))
+        .orderBy(F.desc("__rows"), lang_col).limit(max(1, max_rows // LEAST_ROWS))
     )
+    each = max(LEAST_ROWS, min(per_language, max_rows // max(1, sizes.count())))
+    cuts = sizes.withColumn("__share", F.least(F.lit(1.0), F.lit(float(each)) / F.col("__rows")))
 
     @F.udf("struct<bucket:binary,hits:binary>")
     def sparse(text):
@@ -104,7 +107,7 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-          per_language: int = 800, max_rows: int = 12_000, dim: int = 16, steps: int = 1500, rate: float = 8.0,
+          per_language: int = 800, max_rows: int = 4000, dim: int = 16, steps: int = 800, rate: float = 8.0,
           reject_share: float = 0.0005, max_threshold: float = 0.4, seed: int = 7) -> LanguageModel:
     """Train on a bounded sample of the labelled rows of ``df``."""
     rows = labelled_sample(df, id_col, text_col, lang_col, per_language, max_rows)
