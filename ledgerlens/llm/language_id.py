@@ -187,9 +187,9 @@ def training_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.where(id_bucket(F.col(id_col), 4) != 2)
 
 
-def keep_identified(df: DataFrame) -> DataFrame:
+def keep_identified(df: DataFrame, **training) -> DataFrame:
     """The rows of a documents table whose language is identified."""
-    model = train(training_rows(df))
+    model = train(training_rows(df), **training)
     whole = df.select(F.struct("*").alias("row"), predicted(F.col("text"), model).alias("found"))
     return whole.where("found.accepted").select("row.*")
 

@@ -124,7 +124,7 @@ def test_packing(docs, empty):
 
 
 def test_language_id(docs, empty):
-    model = language_id.train(docs)
+    model = language_id.train(docs, steps=60)
     got = docs.select("doc_id", language_id.predicted(F.col("text"), model).alias("p")).select("doc_id", "p.*").collect()
     assert {r.lang for r in got if r.doc_id in (1, 2, 3)} == {"und"}
     assert all(r.score == 0 and not r.accepted for r in got if r.lang == "und")
@@ -132,9 +132,9 @@ def test_language_id(docs, empty):
     assert all(0 <= r.score <= 1 for r in got)
     nothing = language_id.train(empty)
     assert [r.p.lang for r in docs.limit(1).select(language_id.predicted(F.lit("abc"), nothing).alias("p")).collect()] == ["und"]
-    kept = language_id.keep_identified(docs)
+    kept = language_id.keep_identified(docs, steps=60)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
-    assert language_id.keep_identified(empty).count() == 0
+    assert language_id.keep_identified(empty, steps=60).count() == 0
 
 
 def test_lm_score(docs, empty):

@@ -194,7 +194,7 @@ def test_language_id_held_out(spark, con):
 
 def test_language_id_rejects_noise(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = language_id.train(docs)
+    model = language_id.train(docs, steps=60)
     assert not language_id.has_letter("12 %% 34") and language_id.has_letter("12 é")
     assert 0 <= model.threshold <= 0.4 and model.temperature >= 1
 
