@@ -36,6 +36,7 @@ HEADLINE = [
     "categorize_rules",
     "category_map",
     "knn_batch",
+    "search_transactions",
     "report_summary",
     "advisor_context",
     "qa_pairs",
