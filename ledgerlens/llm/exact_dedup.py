@@ -101,10 +101,12 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = _keyed(whole, "id", "text").drop("text")
     order = F.struct("__neg", F.col("id").isNull().alias("n"), "id")
-    found = spread_down(leaf_runs(keyed.drop("row"), order))
-    stays = keyed.join(found, ["__sha", "__len", "__run"]).where(
-        (F.col("__neg") == F.col("__best.__neg")) & F.col("id").eqNullSafe(F.col("__best.id")))
-    # The run is a function of the id, so this needs no further shuffle.
+    found = spread_down(leaf_runs(cut_lineage(keyed.drop("row")), order))
+    # The best key is the smallest of the group, so "not larger" means equal;
+    # stated so, the join stays on (digest, length, run), and since the run is
+    # a function of the id, dropping repeated rows needs no further shuffle.
+    best = (F.col("__neg") <= F.col("__best.__neg")) & (F.col("__best.id").isNull() | (F.col("id") <= F.col("__best.id")))
+    stays = keyed.join(found, ["__sha", "__len", "__run"]).where(best)
     return stays.dropDuplicates(["__sha", "__len", "__run", "id"]).select("row.*")
 
 
