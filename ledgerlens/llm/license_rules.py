@@ -8,6 +8,7 @@ scanned form.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -111,7 +112,7 @@ STATEMENTS = """
 # Sentences that only occur in one license text: label | keyword | pattern.
 FINGERPRINTS = """
 mit | granted | permission is hereby granted free of charge to any person obtaining a copy of this software
-mit | noninfringement | the software is provided as is without warranty of any kind( express or implied)?
+mit | warranty | the software is provided as is without warranty of any kind( express or implied)?
 isc | granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 bsd | redistributions | redistributions of source code must retain the above copyright notice
 bsd-3 | endorse | neither the name of( the)? [a-z0-9]+( [a-z0-9]+)? nor the names of its contributors may be used to endorse
@@ -120,10 +121,10 @@ apache-2 | compliance | you may not use this file except in compliance with the
 gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license
 gpl | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
-bsl | machine | executable object code generated by a source language processor
+bsl | processor | executable object code generated by a source language processor
 mpl-2 | obtain | if a copy of the mpl was not distributed with this file you can obtain one at
 ofl | font | this font software is licensed under the sil open font license
-cc-by | attribution | you must give appropriate credit provide a link to the license
+cc-by | credit | you must give appropriate credit provide a link to the license
 public-domain | domain | (released|placed|dedicated) (in|into|to) the public domain
 proprietary | reserved | all rights reserved
 proprietary | confidential | proprietary and confidential
@@ -141,14 +142,20 @@ def _rows(block: str) -> list[list[str]]:
     return [[cell.strip() for cell in line.split(" | ")] for line in block.strip().splitlines()]
 
 
-def _keyword_of(name: str) -> list[str]:
-    """The words that open the two spellings of a license name's keyword."""
-    if "licen[sc]e" in name and "licen[sc]e)?" not in name:
-        return ["license", "licence"]
-    for word in ("bsd", "commons", "unlicense", "cc0", "attribution", "gpl"):
-        if word in name:
-            return [word]
-    return ["license"]
+def _spellings(name: str) -> list[tuple[str, str]]:
+    """The name as (keyword, pattern) pairs that together match what the name
+    matches; every match of a pattern holds its keyword as a word."""
+    always = re.sub(r"\([^()]*\)", "()", re.sub(r"\([^()]*\)\?", "", name))  # names have no nested groups
+    words = re.sub(r"\S+ \?\S+", "", always).split()
+    if "licen[sc]e" in words:
+        return [(word, name.replace("licen[sc]e", word)) for word in ("license", "licence")]
+    for word in ("bsd", "commons", "unlicense", "cc0", "attribution", "gpl", "zero"):
+        if word in words:
+            return [(word, name)]
+    group = re.search(r"\(([^()]*\|[^()]*)\)(?!\?)", name)
+    if not group:
+        raise ValueError(f"no keyword in every match of {name!r}")
+    return [s for way in group[1].split("|") for s in _spellings(name[: group.start()] + way + name[group.end() :])]
 
 
 def rules() -> list[Rule]:
@@ -160,9 +167,7 @@ def rules() -> list[Rule]:
             if word != "NAMEWORD":
                 made.append((label, int(tier), word, frame.replace("NAME", name).replace("ID", ident), False))
                 continue
-            for keyword in _keyword_of(name):
-                spelled = name.replace("licen[sc]e", keyword) if keyword.startswith("licen") else name
-                made.append((label, int(tier), keyword, spelled, False))
+            made += [(label, int(tier), keyword, spelled, False) for keyword, spelled in _spellings(name)]
     return [
         Rule(i, label, tier, SCORES[tier], word, compiled(pattern), base)
         for i, (label, tier, word, pattern, base) in enumerate(made)
