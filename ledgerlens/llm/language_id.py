@@ -14,8 +14,18 @@ those with the smallest id hash, and never more than ``max_rows`` together
 (documented parameters; everything else covers all rows).  Spark picks the sample from counts, ids and labels alone
 and computes the feature counts in tasks; the driver only trains.  One in five sample
 rows is kept out of training: they set the temperature of the softmax and
-the rejection threshold (``reject_share`` quantile of the calibrated
-probability of rightly labelled rows, never over ``max_threshold``).
+two rejections:
+
+* by probability: the ``reject_share`` quantile of the calibrated probability
+  of rightly labelled rows, never over ``times_even`` times that of a guess;
+* by fit: how much more likely the text's n-grams are in the training rows of
+  the predicted language than at random, on average, with an allowance for
+  short texts and relative to the language's middle.  The threshold lies half
+  way from the ``reject_share`` quantile of clean held-out rows (whole and cut
+  short) to the median of negatives: the rows' letters shuffled, and rows of
+  each language under a model without it.  Where the two overlap the clean
+  rows decide.  A sample of fewer than ``LEAST_HELD``
+  rows rejects nothing by fit.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0
 and rejected; without any labelled row every text is ``und``; rows that
@@ -38,6 +48,8 @@ BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
+LEAST_HELD = 50  # sample rows from which some are kept out of training
+SHORT_TEXTS = 2.0  # allowance for short texts, in standard deviations of one n-gram over the root of their number
 LEAST_ROWS = 20  # sample rows of a language, however many languages there are
 
 
@@ -48,12 +60,23 @@ class LanguageModel:
     bias: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
+    ratios: np.ndarray | None = None  # languages x BUCKETS: log of a bucket's share in the language times BUCKETS
+    middle: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    least_fit: float = -np.inf
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         z = (counts @ self.bucket_scores / max(counts.sum(), 1.0) + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def fit(self, counts: np.ndarray, language: int) -> float:
+        total = max(float(counts.sum()), 1.0)
+        return float(counts @ self.ratios[language] / total + SHORT_TEXTS * self.spread[language] / total**0.5 - self.middle[language])
+
+    def accepts(self, counts: np.ndarray, language: int, probability: float) -> bool:
+        return probability >= self.threshold and (self.ratios is None or self.fit(counts, language) >= self.least_fit)
+
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
@@ -74,6 +97,21 @@ def subword_counts(text: str) -> np.ndarray:
     return counts
 
 
+def shuffled(text: str, seed: int) -> str:
+    """Noise with the letters of the text."""
+    return "".join(np.random.default_rng(seed).permutation(list(text))) if text else ""
+
+
+def _bag(text: str) -> tuple[bytes, bytes]:
+    counts = subword_counts(text)
+    found = np.flatnonzero(counts)
+    return found.astype("<u2").tobytes(), counts[found].astype("<f4").tobytes()
+
+
+def calibration_bags(text: str, mark: int) -> list[tuple[bytes, bytes]]:
+    return [_bag(text[: 8 << mark % 6]), _bag(shuffled(text[:2000], mark % (1 << 32)))]
+
+
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
                     per_language: int, max_rows: int) -> list:
     """Sparse feature counts of the sampled rows; bounded by the parameters."""
@@ -91,15 +129,19 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     @F.udf("struct<bucket:binary,hits:binary>")
     def sparse(text):
-        counts = subword_counts(text)
-        found = np.flatnonzero(counts)
-        return found.astype("<u2").tobytes(), counts[found].astype("<f4").tobytes()
+        return _bag(text)
+
+    # What the rejection is calibrated with: the text cut to 8 to 256 characters, and noise of its letters.
+    @F.udf("array<struct<bucket:binary,hits:binary>>")
+    def calibrating(text, mark):
+        return calibration_bags(text, mark)
 
     picked = (
         labelled.withColumn("__mark", mark)
         .join(F.broadcast(cuts), lang_col)
         .where((F.col("__mark") / 2.0**64 + 0.5) <= F.col("__share"))
-        .select(F.col(lang_col).alias("lang"), F.col("__mark").alias("mark"), sparse(F.col(text_col)).alias("f"))
+        .select(F.col(lang_col).alias("lang"), F.col("__mark").alias("mark"), sparse(F.col(text_col)).alias("f"),
+                calibrating(F.col(text_col), F.col("__mark")).alias("c"))
     )
     # The number per language is an expected one (and rows that share an id share its hash): bounded here.
     rows = picked.orderBy("mark", "lang", "f").limit(max_rows).collect()
@@ -108,10 +150,15 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
           per_language: int = 800, max_rows: int = 4000, dim: int = 16, steps: int = 800, rate: float = 8.0,
-          reject_share: float = 0.0005, max_threshold: float = 0.4, seed: int = 7) -> LanguageModel:
+          reject_share: float = 0.0005, times_even: float = 1.6, seed: int = 7) -> LanguageModel:
     """Train on a bounded sample of the labelled rows of ``df``."""
     rows = labelled_sample(df, id_col, text_col, lang_col, per_language, max_rows)
-    rows = [r for r in rows if r.lang != UNKNOWN]
+    return fitted([r for r in rows if r.lang != UNKNOWN], dim=dim, steps=steps, rate=rate,
+                  reject_share=reject_share, times_even=times_even, seed=seed)
+
+
+def fitted(rows: list, *, dim: int, steps: int, rate: float, reject_share: float, times_even: float, seed: int) -> LanguageModel:
+    """The model of the sampled rows."""
     if not rows:
         return LanguageModel()
     languages = sorted({r.lang for r in rows})
@@ -127,8 +174,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    held = order[: len(rows) // 5] if len(rows) >= 50 else order
-    used = order[len(rows) // 5 :] if len(rows) >= 50 else order
+    held = order[: len(rows) // 5] if len(rows) >= LEAST_HELD else order
+    used = order[len(rows) // 5 :] if len(rows) >= LEAST_HELD else order
     emb = rng.normal(0, 0.5, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     done = 0
@@ -160,10 +207,55 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     probability = calibrated(model.temperature)
     correct = probability.argmax(1) == right[1]
     if correct.any():
-        model.threshold = float(min(max_threshold, np.quantile(probability.max(1)[correct], reject_share)))
+        model.threshold = float(min(times_even / len(languages), np.quantile(probability.max(1)[correct], reject_share)))
+    if len(rows) >= LEAST_HELD:
+        _calibrate_fit(model, [rows[i] for i in held], [bags[i] for i in used], gold[used], number, reject_share)
     return model
 
 
+def _calibrate_fit(model: LanguageModel, held: list, bags: list, gold: np.ndarray, number: dict, reject_share: float) -> None:
+    """Set the least fit from held-out rows and negatives."""
+    n = len(model.languages)
+    seen = np.full((n, BUCKETS), 0.0)
+    for (bucket, hits), language in zip(bags, gold, strict=True):
+        seen[language, bucket] += hits
+    seen += 1e-6 * seen.sum(1, keepdims=True) + 0.5
+    share = seen / seen.sum(1, keepdims=True)
+    model.ratios = np.log(share * BUCKETS).astype(np.float32)
+    model.middle = np.zeros(n)
+    model.spread = np.sqrt((share * model.ratios**2).sum(1) - (share * model.ratios).sum(1) ** 2)
+
+    def counts(bag) -> np.ndarray:
+        x = np.zeros(BUCKETS, np.float32)
+        x[np.frombuffer(bag[0], "<u2")] = np.frombuffer(bag[1], "<f4")
+        return x
+
+    clean, wrong, sure = [], [], []  # (language, fit) twice, probability of the clean ones
+    for row in held:
+        own, whole = number[row.lang], counts(row.f)
+        for x in (whole, counts(row.c[0])):
+            p = model.probabilities(x)
+            if x.any() and p.argmax() == own:
+                clean.append((own, model.fit(x, own)))
+                sure.append(p[own])
+        noise = counts(row.c[1])
+        guess = int(model.probabilities(noise).argmax())
+        wrong.append((guess, model.fit(noise, guess)))
+        if n > 1:
+            p = model.probabilities(whole)
+            p[own] = -1.0
+            wrong.append((int(p.argmax()), model.fit(whole, int(p.argmax()))))
+    if not clean:
+        return
+    fits = np.array([f for _, f in clean])
+    of = np.array([i for i, _ in clean])
+    model.middle = np.array([np.median(fits[of == i]) if (of == i).any() else np.median(fits) for i in range(n)])
+    low = float(np.quantile(fits - model.middle[of], reject_share))
+    model.least_fit = min(low, (low + float(np.median([f - model.middle[i] for i, f in wrong]))) / 2)
+    # Rows cut short are less certain: they count for the probability too.
+    model.threshold = min(model.threshold, float(np.quantile(sure, reject_share)))
+
+
 def predicted(text: Column, model: LanguageModel) -> Column:
     """A struct ``lang``, ``score`` (calibrated probability), ``accepted``."""
 
@@ -174,9 +266,10 @@ def predicted(text: Column, model: LanguageModel) -> Column:
             if not model.languages or not has_letter(value):
                 made.append((UNKNOWN, 0.0, False))
                 continue
-            p = model.probabilities(subword_counts(value))
+            counts = subword_counts(value)
+            p = model.probabilities(counts)
             best = int(p.argmax())
-            made.append((model.languages[best], float(p[best]), bool(p[best] >= model.threshold)))
+            made.append((model.languages[best], float(p[best]), bool(model.accepts(counts, best, p[best]))))
         return pd.DataFrame(made, columns=["lang", "score", "accepted"])
 
     return predict(text)
