@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, lm_score, ngram_join, packing, topk_search, warc
+from ledgerlens.llm import (
+    bpe_codec,
+    chat_format,
+    exact_dedup,
+    language_id,
+    license_scan,
+    lm_score,
+    ngram_join,
+    packing,
+    prefix_trie,
+    topk_search,
+    warc,
+)
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_language_id": language_id.op10_language_id,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 SQL = {
@@ -22,4 +35,5 @@ SQL = {
     "op3_chat_format": chat_format.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_topk_search": topk_search.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
