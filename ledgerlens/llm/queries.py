@@ -9,6 +9,7 @@ from ledgerlens.llm import (
     language_id,
     license_scan,
     lm_score,
+    minhash,
     ngram_join,
     packing,
     prefix_trie,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_language_id": language_id.op10_language_id,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL = {
