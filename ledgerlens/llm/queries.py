@@ -15,6 +15,7 @@ from ledgerlens.llm import (
     prefix_trie,
     topk_search,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_language_id": language_id.op10_language_id,
+    "op11_whitening": whitening.op11_whitening,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_minhash": minhash.op13_minhash,
 }
