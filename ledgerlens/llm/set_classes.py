@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ INSERT, ASK, BOTH = 0, 1, 2  # roles of a set in a block
 SALTS = 64
 BLOCK_SHINGLES = 1 << 22  # 32 MB of tokens
 SEEN_SETS = 1 << 20
+MARK_BITS = 24  # a bit map of 2 MB of the sets that are asked for
 
 BlockLinks = Callable[[list, int, int], list[tuple[int, int]]]
 
@@ -71,6 +73,25 @@ def with_least(df: DataFrame, keys: list[str], value: Column, name: str, salt: C
     return salted.join(leaf.select(*keys, "__salt").join(least, keys), [*keys, "__salt"]).drop("__salt")
 
 
+def marked(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``number`` may be among those of ``wanted``:
+    a bit map of fixed size, so that few of the other sets are shuffled.  Any
+    number of wanted sets is right; the join that follows decides."""
+    mark = F.shiftrightunsigned(F.xxhash64("number"), 64 - MARK_BITS).cast("int").alias("mark")
+    words = wanted.select(mark).groupBy(F.shiftright("mark", 6).alias("place")).agg(
+        F.bit_or(F.expr("shiftleft(1L, mark & 63)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    bits[words["place"].to_numpy()] = words["bits"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_be(marks: pd.Series) -> pd.Series:
+        m = marks.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[m >> 6] >> (m & 63) & 1).astype(bool))
+
+    return df.where(may_be(mark))
+
+
 def dealt_sets(found: DataFrame, links: DataFrame, block_shingles: int) -> tuple[DataFrame, bool]:
     """The sets of all candidate classes (components of ``links``) in blocks
     of about ``block_shingles`` tokens: (class, block, blocks, number, sketch,
@@ -87,7 +108,7 @@ def dealt_sets(found: DataFrame, links: DataFrame, block_shingles: int) -> tuple
             "number", "class", F.coalesce("blocks", F.lit(1)).alias("blocks"),
             F.pmod(F.xxhash64(F.lit(1), "number"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")), "candidates")
     several = not wanted.where("blocks > 1").isEmpty()
-    held = found.where("rest IS NOT NULL").select("number", "sketch", "rest")
+    held = marked(found.where("rest IS NOT NULL").select("number", "sketch", "rest"), wanted)
     # A sort-merge join at every size: the number of candidates follows the corpus.
     return held.hint("merge").join(wanted, "number").select("class", "block", "blocks", "number", "sketch", "rest"), several
 
