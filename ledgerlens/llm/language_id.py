@@ -8,13 +8,15 @@ bucket embeddings and applies a linear softmax.  Because averaging and the
 linear layer commute, prediction uses one precomputed score row per bucket:
 one pass over the whole text.
 
-Training uses a bounded sample of the labelled rows: of each language
-``per_language`` rows on average (fewer where there are many languages),
-those with the smallest id hash, and never more than ``max_rows`` together
-(documented parameters; everything else covers all rows).  Spark picks the sample from counts, ids and labels alone
-and computes the feature counts in tasks; the driver only trains.  One in five sample
-rows is kept out of training: they set the temperature of the softmax and
-two rejections:
+Training uses a bounded sample of the labelled rows, all languages among
+them: ``per_language`` rows of each, fewer where that would be more than
+``max_rows`` together, but ``LEAST_ROWS`` of any language and no more than
+``sample_bytes`` of features (documented parameters; everything else covers
+all rows).  Only counts, and the features of the sampled rows, are shuffled;
+one task trains and the driver gets the model alone, one column of
+``BUCKETS`` numbers per language.  Rows with the label ``und`` teach nothing.
+One in five sample rows is kept out of training: they set the temperature of
+the softmax and two rejections:
 
 * by probability: the ``reject_share`` quantile of the calibrated probability
   of rightly labelled rows, never over ``times_even`` times that of a guess;
@@ -35,10 +37,13 @@ used whole.  Ties between languages go to the first in sorted order.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,7 @@ ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 LEAST_HELD = 50  # sample rows from which some are kept out of training
 SHORT_TEXTS = 2.0  # allowance for short texts, in standard deviations of one n-gram over the root of their number
+PASSES = 8  # least passes over the training rows
 LEAST_ROWS = 20  # sample rows of a language, however many languages there are
 
 
@@ -113,57 +119,90 @@ def calibration_bags(text: str, mark: int) -> list[tuple[bytes, bytes]]:
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str,
-                    per_language: int, max_rows: int) -> list:
-    """Sparse feature counts of the sampled rows; bounded by the parameters."""
-    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    mark = F.xxhash64(F.col(id_col).cast("string"))
-    # Each language takes the rows whose hash lies in the share of the hash
-    # range that holds its part of the sample on average; only counts are
-    # shuffled.
-    sizes = (
-        labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__rows"))
-        .orderBy(F.desc("__rows"), lang_col).limit(max(1, max_rows // LEAST_ROWS))
-    )
-    each = max(LEAST_ROWS, min(per_language, max_rows // max(1, sizes.count())))
-    cuts = sizes.withColumn("__share", F.least(F.lit(1.0), F.lit(float(each)) / F.col("__rows")))
-
-    @F.udf("struct<bucket:binary,hits:binary>")
-    def sparse(text):
-        return _bag(text)
-
-    # What the rejection is calibrated with: the text cut to 8 to 256 characters, and noise of its letters.
-    @F.udf("array<struct<bucket:binary,hits:binary>>")
-    def calibrating(text, mark):
-        return calibration_bags(text, mark)
-
-    picked = (
-        labelled.withColumn("__mark", mark)
-        .join(F.broadcast(cuts), lang_col)
-        .where((F.col("__mark") / 2.0**64 + 0.5) <= F.col("__share"))
-        .select(F.col(lang_col).alias("lang"), F.col("__mark").alias("mark"), sparse(F.col(text_col)).alias("f"),
-                calibrating(F.col(text_col), F.col("__mark")).alias("c"))
-    )
-    # The number per language is an expected one (and rows that share an id share its hash): bounded here.
-    rows = picked.orderBy("mark", "lang", "f").limit(max_rows).collect()
-    return [r for r in rows if len(r.f.bucket)]
+                    per_language: int, max_rows: int) -> tuple[DataFrame | None, int]:
+    """Sparse feature counts of sampled rows (``lang``, ``mark``, ``bucket``,
+    ``hits``, ``calibration``) and the number wanted of each language.
+
+    Each language takes the distinct rows whose hash lies in the share of the
+    hash range that holds its part of the sample on average, and at most
+    twice that part."""
+    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UNKNOWN)).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("mark"), F.col(text_col).alias("text"))
+    # One row per language: a fraction of the model's own size.
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    if not sizes:
+        return None, 0
+    each = max(LEAST_ROWS, min(per_language, max_rows // len(sizes)))
+    cuts = df.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.rows)) for r in sizes], "lang string, share double")
+    picked = labelled.join(F.broadcast(cuts), "lang").where((F.col("mark") / 2.0**64 + 0.5) <= F.col("share"))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[int]] = {}
+        for batch in batches:
+            rows = []
+            for lang, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = seen.setdefault(lang, set())
+                if mark not in own and len(own) < 2 * each:
+                    own.add(mark)
+                    bucket, hits = _bag(text)
+                    if bucket:
+                        rows.append((lang, mark, bucket, hits, [
+                            {"bucket": b, "hits": h} for b, h in calibration_bags(text, mark)]))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()),
+                     pa.array(columns[3], pa.binary()),
+                     pa.array(columns[4], pa.list_(pa.struct([("bucket", pa.binary()), ("hits", pa.binary())])))],
+                    ["lang", "mark", "bucket", "hits", "calibration"])
+
+    shape = "lang string, mark long, bucket binary, hits binary, calibration array<struct<bucket:binary,hits:binary>>"
+    return picked.select("lang", "mark", "text").mapInArrow(bags, shape), each
+
+
+@dataclass(frozen=True)
+class SampleRow:
+    lang: str
+    f: tuple[bytes, bytes]
+    c: tuple[tuple[bytes, bytes], ...]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-          per_language: int = 800, max_rows: int = 4000, dim: int = 16, steps: int = 800, rate: float = 8.0,
-          reject_share: float = 0.0005, times_even: float = 1.6, seed: int = 7) -> LanguageModel:
-    """Train on a bounded sample of the labelled rows of ``df``."""
-    rows = labelled_sample(df, id_col, text_col, lang_col, per_language, max_rows)
-    return fitted([r for r in rows if r.lang != UNKNOWN], dim=dim, steps=steps, rate=rate,
-                  reject_share=reject_share, times_even=times_even, seed=seed)
+          per_language: int = 800, max_rows: int = 4000, sample_bytes: int = 192 << 20, dim: int = 16, steps: int = 800,
+          rate: float = 8.0, reject_share: float = 0.0005, times_even: float = 1.6, seed: int = 7) -> LanguageModel:
+    """Train on a bounded sample of the labelled rows of ``df``, in one task."""
+    sample, each = labelled_sample(df, id_col, text_col, lang_col, per_language, max_rows)
+    if sample is None:
+        return LanguageModel()
+
+    def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[int, SampleRow]] = {}
+        held: dict[str, int] = {}
+        total = 0
+        for batch in batches:  # sorted by hash, so that the byte bound cuts all languages alike
+            for lang, mark, bucket, hits, calibration in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = kept.setdefault(lang, {})
+                enough = held.get(lang, 0) >= LEAST_ROWS and total >= sample_bytes
+                if mark in own or len(own) >= 2 * each or enough:
+                    continue
+                own[mark] = SampleRow(lang, (bucket, hits), tuple((c["bucket"], c["hits"]) for c in calibration))
+                held[lang] = held.get(lang, 0) + 1
+                total += len(bucket) + len(hits) + sum(len(c["bucket"]) + len(c["hits"]) for c in calibration)
+        rows = [r for mark in sorted({m for own in kept.values() for m in own}) for own in kept.values() if (r := own.get(mark))]
+        model = fitted(rows, dim=dim, steps=steps, rate=rate, reject_share=reject_share, times_even=times_even, seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.repartition(1).sortWithinPartitions("mark", "lang").mapInArrow(training, "model binary").collect()
+    return pickle.loads(made[0].model) if made else LanguageModel()
 
 
 def fitted(rows: list, *, dim: int, steps: int, rate: float, reject_share: float, times_even: float, seed: int) -> LanguageModel:
-    """The model of the sampled rows."""
+    """The model of the sampled rows (``SampleRow``)."""
     if not rows:
         return LanguageModel()
     languages = sorted({r.lang for r in rows})
     number = {lang: i for i, lang in enumerate(languages)}
-    bags = [(np.frombuffer(r.f.bucket, "<u2"), np.frombuffer(r.f.hits, "<f4")) for r in rows]
+    bags = [(np.frombuffer(r.f[0], "<u2"), np.frombuffer(r.f[1], "<f4")) for r in rows]
     gold = np.array([number[r.lang] for r in rows])
 
     def dense(which) -> np.ndarray:
@@ -179,6 +218,7 @@ def fitted(rows: list, *, dim: int, steps: int, rate: float, reject_share: float
     emb = rng.normal(0, 0.5, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     done = 0
+    steps = max(steps, PASSES * len(used) // 32)  # many languages are many rows
     while done < steps:
         for batch in np.array_split(rng.permutation(used), max(1, len(used) // 32)):
             step = rate * max(0.02, 1 - done / steps)
