@@ -41,16 +41,31 @@ def rank_file(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file: found in a text before
+    anything else, as they are (checked: no stripping, no whole words)."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    for token in added:
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+            raise ValueError(f"{path}: {token['content']!r} is not matched as it is")
+    # Where one is a prefix of another the longer is tried first.
+    return {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    ranks = json_ranks(path) if path.endswith(".json") else rank_file(path)
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    """Added tokens of a ``tokenizers`` file are its special tokens."""
+    if path.endswith(".json"):
+        return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=json_ranks(path), special_tokens=added_tokens(path))
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=rank_file(path), special_tokens={})
 
 
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
     """The token-byte table: bytes of each id; ids that are not used are empty."""
-    ranks = json_ranks(path) if path.endswith(".json") else rank_file(path)
+    ranks = json_ranks(path) | {t.encode(): i for t, i in added_tokens(path).items()} if path.endswith(".json") else rank_file(path)
     table = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token

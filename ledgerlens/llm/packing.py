@@ -21,6 +21,9 @@ The stream is solved in blocks that end at the first document end after
 document.  There is no shuffle; a sequence belongs to one task, and a lost
 task repacks the same documents the same way.
 
+Ids are those of the ``tokenizers`` file, whose added tokens (such as
+``<|endoftext|>``) are one id each wherever a text spells them.
+
 Defined cases: a null text counts as empty and is one end id; rows that
 repeat or have null ids are packed like any other; a text longer than a
 sequence is cut into several; an empty table gives no pieces; extra columns
@@ -151,7 +154,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab
         for batch in batches:
             ids_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode.encode_to_numpy(text.as_py() or "")
+                found = encode.encode_to_numpy(text.as_py() or "", allowed_special="all")
                 docs.append((doc, np.append(found, end_id).astype(np.uint32)))
                 held += len(docs[-1][1])
                 if held >= block_tokens:
