@@ -32,31 +32,25 @@ result.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
-from ledgerlens.llm.set_classes import BLOCK_SHINGLES, class_links, dealt_sets, least_ids, shingle_table, with_least
+from ledgerlens.llm.set_classes import (
+    BLOCK_SHINGLES,
+    class_links,
+    dealt_sets,
+    least_ids,
+    shingle_table,
+    star_links,
+    with_times,
+)
 from ledgerlens.llm.sketch_join import SKETCH, least_shared, sketch_links
 
 WORDS = 4
 UNDER, OVER = 4, 5
 SHARED_LEAST = 8
 SMALL_LIST = 8
-HOT_TIMES = 1024  # sets of a value that is looked up in the broadcast list
-HOT_VALUES = 1 << 16  # entries of that list (1 MB)
-
-
-def _with_times(postings: DataFrame) -> DataFrame:
-    """``postings`` whose value is in several sets, with their number.  The
-    most frequent values come from a bounded broadcast list, all others by a
-    join in which no value is frequent."""
-    times = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "value-counts")
-    hot = times.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "value").limit(HOT_VALUES)
-    looked = postings.join(F.broadcast(hot), "value", "left")
-    cold = times.join(F.broadcast(hot.select("value")), "value", "left_anti")
-    return looked.where("times IS NOT NULL").unionByName(looked.where("times IS NULL").drop("times").join(cold, "value"))
 
 
 def retained_values(sets: DataFrame, under: int, over: int) -> DataFrame:
@@ -66,7 +60,7 @@ def retained_values(sets: DataFrame, under: int, over: int) -> DataFrame:
     overlap = F.least(F.ceil(F.col("n") * under / over), F.lit(least_shared(under, over)))
     least = F.least(overlap, F.lit(SHARED_LEAST))
     postings = sets.select("number", "n", F.explode("sketch").alias("value"))
-    shared = _with_times(postings).groupBy("number", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("held"))
+    shared = with_times(postings).groupBy("number", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("held"))
     # Values of this set alone come first in the order and take their places.
     keep = F.size("held") - overlap + least
     return shared.where(keep > 0).select(
@@ -87,23 +81,6 @@ def _pair_links(lists: DataFrame, under: int, over: int) -> DataFrame:
         .where("shared >= least").select("a", "b"))
 
 
-def _star_links(lists: DataFrame, under: int, over: int) -> DataFrame:
-    """Links of long lists: every set to the smallest of its size band,
-    bands to the next."""
-    width = float(np.log(over / under) * (1 + 1e-9))  # similar sets are in one band or the next
-    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    placed = with_least(banded, ["value", "band"], F.col("number"), "first", F.col("number"))
-    # One link per set and first of a list would be many: the firsts that a
-    # set meets are linked to the smallest of them.
-    firsts = placed.groupBy("number").agg(F.collect_set("first").alias("firsts"))
-    least = F.array_min("firsts")
-    met = firsts.select(least.alias("b"), F.explode(F.array_union(F.array("number"), "firsts")).alias("a"))
-    ends = banded.groupBy("value", "band").agg(F.min("number").alias("first"))
-    above = ends.select("value", (F.col("band") - 1).alias("band"), F.col("first").alias("a"))
-    return met.select("a", "b").union(ends.join(above, ["value", "band"]).select("a", F.col("first").alias("b"))).where(
-        "a <> b").distinct()
-
-
 def sketch_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, under: int = UNDER,
                    over: int = OVER, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row: the id, ``n_shingles``, ``component_id`` (the smallest
@@ -113,7 +90,7 @@ def sketch_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found.where("sketch IS NOT NULL").select("number", "n", "sketch").dropDuplicates(["number"]), "sketches")
     lists = written(retained_values(sets, under, over), "inverted-lists")
     candidates = _pair_links(lists.where(F.col("times") <= SMALL_LIST), under, over).union(
-        _star_links(lists.where(F.col("times") > SMALL_LIST), under, over))
+        star_links(lists.where(F.col("times") > SMALL_LIST), under, over))
     dealt, several = dealt_sets(found, candidates, block_shingles)
     links = class_links(dealt, several, sketch_links, under, over)
     return least_ids(found, links).select(

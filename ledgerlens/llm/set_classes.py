@@ -1,5 +1,5 @@
-"""What the joins of similar sets share: the table of sets, blocks of
-candidate classes, and the smallest id of every class.
+"""What the joins of similar sets share: the table of sets, inverted lists,
+blocks of candidate classes, and the smallest id of every class.
 
 A set is known by its 64-bit number, so rows with equal sets are one node.
 Rows never meet by their ids: null or repeated ids cost nothing extra.
@@ -23,6 +23,8 @@ INSERT, ASK, BOTH = 0, 1, 2  # roles of a set in a block
 SALTS = 64
 BLOCK_SHINGLES = 1 << 22  # 32 MB of tokens
 SEEN_SETS = 1 << 20
+HOT_TIMES = 1024  # sets of a value that is looked up in the broadcast list
+HOT_VALUES = 1 << 16  # entries of that list (1 MB)
 MARK_BITS = 24  # a bit map of 2 MB of the sets that are asked for
 
 BlockLinks = Callable[[list, int, int], list[tuple[int, int]]]
@@ -73,6 +75,34 @@ def with_least(df: DataFrame, keys: list[str], value: Column, name: str, salt: C
     return salted.join(leaf.select(*keys, "__salt").join(least, keys), [*keys, "__salt"]).drop("__salt")
 
 
+def with_times(postings: DataFrame) -> DataFrame:
+    """``postings`` whose value is in several sets, with their number.  The
+    most frequent values come from a bounded broadcast list, all others by a
+    join in which no value is frequent."""
+    times = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "value-counts")
+    hot = times.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "value").limit(HOT_VALUES)
+    looked = postings.join(F.broadcast(hot), "value", "left")
+    cold = times.join(F.broadcast(hot.select("value")), "value", "left_anti")
+    return looked.where("times IS NOT NULL").unionByName(looked.where("times IS NULL").drop("times").join(cold, "value"))
+
+
+def star_links(lists: DataFrame, under: int, over: int) -> DataFrame:
+    """Links of long lists: every set to the smallest of its size band,
+    bands to the next."""
+    width = float(np.log(over / under) * (1 + 1e-9))  # similar sets are in one band or the next
+    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    placed = with_least(banded, ["value", "band"], F.col("number"), "first", F.col("number"))
+    # One link per set and first of a list would be many: the firsts that a
+    # set meets are linked to the smallest of them.
+    firsts = placed.groupBy("number").agg(F.collect_set("first").alias("firsts"))
+    least = F.array_min("firsts")
+    met = firsts.select(least.alias("b"), F.explode(F.array_union(F.array("number"), "firsts")).alias("a"))
+    ends = banded.groupBy("value", "band").agg(F.min("number").alias("first"))
+    above = ends.select("value", (F.col("band") - 1).alias("band"), F.col("first").alias("a"))
+    return met.select("a", "b").union(ends.join(above, ["value", "band"]).select("a", F.col("first").alias("b"))).where(
+        "a <> b").distinct()
+
+
 def marked(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``number`` may be among those of ``wanted``:
     a bit map of fixed size, so that few of the other sets are shuffled.  Any

@@ -91,11 +91,11 @@ def near_copies(n, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("block_sets", [20_000, 7])
-def test_ngram_join_is_exact(spark, texts, block_sets):
+@pytest.mark.parametrize("block_shingles", [1 << 22, 1000])
+def test_ngram_join_is_exact(spark, texts, block_shingles):
     rows = [*texts.items(), *((i + 10**6, t) for i, t in near_copies(150))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = ngram_join.jaccard_classes(df, block_sets=block_sets).collect()
+    got = ngram_join.jaccard_classes(df, block_shingles=block_shingles).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows)
 
 
@@ -131,7 +131,6 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch(list(texts.values()), add_special_tokens=False)
     ids = {i: [*e.ids, 0] for i, e in zip(texts, found, strict=True)}
     got = QUERIES["op4_packing"](spark, SF).collect()
@@ -152,6 +151,17 @@ def test_packing_round_trip(spark, texts):
     assert padding < 0.03 * (sum(used) + padding)
 
 
+@pytest.mark.parametrize("text", [
+    "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext|", " <|endoftext|>\n\n", "<|im_start|> x"])
+def test_packing_ids_of_added_tokens(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [0]
+    row = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.length, r.ids_crc32) for r in row] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
 def slow_cuts(places, penalties, costs):
     best = [0.0]
     for i in range(1, len(places)):
