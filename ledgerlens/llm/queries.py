@@ -36,6 +36,7 @@ QUERIES = {
 
 SQL = {
     "op1_license_scan": license_scan.SQL,
+    "op2_warc": warc.SQL,
     "op3_chat_format": chat_format.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_topk_search": topk_search.SQL,

@@ -6,12 +6,13 @@ the staging folder, so attempts that failed leave nothing behind.  Each
 member carries its own length in the gzip header's extra field (``sl``).
 
 Reading: the plan bins whole files into partitions of bounded size.  Per
-record only the WARC headers are inflated first; equality predicates on
-record type and header columns are pushed into the reader and tested there,
-and the payload of a record that is not wanted (predicate, or no payload
-column and no verification) is skipped by the member length without being
-inflated.  Foreign files without that length (plain, per-record or
-whole-file gzip) are read too, with a seek or a read over the payload.
+record only the WARC headers are inflated first, in steps of ``STEP`` bytes;
+equality predicates on record type, page id and header columns are pushed
+into the reader and tested there, and the payload of a record that is not
+wanted (predicate, or no payload column and no verification) is skipped by
+the member length: no more than one step of it is inflated.  Foreign files
+(plain, gzip members without that length, one member for a whole file, or a
+mixture) are read too, with a seek or a read over the payload.
 
 Defined cases: a null payload is empty; a null url gives no target header,
 control characters in it are written percent-encoded; rows with equal
@@ -23,8 +24,8 @@ table gives an empty folder, which reads as no records.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
 import os
 import re
 import struct
@@ -62,7 +63,10 @@ RECORD_COLUMNS = (
 HEADER_OF = {
     "record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri",
     "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to",
+    "page_id": "x-page-id",
 }
+STEP = 2048  # plain bytes that are inflated at a time while looking for the end of headers
+READ = 1 << 16  # packed bytes read at a time
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -171,39 +175,58 @@ def _skip_lengths(head: bytes) -> int | None:
     return None
 
 
-def sized_members(f, size: int):
-    """(offset, headers, block reader) of each record of a file of members
-    with known lengths; a block is inflated only when its reader is called."""
-    at = 0
-    while at < size:
-        f.seek(at)
-        first = f.read(4096)
-        length = _skip_lengths(first)
-        if length is None:
-            raise ValueError(f"no member length at byte {at}")
-        unpack = zlib.decompressobj(-15)
-        text, fed = b"", 24
-        data = first[24:length]
-        while END not in text:
-            if not data:
-                raise ValueError(f"record at byte {at} has no end of headers")
-            fed += len(data)
-            text += unpack.decompress(data, 0)
-            data = f.read(min(4096, length - fed)) if END not in text and fed < length else b""
-        head, _, rest = text.partition(END)
-        headers = parse_headers(head)
-
-        def block(rest=rest, unpack=unpack, at=at, fed=fed, length=length, headers=headers) -> bytes:
-            f.seek(at + fed)
-            more = unpack.decompress(f.read(length - fed)) if fed < length else b""
-            return (rest + more)[: int(headers["content-length"])]
-
-        yield at, headers, block
-        at += length
+class Member:
+    """The plain bytes of the gzip member that starts at ``at``, inflated as
+    they are asked for."""
+
+    def __init__(self, f, at: int, packed: int | None = None):
+        self.f, self.next, self.left = f, at, packed  # left: packed bytes, where they are known
+        self.unpack, self.held, self.data, self.end = zlib.decompressobj(31), b"", b"", None
+
+    def inflate(self, most: int) -> bytes:
+        """Up to ``most`` further bytes; empty at the end of the member."""
+        while self.end is None:
+            if not self.data:
+                n = min(READ, max(STEP, most)) if self.left is None else min(READ, max(STEP, most), self.left)
+                self.f.seek(self.next)
+                self.data = self.f.read(n)
+                if not self.data:
+                    raise ValueError(f"gzip member is cut short at byte {self.next}")
+                self.next += len(self.data)
+                self.left = None if self.left is None else self.left - len(self.data)
+            out = self.unpack.decompress(self.data, most)
+            self.data = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.end = self.next - len(self.unpack.unused_data)
+            if out:
+                return out
+        return b""
+
+    def readline(self) -> bytes:
+        while (at := self.held.find(b"\n")) < 0 and (more := self.inflate(STEP)):
+            self.held += more
+        cut = at + 1 if at >= 0 else len(self.held)
+        line, self.held = self.held[:cut], self.held[cut:]
+        return line
+
+    def read(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n and (more := self.inflate(n - have)):
+            parts.append(more)
+            have += len(more)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (got := len(self.read(min(n, 1 << 20)))):
+            n -= got
 
 
 def streamed_records(f, skip):
-    """The same for a plain byte stream; ``skip(n)`` passes over n bytes."""
+    """(offset, headers, block reader) of each record of a byte stream;
+    ``skip(n)`` passes over n bytes.  A block is read only when its reader is
+    called."""
     at = 0
     while True:
         line = f.readline()
@@ -229,24 +252,34 @@ def streamed_records(f, skip):
         skip(left[0])
 
 
+def member_records(f, size: int):
+    """The records of a file of gzip members; offsets are those of members,
+    and where one member holds several records, of the plain bytes in it."""
+    at = 0
+    while at < size:
+        f.seek(at)
+        length = _skip_lengths(f.read(24))
+        member = Member(f, at, length)
+        if length is not None:
+            for _, headers, block in streamed_records(member, lambda n: None):
+                yield at, headers, block
+                break  # one record a member; the rest is passed over unread
+            at += length
+        else:
+            for offset, headers, block in streamed_records(member, member.skip):
+                yield at + offset, headers, block
+            at = member.end
+
+
 def file_records(fs: pafs.FileSystem, path: str, size: int):
     with fs.open_input_file(path) as f:
-        head = f.read(24)
-        if _skip_lengths(head) is not None:
-            yield from sized_members(f, size)
-            return
+        head = f.read(2)
         f.seek(0)
-        if head[:2] == b"\x1f\x8b":
-            unpacked = gzip.GzipFile(fileobj=f)
-
-            def pass_over(n: int) -> None:
-                while n > 0 and (got := len(unpacked.read(min(n, 1 << 20)))):
-                    n -= got
-
-            yield from streamed_records(unpacked, pass_over)
+        if head == b"\x1f\x8b":
+            yield from member_records(f, size)
         else:
-            with pa.PythonFile(f) if not hasattr(f, "readline") else f as plain:
-                yield from streamed_records(plain, lambda n: plain.seek(plain.tell() + n))
+            plain = io.BufferedReader(f, READ)
+            yield from streamed_records(plain, lambda n: plain.seek(n, io.SEEK_CUR))
 
 
 @dataclass
@@ -263,9 +296,9 @@ class WarcReader(DataSourceReader):
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
             if column in HEADER_OF and isinstance(f, EqualTo | EqualNullSafe) and f.value is not None:
-                self.wanted.append((HEADER_OF[column], (f.value,)))
+                self.wanted.append((HEADER_OF[column], (str(f.value),)))
             elif column in HEADER_OF and isinstance(f, In) and None not in f.value:
-                self.wanted.append((HEADER_OF[column], tuple(f.value)))
+                self.wanted.append((HEADER_OF[column], tuple(map(str, f.value))))
             else:
                 yield f
 
@@ -308,7 +341,7 @@ class WarcReader(DataSourceReader):
             if self.verify and headers.get("warc-payload-digest") not in (None, f"sha1:{base32_sha1(body)}"):
                 raise ValueError(f"{path}, byte {offset}: the payload does not have the digest of its header")
             payload, size = body, len(body)
-        page = headers.get("x-page-id")
+        page = headers.get("x-page-id")  # written without leading zeros
         return (
             path, offset, kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("content-type"),
             headers.get("warc-payload-digest"), headers.get("warc-refers-to"),
@@ -401,3 +434,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
     )
+
+
+SQL = """
+WITH body AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+least AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM body)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(hex, 5 * i::INT + 1, 5) AS BIGINT) >> k) & 31 AS INT), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM least
+"""
