@@ -21,7 +21,7 @@ from ledgerlens.llm.shingles import set_number, shingle_sets, text_batches
 
 INSERT, ASK, BOTH = 0, 1, 2  # roles of a set in a block
 SALTS = 64
-BLOCK_SHINGLES = 1 << 22  # 32 MB of tokens
+BLOCK_SHINGLES = 1 << 21  # 16 MB of tokens
 SEEN_SETS = 1 << 20
 HOT_TIMES = 1024  # sets of a value that is looked up in the broadcast list
 HOT_VALUES = 1 << 16  # entries of that list (1 MB)

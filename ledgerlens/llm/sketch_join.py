@@ -9,13 +9,11 @@ similarity; for unions of at most k tokens it is the similarity.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import cache
 
 import numpy as np
 
 from ledgerlens.llm.set_classes import ASK, INSERT
-from ledgerlens.llm.trie_join import UnionFind
 
 SKETCH = 64
 MISS = 1e-10  # probability that the estimate turns a similar pair away
@@ -58,71 +56,88 @@ def similar(a: np.ndarray, b: np.ndarray, under: int, over: int) -> bool:
 
 
 class SketchIndex:
-    """Inverted lists of retained values, each kept by class, so that sets of
-    the asker's own class are passed over at once."""
+    """Inverted lists of the sketch values that several sets retain.  Sets
+    ask in their order, so what a set meets in a list is the part before its
+    own place: one sorted array holds all lists."""
 
-    def __init__(self, sets: list[np.ndarray], under: int, over: int):
+    def __init__(self, sets: list[np.ndarray], listed: int, under: int, over: int):
+        """Only the first ``listed`` sets are found by others."""
         self.sets, self.under, self.over = sets, under, over
-        self.classes = UnionFind()
-        self.lists: dict[int, dict[int, list[int]]] = {}
-        values, place, counts = np.unique(
-            np.concatenate([s[:SKETCH] for s in sets]), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
-        rank[np.lexsort((values, counts))] = np.arange(len(values))  # rare values first
-        ranks, at, self.kept = rank[place], 0, []
-        for s in sets:
-            size = min(len(s), SKETCH)
-            own = np.sort(ranks[at : at + size])
-            self.kept.append(own[: size - least_overlap(len(s), under, over) + 1].tolist())
-            at += size
-
-    def insert(self, own: int) -> None:
-        root = self.classes.find(own)
-        for value in self.kept[own]:
-            self.lists.setdefault(value, {}).setdefault(root, []).append(own)
-
-    def candidates(self, own: int) -> list[int]:
-        """Sets of other classes that share a retained value, most shared first."""
-        met: Counter = Counter()
-        mine = self.classes.find(own)
-        for value in self.kept[own]:
-            by_class = self.lists.get(value)
-            if not by_class:
-                continue
-            for key in [k for k in by_class if self.classes.find(k) != k]:  # classes that have met
-                by_class.setdefault(self.classes.find(key), []).extend(by_class.pop(key))
-            for key, members in by_class.items():
-                if key != mine:
-                    met.update(members)
-        return [other for other, _ in met.most_common()]
+        self.sizes = np.array([len(s) for s in sets])
+        self.least = np.array([least_overlap(n, under, over) for n in self.sizes.tolist()])
+        self.labels = np.arange(len(sets))
+        held = np.minimum(self.sizes, SKETCH)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), held)
+        _, value, counts = np.unique(np.concatenate([s[:SKETCH] for s in sets]), return_inverse=True, return_counts=True)
+        several = counts[value] > 1  # values of one set need no list
+        owner, value = owner[several], value[several]
+        found = owner < listed
+        self.members = owner[found][np.argsort(value[found], kind="stable")]
+        starts = np.append(0, np.cumsum(np.bincount(value[found], minlength=len(counts))))
+        # Of each (set, value): the list's start, and how many members stand before the set.
+        by_value = np.argsort(value, kind="stable")
+        sorted_value = value[by_value]
+        listed_here = found[by_value].astype(np.int64)
+        before = np.cumsum(listed_here) - listed_here
+        first = np.searchsorted(sorted_value, sorted_value, "left")
+        place = np.empty(len(value), np.int64)
+        place[by_value] = before - before[first]
+        self.from_, self.to = starts[value], starts[value] + place
+        self.at = np.searchsorted(owner, np.arange(len(sets) + 1))
+
+    def union(self, i: int, j: int) -> None:
+        a, b = sorted((self.labels[i], self.labels[j]))
+        self.labels[self.labels == b] = a
+
+    def candidates(self, own: int) -> np.ndarray:
+        """Earlier sets of other classes whose overlap is enough, most shared first."""
+        mine = range(self.at[own], self.at[own + 1])
+        met = [self.members[self.from_[k] : self.to[k]] for k in mine]
+        if not met:
+            return np.zeros(0, np.int64)
+        shared = np.bincount(np.concatenate(met))
+        found = np.flatnonzero(shared)
+        found = found[self.labels[found] != self.labels[own]]
+        overlap, size, sizes = shared[found], self.sizes[own], self.sizes[found]
+        fits = overlap >= np.maximum(self.least[found], self.least[own])
+        whole = (sizes <= SKETCH) & (size <= SKETCH)  # the overlap is the intersection
+        fits &= ~whole | (self.over * overlap >= self.under * (size + sizes - overlap))
+        found, overlap = found[fits], overlap[fits]
+        return found[np.argsort(-overlap, kind="stable")]
+
+    def _links(self, own: int, other: int) -> bool:
+        a, b = self.sets[own], self.sets[other]
+        if not (may_link(a, b, self.under, self.over) and similar(a, b, self.under, self.over)):
+            return False
+        self.union(own, other)
+        return True
 
     def link(self, own: int) -> None:
-        tokens = self.sets[own]
-        for other in self.candidates(own):
-            if self.classes.find(other) == self.classes.find(own):
-                continue
-            near = self.sets[other]
-            if may_link(tokens, near, self.under, self.over) and similar(tokens, near, self.under, self.over):
-                self.classes.union(other, own)
+        """Join the class of ``own`` with those of all similar earlier sets,
+        the closest first: in a group of near copies one of them is similar,
+        and the whole class is then passed over."""
+        left = self.candidates(own)
+        while len(left):
+            linked = self._links(own, int(left[0]))
+            left = left[1:]
+            if linked:
+                left = left[self.labels[left] != self.labels[own]]
 
 
 def sketch_links(members: list[tuple[int, int, int, np.ndarray]], under: int, over: int) -> list[tuple[int, int]]:
     """The classes of similar sets of one block as links (number, smallest
     number of its class).  A member is (number, class so far, role, tokens)."""
     members = sorted(members, key=lambda m: (m[2] == ASK, len(m[3]), m[0]))
-    index = SketchIndex([m[3] for m in members], under, over)
+    index = SketchIndex([m[3] for m in members], sum(m[2] != ASK for m in members), under, over)
     first: dict[int, int] = {}
-    for _, label, _, _ in members:
-        own = index.classes.add()
+    for own, (_, label, _, _) in enumerate(members):
         if label in first:
-            index.classes.union(first[label], own)
+            index.union(first[label], own)
         first.setdefault(label, own)
     for own, (_, _, role, _) in enumerate(members):
         if role != INSERT:
             index.link(own)
-        if role != ASK:
-            index.insert(own)
-    return class_stars([index.classes.find(own) for own in range(len(members))], [m[0] for m in members])
+    return class_stars(index.labels.tolist(), [m[0] for m in members])
 
 
 def class_stars(roots: list[int], numbers: list[int]) -> list[tuple[int, int]]:
