@@ -1,9 +1,10 @@
 """Similar sets of one block by bottom-k sketches (numpy; one task).
 
 Tokens are values of one hash function, so the k smallest of a set are its
-sketch, and the k smallest of two sketches together are the sketch of the
-union.  The share of the union's sketch that both hold estimates the
-similarity; for unions of at most k tokens it is the similarity.
+sketch, and what two sketches hold up to the smaller of their largest values
+is a sketch of the union (of k to 2k tokens).  The share of it that both hold
+estimates the similarity; where both sketches are whole sets, it is the
+similarity.
 """
 
 from __future__ import annotations
@@ -13,22 +14,26 @@ from functools import cache
 
 import numpy as np
 
+from ledgerlens.llm.packed import ragged
 from ledgerlens.llm.set_classes import ASK, INSERT
 
 SKETCH = 64
-MISS = 1e-10  # probability that the estimate turns a similar pair away
+MISS = 1e-10  # probability that a similar pair shares fewer tokens of a sketch of known size
+MISS_ANY = MISS / (SKETCH + 1)  # of one of the sizes that the union's sketch may have
+CLOSEST = 8
+COMMON = 32  # values of more than one in ``COMMON`` sets are columns of bits
 
 
 @cache
-def least_shared(under: int, over: int) -> int:
-    """Tokens of a union's whole sketch that a similar pair shares: fewer have
-    a probability below ``MISS`` (binomial tail; 28 of 64 at 0.8)."""
+def least_shared(under: int, over: int, size: int = SKETCH, miss: float = MISS) -> int:
+    """Tokens of a union's sketch of ``size`` that a similar pair shares: fewer
+    have a probability below ``miss`` (binomial tail; 28 of 64 at 0.8)."""
     p, tail = under / over, 0.0
-    for shared in range(SKETCH + 1):
-        tail += math.comb(SKETCH, shared) * p**shared * (1 - p) ** (SKETCH - shared)
-        if tail > MISS:
+    for shared in range(size + 1):
+        tail += math.comb(size, shared) * p**shared * (1 - p) ** (size - shared)
+        if tail > miss:
             return shared
-    return SKETCH
+    return size
 
 
 def least_overlap(n: int, under: int, over: int) -> int:
@@ -36,92 +41,107 @@ def least_overlap(n: int, under: int, over: int) -> int:
     return min(-(-n * under // over), least_shared(under, over))
 
 
-def may_link(a: np.ndarray, b: np.ndarray, under: int, over: int) -> bool:
-    """The estimate from the sketches leaves the threshold in reach."""
-    a, b = a[:SKETCH], b[:SKETCH]
-    union = np.union1d(a, b)
-    whole = len(union) <= SKETCH and len(a) < SKETCH and len(b) < SKETCH
-    union = union[:SKETCH]
-    shared = np.intersect1d(a, b, assume_unique=True)
-    shared = int(np.searchsorted(shared, union[-1], "right"))
-    return over * shared >= under * len(union) if whole else shared >= least_shared(under, over)
-
-
-def similar(a: np.ndarray, b: np.ndarray, under: int, over: int) -> bool:
-    """Exact, on the full sets."""
-    if over * min(len(a), len(b)) < under * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return over * shared >= under * (len(a) + len(b) - shared)
+@cache
+def _least_of_union(under: int, over: int) -> np.ndarray:
+    """By size of the union's sketch."""
+    return np.array([least_shared(under, over, size, MISS_ANY) for size in range(2 * SKETCH + 1)])
+
+
+def similar(overlap: np.ndarray, size: int, sizes: np.ndarray, under: int, over: int) -> np.ndarray:
+    """Exact, from the overlaps of the full sets."""
+    return over * overlap >= under * (size + sizes - overlap)
+
+
+class Overlaps:
+    """Inverted lists of the values that several sets of a block hold.  The
+    list of a value of many sets is a column of bits, so that a group of near
+    copies costs a few words for each pair and not each shared value."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = self.n = len(sets)
+        owner = np.repeat(np.arange(n), [len(s) for s in sets])
+        _, value, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = (counts > 1) & (counts * COMMON > n)
+        column, words = np.cumsum(common) - 1, -(-int(common.sum()) // 64)
+        self.bits = np.zeros((words, n), np.uint64)
+        mine = common[value]
+        at = column[value[mine]]
+        np.bitwise_or.at(self.bits.reshape(-1), (at >> 6) * n + owner[mine], np.uint64(1) << (at & 63).astype(np.uint64))
+        mine = ~mine & (counts > 1)[value]  # values of one set need no list
+        owner, value = owner[mine], value[mine]
+        self.members = owner[np.argsort(value, kind="stable")]
+        ends = np.cumsum(np.bincount(value, minlength=len(counts)))
+        self.lengths = np.bincount(value, minlength=len(counts))[value]
+        self.starts = ends[value] - self.lengths
+        self.at = np.searchsorted(owner, np.arange(n + 1))
+
+    def of(self, own: int, others: np.ndarray) -> np.ndarray:
+        """The number of values that ``own`` shares with each of ``others``."""
+        shared = np.bitwise_count(np.take(self.bits, others, axis=1) & self.bits[:, own, None]).sum(axis=0, dtype=np.int64)
+        mine = slice(self.at[own], self.at[own + 1])
+        met = ragged(self.members, self.starts[mine], self.lengths[mine])
+        return shared + np.bincount(met, minlength=self.n)[others] if len(met) else shared
 
 
 class SketchIndex:
-    """Inverted lists of the sketch values that several sets retain.  Sets
-    ask in their order, so what a set meets in a list is the part before its
-    own place: one sorted array holds all lists."""
+    """The sets of a block, those that are found by others first and by size.
+    Every set asks among the earlier ones of other classes."""
 
     def __init__(self, sets: list[np.ndarray], listed: int, under: int, over: int):
         """Only the first ``listed`` sets are found by others."""
-        self.sets, self.under, self.over = sets, under, over
+        self.listed, self.under, self.over = listed, under, over
         self.sizes = np.array([len(s) for s in sets])
         self.least = np.array([least_overlap(n, under, over) for n in self.sizes.tolist()])
         self.labels = np.arange(len(sets))
-        held = np.minimum(self.sizes, SKETCH)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), held)
-        _, value, counts = np.unique(np.concatenate([s[:SKETCH] for s in sets]), return_inverse=True, return_counts=True)
-        several = counts[value] > 1  # values of one set need no list
-        owner, value = owner[several], value[several]
-        found = owner < listed
-        self.members = owner[found][np.argsort(value[found], kind="stable")]
-        starts = np.append(0, np.cumsum(np.bincount(value[found], minlength=len(counts))))
-        # Of each (set, value): the list's start, and how many members stand before the set.
-        by_value = np.argsort(value, kind="stable")
-        sorted_value = value[by_value]
-        listed_here = found[by_value].astype(np.int64)
-        before = np.cumsum(listed_here) - listed_here
-        first = np.searchsorted(sorted_value, sorted_value, "left")
-        place = np.empty(len(value), np.int64)
-        place[by_value] = before - before[first]
-        self.from_, self.to = starts[value], starts[value] + place
-        self.at = np.searchsorted(owner, np.arange(len(sets) + 1))
-
-    def union(self, i: int, j: int) -> None:
-        a, b = sorted((self.labels[i], self.labels[j]))
-        self.labels[self.labels == b] = a
-
-    def candidates(self, own: int) -> np.ndarray:
-        """Earlier sets of other classes whose overlap is enough, most shared first."""
-        mine = range(self.at[own], self.at[own + 1])
-        met = [self.members[self.from_[k] : self.to[k]] for k in mine]
-        if not met:
-            return np.zeros(0, np.int64)
-        shared = np.bincount(np.concatenate(met))
-        found = np.flatnonzero(shared)
-        found = found[self.labels[found] != self.labels[own]]
-        overlap, size, sizes = shared[found], self.sizes[own], self.sizes[found]
-        fits = overlap >= np.maximum(self.least[found], self.least[own])
-        whole = (sizes <= SKETCH) & (size <= SKETCH)  # the overlap is the intersection
-        fits &= ~whole | (self.over * overlap >= self.under * (size + sizes - overlap))
-        found, overlap = found[fits], overlap[fits]
-        return found[np.argsort(-overlap, kind="stable")]
-
-    def _links(self, own: int, other: int) -> bool:
-        a, b = self.sets[own], self.sets[other]
-        if not (may_link(a, b, self.under, self.over) and similar(a, b, self.under, self.over)):
-            return False
-        self.union(own, other)
-        return True
+        # Whole sets have no limit: every value of the other sketch is known to be in or out.
+        self.sketches = np.full((len(sets), SKETCH), np.iinfo(np.uint64).max, np.uint64)
+        for i, s in enumerate(sets):
+            self.sketches[i, : len(s[:SKETCH])] = s[:SKETCH]
+        self.whole = self.sizes <= SKETCH
+        self.shared, self.overlaps = Overlaps([s[:SKETCH] for s in sets]), Overlaps(sets)
+
+    def join(self, members: np.ndarray) -> None:
+        """One class of the classes of ``members``."""
+        met = np.unique(self.labels[members])
+        if len(met) > 1:
+            self.labels[np.isin(self.labels, met)] = met[0]
+
+    def _held(self, at: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """Sketch values of the sets ``at`` up to their limits (binary search)."""
+        held = np.zeros(len(at), np.int64)
+        for step in (32, 16, 8, 4, 2, 1, 1):
+            held += step * (self.sketches[at, held + step - 1] <= limits)
+        return np.minimum(held, self.sizes[at])
+
+    def may_link(self, own: int, others: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The estimate from the union's sketch leaves the threshold in reach;
+        ``shared`` are the overlaps of the sketches."""
+        none = np.iinfo(np.uint64).max
+        limits = np.minimum(
+            np.where(self.whole[others], none, self.sketches[others, -1]), none if self.whole[own] else self.sketches[own, -1])
+        union = self._held(others, limits) + self._held(np.full(len(others), own), limits) - shared
+        exact = self.whole[others] & self.whole[own]
+        return np.where(exact, self.over * shared >= self.under * union, shared >= _least_of_union(self.under, self.over)[union])
 
     def link(self, own: int) -> None:
         """Join the class of ``own`` with those of all similar earlier sets,
-        the closest first: in a group of near copies one of them is similar,
-        and the whole class is then passed over."""
-        left = self.candidates(own)
-        while len(left):
-            linked = self._links(own, int(left[0]))
-            left = left[1:]
-            if linked:
-                left = left[self.labels[left] != self.labels[own]]
+        the closest in size first: in a group of near copies one of them is
+        similar, and the whole class is then passed over."""
+        size, near = self.sizes[own], self.sizes[: min(own, self.listed)]
+        low = np.searchsorted(near, -(-size * self.under // self.over), "left")
+        high = np.searchsorted(near, size * self.over // self.under, "right")
+        for start in (max(low, high - CLOSEST), low):
+            others = start + np.flatnonzero(self.labels[start:high] != self.labels[own])
+            if len(others):
+                self._ask(own, others)
+
+    def _ask(self, own: int, others: np.ndarray) -> None:
+        size, shared = self.sizes[own], self.shared.of(own, others)
+        fits = shared >= np.maximum(self.least[others], self.least[own])
+        others, shared = others[fits], shared[fits]
+        others = others[self.may_link(own, others, shared)]
+        overlap = self.overlaps.of(own, others)
+        self.join(np.append(others[similar(overlap, size, self.sizes[others], self.under, self.over)], own))
 
 
 def sketch_links(members: list[tuple[int, int, int, np.ndarray]], under: int, over: int) -> list[tuple[int, int]]:
@@ -132,7 +152,7 @@ def sketch_links(members: list[tuple[int, int, int, np.ndarray]], under: int, ov
     first: dict[int, int] = {}
     for own, (_, label, _, _) in enumerate(members):
         if label in first:
-            index.union(first[label], own)
+            index.join(np.array([first[label], own]))
         first.setdefault(label, own)
     for own, (_, _, role, _) in enumerate(members):
         if role != INSERT:

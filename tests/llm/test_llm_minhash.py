@@ -2,6 +2,7 @@
 that every class is split, and the edge cases."""
 
 import random
+import time
 from itertools import combinations
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.llm import minhash
-from ledgerlens.llm.sketch_join import SKETCH, may_link, similar, sketch_links
+from ledgerlens.llm.sketch_join import SKETCH, SketchIndex, sketch_links
 
 
 def shingles(text, n=4):
@@ -110,37 +111,54 @@ def test_clashing_columns(spark, planted):
     assert sorted(got(spark, rows, names)) == brute(planted[:60])
 
 
-def test_estimate_is_exact_for_small_unions_and_never_below_for_large():
+def exact(a, b):
+    both = len(np.intersect1d(a, b))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def pair_state(a, b):
+    """(overlap of the sketches, whether the estimate lets the pair pass, overlap of the sets)."""
+    index = SketchIndex([a, b], 2, 4, 5)
+    other = np.array([0])
+    shared = index.shared.of(1, other)
+    return int(shared[0]), bool(index.may_link(1, other, shared)[0]), int(index.overlaps.of(1, other)[0])
+
+
+def test_estimate_is_exact_for_whole_sets_and_never_loses_a_similar_pair():
     rng = np.random.default_rng(1)
-    for size in (3, 10, 40, 63, 64, 100, 400):
+    for size in (3, 10, 40, 63, 64, 65, 80, 100, 400):
         for _ in range(50):
             a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
             changed = rng.integers(0, max(1, size // 9) + 1)
             b = np.unique(np.concatenate([rng.permutation(a)[changed:], rng.integers(0, 1 << 63, changed, np.uint64)]))
-            if similar(a, b, 4, 5):
-                assert may_link(a, b, 4, 5)
-            elif len(np.union1d(a, b)) < SKETCH:
-                assert not may_link(a, b, 4, 5)
-
-
-def test_settled_classes_are_passed_over():
-    """A group of near copies costs far fewer comparisons than its pairs."""
-    from ledgerlens.llm import sketch_join
-
+            shared, passes, overlap = pair_state(a, b)
+            assert shared == len(np.intersect1d(a[:SKETCH], b[:SKETCH])) and overlap == len(np.intersect1d(a, b))
+            if exact(a, b):
+                assert passes
+            elif max(len(a), len(b)) <= SKETCH:
+                assert not passes
+
+
+@pytest.mark.parametrize("changed", [4, 14, 20])
+def test_a_block_of_near_copies_equals_brute_force(changed):
+    """All, some or next to none of the pairs of one group link."""
+    rng = np.random.default_rng(changed)
+    base = np.unique(rng.integers(0, 1 << 63, 150, np.uint64))
+    sets = [np.unique(np.append(rng.permutation(base)[changed:], rng.integers(0, 1 << 63, changed, np.uint64))) for _ in range(150)]
+    links = sketch_links([(i, i, 2, s) for i, s in enumerate(sets)], 4, 5)
+    own = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if own[i] != own[j] and exact(sets[i], sets[j]):
+            least, most = sorted((own[i], own[j]))
+            own = [least if o == most else o for o in own]
+    assert dict(links) == {i: o for i, o in enumerate(own) if i != o}
+
+
+def test_a_large_group_that_does_not_link_is_fast():
+    """Pairs below the threshold that only exact similarity turns away."""
     rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 1 << 63, 200, np.uint64))
-    sets = [np.unique(np.append(base, rng.integers(0, 1 << 63, 3, np.uint64))) for _ in range(400)]
-    calls = 0
-    exact = sketch_join.similar
-
-    def counted(*args):
-        nonlocal calls
-        calls += 1
-        return exact(*args)
-
-    sketch_join.similar = counted
-    try:
-        links = sketch_links([(i, i, 2, s) for i, s in enumerate(sets)], 4, 5)
-    finally:
-        sketch_join.similar = exact
-    assert len(links) == 399 and calls < 2 * 400
+    base = np.unique(rng.integers(0, 1 << 63, 120, np.uint64))
+    sets = [np.unique(np.append(rng.permutation(base)[18:], rng.integers(0, 1 << 63, 18, np.uint64))) for _ in range(4000)]
+    start = time.monotonic()
+    sketch_links([(i, i, 2, s) for i, s in enumerate(sets)], 4, 5)
+    assert time.monotonic() - start < 30
