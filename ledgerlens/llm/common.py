@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from ledgerlens.session import checkpoint_dir
 
 # Characters that separate words in the contracts ([\x20\x09-\x0D]).
 BLANKS = " \t\n\x0b\f\r"
+# Rows of long texts or large sets go to Python in batches of this size, not of 10,000 rows.
+BATCH_LIMIT = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -18,12 +22,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside move Arrow batches of bounded bytes; the session's
+    own setting is put back."""
+    before = {key: spark.conf.get(key) for key in BATCH_LIMIT}
+    for key, value in BATCH_LIMIT.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the
     lineage, and lost executors reread files instead of recomputing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
