@@ -41,11 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage, and lost executors reread files instead of recomputing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_small(df: DataFrame, name: str) -> DataFrame:
+    """``written``, with Arrow batches of bounded bytes."""
+    with small_batches(df.sparkSession):
+        return written(df, name)
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts
     as empty text (crc32 0)."""

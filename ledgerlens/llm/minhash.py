@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import written_small
 from ledgerlens.llm.set_classes import (
     BLOCK_SHINGLES,
     class_links,
@@ -86,9 +86,9 @@ def sketch_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row: the id, ``n_shingles``, ``component_id`` (the smallest
     id that links reach) and ``kept`` (whether it is the row's own)."""
     found = shingle_table(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, SKETCH)
-    sets = written(
+    sets = written_small(
         found.where("sketch IS NOT NULL").select("number", "n", "sketch").dropDuplicates(["number"]), "sketches")
-    lists = written(retained_values(sets, under, over), "inverted-lists")
+    lists = written_small(retained_values(sets, under, over), "inverted-lists")
     candidates = _pair_links(lists.where(F.col("times") <= SMALL_LIST), under, over).union(
         star_links(lists.where(F.col("times") > SMALL_LIST), under, over))
     dealt, several = dealt_sets(found, candidates, block_shingles)

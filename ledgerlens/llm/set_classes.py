@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import written_small
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import set_number, shingle_sets, text_batches
 
@@ -62,7 +62,7 @@ def shingle_table(texts: DataFrame, words: int, low: int = 0) -> DataFrame:
                 ["id", "n", "number", "sketch", "rest"])
 
     shape = f"id {id_type}, n int, number long, sketch array<long>, rest binary"
-    return written(texts.select("id", "text").mapInArrow(run, shape), "shingle-sets")
+    return written_small(texts.select("id", "text").mapInArrow(run, shape), "shingle-sets")
 
 
 def with_least(df: DataFrame, keys: list[str], value: Column, name: str, salt: Column) -> DataFrame:
@@ -79,7 +79,7 @@ def with_times(postings: DataFrame) -> DataFrame:
     """``postings`` whose value is in several sets, with their number.  The
     most frequent values come from a bounded broadcast list, all others by a
     join in which no value is frequent."""
-    times = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "value-counts")
+    times = written_small(postings.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "value-counts")
     hot = times.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "value").limit(HOT_VALUES)
     looked = postings.join(F.broadcast(hot), "value", "left")
     cold = times.join(F.broadcast(hot.select("value")), "value", "left_anti")
@@ -127,12 +127,12 @@ def dealt_sets(found: DataFrame, links: DataFrame, block_shingles: int) -> tuple
     of about ``block_shingles`` tokens: (class, block, blocks, number, sketch,
     rest), and whether a class has several."""
     sizes = found.where("number IS NOT NULL").groupBy("number").agg(F.first("n").alias("n"))
-    member = written(components(links).join(sizes, F.col("node") == F.col("number")).select(
+    member = written_small(components(links).join(sizes, F.col("node") == F.col("number")).select(
         "number", F.col("root").alias("class"), "n"), "class-members")
     parts = member.groupBy("class").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     of_class = parts.where("blocks > 1").select("class", "blocks", salts.alias("__salt"))
-    wanted = written(
+    wanted = written_small(
         member.withColumn("__salt", F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int"))
         .join(of_class, ["class", "__salt"], "left").select(
             "number", "class", F.coalesce("blocks", F.lit(1)).alias("blocks"),
@@ -184,9 +184,9 @@ def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under:
     joined with each other, then every set outside the largest part visits
     every block: a similar pair that is still apart has such a set."""
     if several:  # its sets are used again below
-        dealt = written(dealt, "candidate-sets")
+        dealt = written_small(dealt, "candidate-sets")
     start = dealt.withColumn("role", F.lit(BOTH)).withColumn("label", F.col("number"))
-    links = written(join_blocks(start, block_links, under, over), "links")
+    links = written_small(join_blocks(start, block_links, under, over), "links")
     if not several:
         return links
     split = dealt.where("blocks > 1")
@@ -201,15 +201,15 @@ def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under:
     parts = now.groupBy("class", "block", "label").agg(F.count(F.lit(1)).alias("size"), F.min("number").alias("number"))
     main = parts.groupBy("class", "block").agg(F.max_by("number", F.struct("size", "label")).alias("number"))
     pivots = now.join(main, ["class", "block", "number"]).withColumn("block", F.lit(-1)).withColumn("role", F.lit(BOTH))
-    links = written(links.union(join_blocks(pivots, block_links, under, over)), "links")
+    links = written_small(links.union(join_blocks(pivots, block_links, under, over)), "links")
     # What is outside the largest part of a class asks in every block.
-    now = written(labelled(links), "split-sets")
+    now = written_small(labelled(links), "split-sets")
     largest = now.groupBy("class", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("class").agg(
         F.max_by("label", F.struct("size", "label")).alias("largest"))
     rest = now.join(largest, "class").where("label <> largest").drop("largest").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(ASK))
     there = now.withColumn("role", F.lit(INSERT))
-    return links.union(join_blocks(there.unionByName(rest.select(*there.columns)), block_links, under, over))
+    return written_small(links.union(join_blocks(there.unionByName(rest.select(*there.columns)), block_links, under, over)), "links")
 
 
 def least_ids(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def least_ids(found: DataFrame, links: DataFrame) -> DataFrame:
     each = rows.where("number IS NOT NULL").groupBy("number").agg(F.min(order).alias("own"))
     labelled = each.join(roots, F.col("number") == F.col("node"), "left").select(
         "number", "own", F.coalesce("root", "number").alias("root"))
-    best = written(
+    best = written_small(
         with_least(labelled, ["root"], F.col("own"), "best", F.col("number")).select("number", F.col("best.id").alias("best")),
         "class-ids")
     salted = rows.where("number IS NOT NULL").withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
