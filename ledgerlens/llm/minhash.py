@@ -92,7 +92,7 @@ def sketch_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = _pair_links(lists.where(F.col("times") <= SMALL_LIST), under, over).union(
         star_links(lists.where(F.col("times") > SMALL_LIST), under, over))
     dealt, several = dealt_sets(found, candidates, block_shingles)
-    links = class_links(dealt, several, sketch_links, under, over)
+    links = class_links(dealt, several, sketch_links, under, over, block_shingles)
     return least_ids(found, links).select(
         F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 

@@ -143,15 +143,16 @@ def dealt_sets(found: DataFrame, links: DataFrame, block_shingles: int) -> tuple
     return held.hint("merge").join(wanted, "number").select("class", "block", "blocks", "number", "sketch", "rest"), several
 
 
-def join_blocks(blocks: DataFrame, block_links: BlockLinks, under: int, over: int) -> DataFrame:
+def join_blocks(blocks: DataFrame, block_links: BlockLinks, under: int, over: int, block_shingles: int) -> DataFrame:
     """Links (``a``, ``b``) of all blocks; rows are (class, block, role,
-    label, number, sketch, rest)."""
+    label, number, sketch, rest).  Any number of sets may ask in a block: they
+    come last, and at most ``block_shingles`` tokens of them are held."""
 
     def run(batches):
-        key, members, seen = None, [], set()
+        key, members, asking, held, seen = None, [], [], 0, set()
 
         def links():
-            found = block_links(members, under, over)
+            found = block_links(members + asking, under, over)
             columns = list(zip(*found, strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
@@ -160,24 +161,30 @@ def join_blocks(blocks: DataFrame, block_links: BlockLinks, under: int, over: in
             sketches, rests = batch.column(5), batch.column(6)
             for i, (label0, block, role, label, number) in enumerate(zip(*groups, numbers, strict=True)):
                 if (label0, block) != key:
-                    if len(members) > 1:
+                    if asking or len(members) > 1:
                         yield links()
-                    key, members, seen = (label0, block), [], set()
+                    key, members, asking, held, seen = (label0, block), [], [], 0, set()
                 if (number, role) not in seen:
                     seen.add((number, role))
                     low = sketches[i].values.to_numpy().view(np.uint64)
-                    members.append((number, label, role, np.concatenate([low, np.frombuffer(rests[i].as_py(), np.uint64)])))
-        if len(members) > 1:
+                    tokens = np.concatenate([low, np.frombuffer(rests[i].as_py(), np.uint64)])
+                    (asking if role == ASK else members).append((number, label, role, tokens))
+                    held += len(tokens) if role == ASK else 0
+                    if held >= block_shingles:
+                        yield links()
+                        asking, held = [], 0
+        if asking or len(members) > 1:
             yield links()
 
     columns = ["class", "block", "role", "label", "number", "sketch", "rest"]
     return (
-        blocks.select(*columns).repartition("class", "block").sortWithinPartitions("class", "block")
+        blocks.select(*columns).repartition("class", "block").sortWithinPartitions("class", "block", "role")
         .mapInArrow(run, "a long, b long")
     )
 
 
-def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under: int, over: int) -> DataFrame:
+def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under: int, over: int,
+                block_shingles: int) -> DataFrame:
     """Links that join all similar sets of every candidate class.
 
     Where a class has several blocks, the main members of its blocks are
@@ -186,7 +193,7 @@ def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under:
     if several:  # its sets are used again below
         dealt = written_small(dealt, "candidate-sets")
     start = dealt.withColumn("role", F.lit(BOTH)).withColumn("label", F.col("number"))
-    links = written_small(join_blocks(start, block_links, under, over), "links")
+    links = written_small(join_blocks(start, block_links, under, over, block_shingles), "links")
     if not several:
         return links
     split = dealt.where("blocks > 1")
@@ -201,7 +208,7 @@ def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under:
     parts = now.groupBy("class", "block", "label").agg(F.count(F.lit(1)).alias("size"), F.min("number").alias("number"))
     main = parts.groupBy("class", "block").agg(F.max_by("number", F.struct("size", "label")).alias("number"))
     pivots = now.join(main, ["class", "block", "number"]).withColumn("block", F.lit(-1)).withColumn("role", F.lit(BOTH))
-    links = written_small(links.union(join_blocks(pivots, block_links, under, over)), "links")
+    links = written_small(links.union(join_blocks(pivots, block_links, under, over, block_shingles)), "links")
     # What is outside the largest part of a class asks in every block.
     now = written_small(labelled(links), "split-sets")
     largest = now.groupBy("class", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("class").agg(
@@ -209,7 +216,8 @@ def class_links(dealt: DataFrame, several: bool, block_links: BlockLinks, under:
     rest = now.join(largest, "class").where("label <> largest").drop("largest").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(ASK))
     there = now.withColumn("role", F.lit(INSERT))
-    return written_small(links.union(join_blocks(there.unionByName(rest.select(*there.columns)), block_links, under, over)), "links")
+    asked = there.unionByName(rest.select(*there.columns))
+    return written_small(links.union(join_blocks(asked, block_links, under, over, block_shingles)), "links")
 
 
 def least_ids(found: DataFrame, links: DataFrame) -> DataFrame:
