@@ -63,7 +63,7 @@ def txn_metadata(txns: DataFrame) -> DataFrame:
     )
 
 
-def _words(text: Column) -> Column:
+def words_of(text: Column) -> Column:
     """The distinct lower-case words (letters and digits) of a text."""
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != F.lit(""))
 
@@ -79,8 +79,8 @@ def question_hits(txns: DataFrame, questions: DataFrame, k: int = TOP_K, key: st
     only transactions that share a word are scored; the distance is
     ``2 - 2 * (weight of the shared words / weight of the question's words)``.
     """
-    asked = questions.select("question_id", F.explode(_words(F.col("question"))).alias("word"))
-    spoken = txn_sentences(txns).select(key, "txn_id", F.explode(_words(F.col("content"))).alias("word"))
+    asked = questions.select("question_id", F.explode(words_of(F.col("question"))).alias("word"))
+    spoken = txn_sentences(txns).select(key, "txn_id", F.explode(words_of(F.col("content"))).alias("word"))
     shared = spoken.join(asked, "word").distinct()  # rows that share a transaction id count once
     sizes = txns.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     rarity = (

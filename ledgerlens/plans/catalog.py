@@ -470,6 +470,7 @@ def _category_rejects(spark, sf):
 
 
 # --- V1-V9 search ----------------------------------------------------------------------
+from ledgerlens.operators import postings as IX  # noqa: E402
 from ledgerlens.operators import search as V  # noqa: E402
 
 
@@ -512,6 +513,44 @@ def _search_transactions(spark, sf):
     return hits.select("statement_id", "question_id", "rank", "txn_id", "date", "description", "amount", "category", "similarity_score")
 
 
+_HIT_COLS = ["statement_id", "question_id", "rank", "txn_id", "date", "description", "amount", "category", "similarity_score"]
+
+
+def _index(spark, sf):
+    """The word index of ``txn_li``, written in two batches."""
+    path = L.scratch_path(spark, "index")
+    t = X.txn_li(spark, sf)
+    IX.append_batch(t.filter("txn_id % 2 = 0"), path, 0)
+    IX.append_batch(t.filter("txn_id % 2 <> 0"), path, 1)
+    return path
+
+
+@register("index_search")
+def _index_search(spark, sf):
+    return IX.search(spark, _index(spark, sf), X.questions(spark)).select(*_HIT_COLS)
+
+
+@register("index_search_postfilter")
+def _index_search_postfilter(spark, sf):
+    return IX.search(spark, _index(spark, sf), X.filtered_questions(spark)).select(*_HIT_COLS)
+
+
+@register("index_search_prefilter")
+def _index_search_prefilter(spark, sf):
+    return IX.search(spark, _index(spark, sf), X.filtered_questions(spark), prefilter=True).select(*_HIT_COLS)
+
+
+@register("followup_search")
+def _followup_search(spark, sf):
+    """Follow-ups read the stored index: the newest turn of a conversation is
+    put to the statement of the same number."""
+    path = _index(spark, sf)
+    latest = H.latest_turn(_conversations(spark, sf))
+    asked = latest.select(F.col("conv_id").alias("statement_id"), F.col("conv_id").alias("question_id"),
+                          F.concat(F.lit("spent on brand "), F.col("turn") + 11, F.lit(" "), F.col("text")).alias("question"))
+    return IX.search(spark, path, asked).select(*_HIT_COLS)
+
+
 @register("embed_normalize")
 def _embed_normalize(spark, sf):
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding")

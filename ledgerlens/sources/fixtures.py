@@ -201,6 +201,16 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
 
 
+FILTERS = ("Brand#13", "Brand#24")
+
+
+def filtered_questions(spark: SparkSession) -> DataFrame:
+    """The questions, each for one category only."""
+    return spark.createDataFrame(
+        [(i, q, c) for i, (q, c) in enumerate(zip(QUESTIONS, FILTERS, strict=True))],
+        "question_id long, question string, filter_category string")
+
+
 # Invented names that the planted sentences hold.
 PLANTED = " Seen http://10.0.0.1/u?tok=abc by Mira Solberg and Tomas Okafor."
 

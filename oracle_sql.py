@@ -638,6 +638,48 @@ rel_t AS (
     FROM qh WHERE question_id = 0) h ON h.statement_id = s.statement_id
   GROUP BY s.statement_id)"""
 SQL["search_transactions"] = with_(TXN_LI, QUESTION_HITS) + "SELECT * FROM qh"
+
+
+def index_hits(asked: str, meets: str = "", before: bool = False, after: bool = False) -> str:
+    """Search over a stored index: ``asked`` gives (question_id, filter_category,
+    question), ``meets`` restricts who is asked; the category filter holds for the
+    words that score (``before``) or for the ten best (``after``).  Rows that share
+    an id count once and come together."""
+    sentence = ("date || ' | ' || description || ' | ' || CASE WHEN amount < 0 THEN 'spent' ELSE 'received' END || ' $' "
+                "|| printf('%.2f', abs(amount)) || ' | category: ' || category")
+    scoring = "category = filter_category" if before else "TRUE"
+    returned = "category = filter_category" if before or after else "TRUE"
+    return with_(TXN_LI) + f"""SELECT * FROM (
+  WITH words AS (SELECT DISTINCT question_id, filter_category,
+      unnest(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM ({asked})),
+  spoken AS (SELECT DISTINCT statement_id, txn_id, category,
+      unnest(string_split_regex(lower({sentence}), '[^a-z0-9]+')) AS word FROM txn_li),
+  met AS (SELECT * FROM spoken JOIN words USING (word) WHERE word <> '' {meets}),
+  rare AS (SELECT statement_id, question_id, word,
+      CAST(round(ln(1.0 + n / CAST(COUNT(DISTINCT txn_id) AS DOUBLE)) * 1000000) AS BIGINT) AS weight
+    FROM met JOIN (SELECT statement_id, COUNT(*) AS n FROM txn_li GROUP BY 1) USING (statement_id)
+    GROUP BY statement_id, question_id, word, n),
+  total AS (SELECT statement_id, question_id, SUM(weight) AS whole FROM rare GROUP BY 1, 2),
+  scored AS (SELECT statement_id, question_id, filter_category, txn_id, SUM(weight) AS got
+    FROM (SELECT DISTINCT statement_id, question_id, filter_category, txn_id, word FROM met WHERE {scoring})
+    JOIN rare USING (statement_id, question_id, word) GROUP BY ALL),
+  placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY statement_id, question_id ORDER BY got DESC, txn_id) AS place FROM scored)
+  SELECT statement_id, question_id, DENSE_RANK() OVER (PARTITION BY statement_id, question_id ORDER BY place) AS rank,
+    txn_id, date, description, amount, category,
+    round(2.0 - 2.0 * CAST(got AS DOUBLE) / CAST(whole AS DOUBLE), 4) AS similarity_score
+  FROM placed JOIN total USING (statement_id, question_id) JOIN txn_li USING (statement_id, txn_id)
+  WHERE place <= {10 if after else 5} AND {returned}) WHERE rank <= 5"""
+
+
+FILTERS = ("Brand#13", "Brand#24")
+ASKED = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {lit(q)}, {lit(c)})" for i, (q, c) in enumerate(zip(QUESTIONS, FILTERS))) + ") AS q(question_id, question, filter_category)"
+SQL["index_search"] = index_hits(ASKED)
+SQL["index_search_prefilter"] = index_hits(ASKED, before=True)
+SQL["index_search_postfilter"] = index_hits(ASKED, after=True)
+SQL["followup_search"] = index_hits(
+    "SELECT conv_id AS question_id, NULL AS filter_category, 'spent on brand ' || CAST(MAX(turn) + 11 AS VARCHAR) || ' ' "
+    "|| arg_max(text, turn) AS question FROM conversations GROUP BY conv_id", "AND statement_id = question_id")
 SQL["report_relevant"] = with_(TXN_LI, QUESTION_HITS) + "SELECT * FROM rel_t"
 SQL["advisor_context"] = with_(
     TXN_LI, f"fs AS ({metrics_sql('txn_li')})", by_category_cte("txn_li"), by_month_cte("txn_li"), SUMMARY_TEXT,
