@@ -12,8 +12,8 @@ Per micro-batch: the new expenses are stored (in folders by month); the
 are compared with W2's rule; and the verdicts of the touched pairs are
 written with the batch id.  The verdicts of a pair are those of the latest
 batch that touched it, so a verdict can be withdrawn, nothing is dropped,
-and the result always equals the batch W2 over all rows so far.  Work
-follows the touched days; no key is one Python call, and no state is held.
+and the result always equals the batch W2 over all rows so far.  A batch reads
+only the month folders of the touched days; no key is one Python call, and no state is held.
 
 A batch writes only to folders of its own id and overwrites them, so a
 batch that runs again gives the same result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.anomalies import duplicate_charges
 from ledgerlens.schemas import DUPLICATE_DAYS
 from ledgerlens.sources.loader import scratch_path
-from ledgerlens.streaming.ingest import _stored, month_of
+from ledgerlens.streaming.ingest import _stored, in_months, month_of, write_by_month
 
 _ROWS = (
     "statement_id long, txn_id long, ts timestamp_ntz, description string, amount double, category string, "
@@ -48,7 +48,7 @@ def judge_batch(batch: DataFrame, batch_id: int, out_dir: str, max_days: int = D
     new = batch.filter((F.col("amount") < 0) & F.col("description").isNotNull() & F.col("ts").isNotNull()).select(
         "statement_id", "txn_id", "ts", "description", "amount", "category", F.to_date("ts").alias("day"),
         month_of(F.to_date("ts")).alias("month"))
-    new.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/rows/batch={batch_id}")
+    write_by_month(new, f"{out_dir}/rows/batch={batch_id}")
     rows = _stored(spark, f"{out_dir}/rows", _ROWS, batch_id + 1)
     days = rows.where(F.col("batch") == batch_id).select(*_KEY, "day").distinct()
     spread = lambda before, after: days.select(*_KEY, F.explode(F.sequence(
@@ -56,6 +56,7 @@ def judge_batch(batch: DataFrame, batch_id: int, out_dir: str, max_days: int = D
     # A gap of max_days whole days can span max_days + 1 dates.
     touched, around = spread(0, max_days + 1), spread(max_days + 1, max_days + 1)
     touched.write.mode("overwrite").parquet(f"{out_dir}/pairs/batch={batch_id}")
+    rows = in_months(rows, around)
     near = rows.join(around, [rows["statement_id"].eqNullSafe(around["statement_id"]),
                               rows["description"] == around["description"], rows["day"] == around["day"]], "left_semi")
     found = duplicate_charges(near, max_days)

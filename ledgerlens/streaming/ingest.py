@@ -43,6 +43,23 @@ def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataF
         return spark.createDataFrame([], schema)
 
 
+WRITERS = 8  # tasks that write a month of one batch
+
+
+def write_by_month(rows: DataFrame, path: str) -> None:
+    """Write in folders by month; a batch inside one month has several writers."""
+    part = F.pmod(F.xxhash64("statement_id", "description"), F.lit(WRITERS))
+    rows.repartition("month", part).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def in_months(stored: DataFrame, days: DataFrame) -> DataFrame:
+    """The stored rows in the months of ``days``.  The months of one batch's
+    days (one value per calendar month) come to the driver, so that the scan
+    lists only their folders."""
+    months = days.select(month_of(F.col("day")).alias("month")).distinct().collect()
+    return stored.filter(F.col("month").isin([r["month"] for r in months]))
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     """Store the rows of new keys and the sums they add."""
     spark = batch.sparkSession
@@ -50,11 +67,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     rows = batch.select(*DEDUP_KEY, day.alias("day"), month_of(day).alias("month")).dropDuplicates(DEDUP_KEY)
     stored = _stored(spark, f"{out_dir}/rows", _ROWS, batch_id)
     days = rows.select("day", "month").distinct()
+    stored = in_months(stored, batch.select(day.alias("day")))
     near = stored.join(days, (stored["month"] == days["month"]) & stored["day"].eqNullSafe(days["day"]), "left_semi")
     same = [rows[c].eqNullSafe(near[c]) for c in DEDUP_KEY]
     fresh = rows.join(near, same, "left_anti")
     path = f"{out_dir}/rows/batch={batch_id}"
-    fresh.repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    write_by_month(fresh, path)
     written = spark.read.schema(_ROWS.replace(", batch long", "")).parquet(path)
     u = units("amount")
     written.groupBy("statement_id", "day").agg(

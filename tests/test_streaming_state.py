@@ -70,3 +70,19 @@ def test_duplicate_found_across_batches(spark):
     got = run_duplicate_stream(spark, source, out)
     rows = [(r["statement_id"], r["txn_id"], r["date"], r["reason"]) for r in got.collect()]
     assert rows == [(1, 4, "2024-03-13", "Possible duplicate — same amount charged 2 day(s) apart")]
+
+
+def test_a_batch_lists_only_the_months_it_touches(spark):
+    from ledgerlens.streaming.ingest import in_months, write_by_month
+
+    path = scratch_path(spark, "months")
+    d = dt.date(2024, 1, 30)
+    rows = spark.createDataFrame(
+        [(1, "A", d + dt.timedelta(days=20 * i), (d + dt.timedelta(days=20 * i)).strftime("%Y-%m")) for i in range(9)],
+        "statement_id long, description string, day date, month string")
+    write_by_month(rows, path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    near = in_months(stored, rows.filter("day < date'2024-03-01'").select("day"))
+    assert sorted({r["month"] for r in near.collect()}) == ["2024-01", "2024-02"]
+    plan = near._jdf.queryExecution().toString()
+    assert "PartitionFilters: [month" in plan and "PartitionFilters: []" not in plan
