@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.anomalies import fixed2
 from ledgerlens.schemas import TOP_K
+from ledgerlens.sources.loader import written_frame
 
 
 def sq_l2(a: Column, b: Column) -> Column:
@@ -68,6 +69,43 @@ def words_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != F.lit(""))
 
 
+WORD_BITS = 64  # question words that share one mask
+
+
+def _word_masks(spoken: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Per transaction and band of question words: which of them it holds, as
+    the bits of a long.  Rows that share a transaction id count once."""
+    words = asked.select("word", "band", "bit").distinct()
+    bits = spoken.join(words, "word").select(key, "txn_id", "band", F.expr("shiftleft(1L, bit)").alias("held"))
+    return bits.groupBy(key, "txn_id", "band").agg(F.bit_or("held").alias("mask"))
+
+
+def _mask_scores(kinds: DataFrame, asked: DataFrame, sizes: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Weight of each question's words that a mask holds (``got``), for the
+    masks that a hit can have, and the weight of all words that occur.
+
+    ``kinds`` counts the transactions of a statement by mask.  The k-th best
+    score in one band is a bound from below (``least``): a hit's other bands
+    add at most their best score, so a mask that stays below it is no hit's."""
+    asks = [key, "question_id"]
+    met = kinds.join(asked, "band").filter(F.expr("shiftrightunsigned(mask, bit) & 1L") == 1)
+    rarity = (
+        met.groupBy(*asks, "band", "bit").agg(F.sum("n").alias("df")).join(sizes, key)
+        .withColumn("weight", F.round(F.log(1.0 + F.col("size") / F.col("df").cast("double")) * 1_000_000).cast("bigint"))
+        .drop("size", "df")
+    )
+    whole = rarity.groupBy(*asks).agg(F.sum("weight").alias("whole"))
+    got = met.join(rarity, [*asks, "band", "bit"]).groupBy(*asks, "band", "mask", "n").agg(F.sum("weight").alias("got"))
+    falling = Window.partitionBy(*asks, "band").orderBy(F.desc("got"))
+    steps = got.groupBy(*asks, "band", "got").agg(F.sum("n").alias("n")).withColumn("above", F.sum("n").over(falling))
+    bands = steps.groupBy(*asks, "band").agg(
+        F.max("got").alias("best"), F.max(F.when(F.col("above") >= k, F.col("got"))).alias("least"))
+    bounds = bands.groupBy(*asks).agg(F.sum("best").alias("all_best"), F.max("least").alias("least"))
+    keep = got.join(bands.drop("least"), [*asks, "band"]).join(bounds, asks).filter(
+        F.col("least").isNull() | (F.col("got") + F.col("all_best") - F.col("best") >= F.col("least")))
+    return keep.select(*asks, "band", "mask", "got"), whole
+
+
 def question_hits(txns: DataFrame, questions: DataFrame, k: int = TOP_K, key: str = "statement_id") -> DataFrame:
     """Search by question text: the ``k`` nearest transactions of every
     (statement, question), with their columns, ``rank`` and
@@ -75,29 +113,35 @@ def question_hits(txns: DataFrame, questions: DataFrame, k: int = TOP_K, key: st
 
     Transactions and questions share one sparse space: words weighted by
     their rarity in the statement, ``ln(1 + n / df)`` in millionths, so that
-    sums are exact.  Question words meet transaction words by equality, so
-    only transactions that share a word are scored; the distance is
-    ``2 - 2 * (weight of the shared words / weight of the question's words)``.
+    sums are exact.  Only transactions that share a word are scored; the distance
+    is ``2 - 2 * (weight of the shared words / weight of the question's words)``.
+
+    A transaction's shared words are one mask (the distinct question words are
+    numbered in one task), shuffled once by transaction.  The masks are counted
+    per statement, which gives the weights and the masks that a hit can have;
+    only transactions with these are ranked.  No statement, word or question is
+    one task's group.
     """
-    asked = questions.select("question_id", F.explode(words_of(F.col("question"))).alias("word"))
-    spoken = txn_sentences(txns).select(key, "txn_id", F.explode(words_of(F.col("content"))).alias("word"))
-    shared = spoken.join(asked, "word").distinct()  # rows that share a transaction id count once
-    sizes = txns.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rarity = (
-        shared.groupBy(key, "question_id", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, key)
-        .withColumn("weight", F.round(F.log(1.0 + F.col("n") / F.col("df").cast("double")) * 1_000_000).cast("bigint"))
-        .drop("n", "df")
-    )
-    whole = rarity.groupBy(key, "question_id").agg(F.sum("weight").alias("whole"))
-    scored = (
-        shared.join(rarity, [key, "question_id", "word"])
-        .groupBy(key, "question_id", "txn_id").agg(F.sum("weight").alias("got"))
-        .join(whole, [key, "question_id"])
-    )
+    asked = questions.filter(F.col("question_id").isNotNull()).select(
+        "question_id", F.explode(words_of(F.col("question"))).alias("word")).distinct()
+    number = asked.select("word").distinct().withColumn("number", F.row_number().over(Window.orderBy("word")) - 1)
+    asked = written_frame(
+        asked.join(number.withColumn("band", F.expr(f"number div {WORD_BITS}")).withColumn(
+            "bit", (F.col("number") % WORD_BITS).cast("int")).drop("number"), "word"), "question-words")
+    of_key = txns.filter(F.col(key).isNotNull())
+    spoken = txn_sentences(of_key).select(key, "txn_id", F.explode(words_of(F.col("content"))).alias("word"))
+    masks = written_frame(_word_masks(spoken, asked, key), "word-masks")
+    sizes = of_key.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    kinds = masks.groupBy(key, "band", "mask").agg(F.count(F.lit(1)).alias("n"))
+    keep, whole = _mask_scores(written_frame(kinds, "mask-kinds"), asked.drop("word"), written_frame(sizes, "sizes"), key, k)
+    scored = masks.join(written_frame(keep, "mask-scores"), [key, "band", "mask"]).groupBy(key, "question_id", "txn_id").agg(
+        F.sum("got").alias("got"))
     w = Window.partitionBy(key, "question_id").orderBy(F.desc("got"), F.asc("txn_id"))
-    top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).join(
+        whole, [key, "question_id"])
     distance = 2.0 - 2.0 * F.col("got").cast("double") / F.col("whole").cast("double")
-    return top.withColumn("similarity_score", F.round(distance, 4)).drop("got", "whole").join(txns, [key, "txn_id"])
+    top = written_frame(top.withColumn("similarity_score", F.round(distance, 4)).drop("got", "whole"), "hits")
+    return top.join(txns, [key, "txn_id"])
 
 
 QUERY_BLOCK = 1024  # query vectors that travel together

@@ -80,3 +80,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written_frame(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh scratch folder and read it back.  Its plan then
+    knows its true size, so that joins with it are chosen by what it holds."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
