@@ -12,11 +12,15 @@ A batch that runs again replaces its own folders.  A transaction id belongs
 to one batch; rows that share an id inside a batch count once.  Rows without
 statement or id are counted in a statement's size and never found.
 
+A batch is shuffled once, as transactions by (statement, block), over tasks
+of about ``TASK_ROWS`` rows; words and lists are made inside these tasks.
+
 Scores are those of ``search.question_hits``: shared words weighted by their
 rarity in the statement.  ``search`` first reads only the counts, which give
 the weights and, per block, the highest score a transaction there can reach.
-Lists are read for the most promising blocks, then for the blocks that can
-still reach the k-th score found.  No block that could hold a hit is skipped.
+Lists are read for the most promising blocks, then in rounds for more and more
+of the blocks that can still reach the k-th score found, or tie with it by a smaller id.  No block
+that could hold a hit is skipped.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.search import txn_sentences, words_of
 from ledgerlens.schemas import TOP_K
-from ledgerlens.session import cut_lineage
+from ledgerlens.sources.loader import written_frame
 
 BUCKETS = 32  # word folders
 WIDTH = 1 << 16  # transaction ids of a block
-FILES = 4  # files of a word folder per batch: a frequent word is written by several tasks
+TASK_ROWS = 1 << 19  # transactions whose lists one task makes
 FIRST_BLOCKS = 2  # blocks of a question that are read before a bound is known
+GROWTH = 16  # each round reaches so many times further down a question's blocks
 
 
 def _bucket(word: str, buckets: int) -> Column:
@@ -44,18 +49,20 @@ def append_batch(txns: DataFrame, path: str, batch: int, key: str = "statement_i
     """Write one batch of transactions to the index at ``path`` (made if absent).
     ``buckets`` and ``width`` are the same for all batches of an index."""
     block = F.floor(F.col("txn_id") / F.lit(width)).cast("bigint")
-    spoken = (
-        txn_sentences(txns).filter(F.col(key).isNotNull() & F.col("txn_id").isNotNull())
-        .select(key, "txn_id", "category", block.alias("block"), F.explode(words_of(F.col("content"))).alias("word"))
-    )
+    spark = txns.sparkSession
+    sizes = f"{path}/sizes/batch={batch}"
+    txns.groupBy(key).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(sizes)
+    n = spark.read.schema("n long").parquet(sizes).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    held = txns.filter(F.col(key).isNotNull() & F.col("txn_id").isNotNull()).withColumn("block", block)
+    dealt = held.select(key, "block", "txn_id", "date", "description", "amount", "category").repartition(tasks, key, "block")
+    spoken = txn_sentences(dealt).select(key, "txn_id", "category", "block", F.explode(words_of(F.col("content"))).alias("word"))
     lists = spoken.groupBy(key, "word", "block").agg(
         F.array_sort(F.collect_set(F.struct("txn_id", "category"))).alias("members"))
     lists = lists.withColumn("df", F.size(F.array_distinct("members.txn_id")).cast("bigint")).withColumn(
         "bucket", _bucket("word", buckets))
-    share = F.pmod(F.xxhash64(key, "block"), F.lit(FILES))
-    lists.repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     txns.withColumn("block", block).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-    txns.groupBy(key).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes/batch={batch}")
 
 
 def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
@@ -88,7 +95,7 @@ def _scores(lists: DataFrame, wanted: DataFrame, weights: DataFrame, meet: list[
     members = F.col("members")
     if prefilter:
         members = F.filter(members, lambda m: m["category"] == F.col("filter_category"))
-    met = lists.join(weights, meet).join(wanted, [meet[0], "question_id", "block"])
+    met = lists.join(weights.join(wanted, [meet[0], "question_id"]), [*meet, "block"])
     each = met.select(meet[0], "question_id", "block", "weight",
                       F.explode(F.array_distinct(F.transform(members, lambda m: m["txn_id"]))).alias("txn_id"))
     return each.groupBy(meet[0], "question_id", "block", "txn_id").agg(F.sum("weight").alias("got"))
@@ -111,33 +118,39 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = TOP_K,
     lists = postings_of(spark, path, asked)
     meet = [key, "word"]
     heads = lists.select(key, "word", "block", "df").join(asked.drop("bucket"), meet if key in asked.columns else ["word"])
-    heads = cut_lineage(heads)  # counts only: read for the weights and for the bounds
+    heads = written_frame(heads, "heads")  # counts only: read for the weights and for the bounds
     n = stored(spark, path, "sizes").groupBy(key).agg(F.sum("n").alias("n"))
     own = ["filter_category"] if filtered else []
     weights = heads.groupBy(key, "question_id", *own, "word").agg(F.sum("df").alias("df")).join(n, key)
-    weights = cut_lineage(weights.withColumn(
-        "weight", F.round(F.log(1.0 + F.col("n") / F.col("df").cast("double")) * 1_000_000).cast("bigint")).drop("n", "df"))
+    weights = written_frame(weights.withColumn(
+        "weight", F.round(F.log(1.0 + F.col("n") / F.col("df").cast("double")) * 1_000_000).cast("bigint")).drop("n", "df"), "weights")
     whole = weights.groupBy(key, "question_id").agg(F.sum("weight").alias("whole"))
 
     ask = [key, "question_id"]
     held = heads.select(*ask, "word", "block").distinct()  # a block may be stored by several batches
     bounds = held.join(weights, [*ask, "word"]).groupBy(*ask, "block").agg(F.sum("weight").alias("bound"))
     order = Window.partitionBy(*ask).orderBy(F.desc("bound"), F.asc("block"))
-    bounds = bounds.join(
-        bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= FIRST_BLOCKS).drop("bound"),
-        [*ask, "block"], "left")
-    bounds = cut_lineage(bounds)
+    bounds = written_frame(bounds.withColumn("turn", F.row_number().over(order)), "bounds")
     best = Window.partitionBy(*ask).orderBy(F.desc("got"), F.asc("txn_id"))
-    first = cut_lineage(
-        _scores(lists, bounds.filter("turn IS NOT NULL").drop("bound", "turn"), weights, meet, prefilter)
-        .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= fetch).drop("block"))
-    least = first.filter(F.col("place") == fetch).select(*ask, F.col("got").alias("least"))
-    later = bounds.filter("turn IS NULL").join(least, ask, "left").filter("least IS NULL OR bound >= least")
-    rest = _scores(lists, later.drop("bound", "turn", "least"), weights, meet, prefilter).drop("block")
-    top = first.drop("place").unionByName(rest).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(
-        F.col("rank") <= fetch)
+    reach, left, top = FIRST_BLOCKS, bounds, None
+    while True:
+        now = written_frame(left.filter(F.col("turn") <= reach).drop("bound", "turn"), "blocks")
+        scored = _scores(lists, now, weights, meet, prefilter)
+        scored = scored if top is None else top.drop("rank").unionByName(scored)
+        top = written_frame(
+            scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= fetch), "best")
+        least = top.filter(F.col("rank") == fetch).select(*ask, F.col("got").alias("least"), F.col("block").alias("last"))
+        # Blocks after that of the fetch-th hit hold larger ids only: a tie there comes too late.
+        left = left.filter(F.col("turn") > reach).join(least, ask, "left").filter(
+            "least IS NULL OR bound > least OR (bound = least AND block <= last)")
+        left = written_frame(left.drop("least", "last"), "blocks")
+        if left.isEmpty():
+            break
+        reach *= GROWTH
+    top = top.drop("block")
     distance = 2.0 - 2.0 * F.col("got").cast("double") / F.col("whole").cast("double")
     hits = top.join(whole, ask).withColumn("similarity_score", F.round(distance, 4)).drop("got", "whole")
+    hits = written_frame(hits, "hits")
     rows = stored(spark, path, "rows").drop("batch", "block")
     found = hits.join(rows, [key, "txn_id"])
     if not filtered:

@@ -101,3 +101,68 @@ def test_no_index_and_empty_index(spark, txns, asked):
     IX.append_batch(txns.limit(0), path, 0)
     with pytest.raises(ValueError, match="no transactions"):
         IX.search(spark, path, asked)
+
+
+def plain_hits(data, questions, k=5):
+    """Brute force over (statement, id, words) sets."""
+    import math
+    from collections import Counter, defaultdict
+
+    sizes, held = Counter(s for s, _, _ in data), defaultdict(set)
+    for s, t, words in data:
+        held[s, t] |= words
+    out = []
+    for s in sizes:
+        for q, text in questions:
+            wanted = set(text.split())
+            df = Counter(w for (own, _), words in held.items() if own == s for w in words & wanted)
+            weight = {w: round(math.log(1 + sizes[s] / n) * 1_000_000) for w, n in df.items()}
+            scored = sorted((-sum(weight[w] for w in words & wanted), t) for (own, t), words in held.items()
+                            if own == s and words & wanted)
+            out += [(s, q, i + 1, t, round(2 + 2 * got / sum(weight.values()), 4)) for i, (got, t) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_many_question_words_in_several_masks(spark):
+    """Over 64 question words, so that a transaction has several masks."""
+    names = {(s, t): {f"w{(t * 7 + s + j * j) % 90}" for j in range(12)} for s in (1, 2) for t in range(150)}
+    t = txn_frame(spark, [(s, i, DAY, " ".join(sorted(n)), -2.0, "x") for (s, i), n in names.items()])
+    asked = [(0, " ".join(f"w{i}" for i in range(85))), (1, "w3 w70 w88"), (2, "w1 w2")]
+    data = [(s, i, n) for (s, i), n in names.items()]
+    got = rows(V.question_hits(t, spark.createDataFrame(asked, "question_id long, question string")))
+    assert got == plain_hits(data, asked)
+
+
+def test_search_ranks_only_the_masks_a_hit_can_have(spark):
+    """A word of all transactions makes none of the others a candidate."""
+    data = [(1, i, DAY, "RIVER CAFE" if i % 50 == 0 else "RIVER", -1.0, "a") for i in range(2000)]
+    t = txn_frame(spark, data)
+    asked = spark.createDataFrame([(0, "river cafe")], "question_id long, question string").select(
+        "question_id", F.explode(V.words_of(F.col("question"))).alias("word"), F.lit(0).alias("band"),
+        (F.length("word") % 2).alias("bit"))
+    assert {r["bit"] for r in asked.collect()} == {0, 1}
+    spoken = V.txn_sentences(t).select("statement_id", "txn_id", F.explode(V.words_of(F.col("content"))).alias("word"))
+    masks = V._word_masks(spoken, asked, "statement_id")
+    kinds = masks.groupBy("statement_id", "band", "mask").agg(F.count(F.lit(1)).alias("n"))
+    sizes = t.groupBy("statement_id").agg(F.count(F.lit(1)).alias("size"))
+    keep, _ = V._mask_scores(kinds, asked.drop("word"), sizes, "statement_id", 5)
+    assert masks.join(keep, ["statement_id", "band", "mask"]).count() == 40
+
+
+def test_ties_in_later_blocks_are_not_read(spark, monkeypatch):
+    """Every block reaches the best score; only the first ones can hold a hit."""
+    t = txn_frame(spark, [(1, i, DAY, "RIVER CAFE", -1.0, "a") for i in range(640)])
+    asked = spark.createDataFrame([(0, "river cafe")], "question_id long, question string")
+    path, read, scores = write(spark, t), [], IX._scores
+    monkeypatch.setattr(IX, "_scores", lambda lists, wanted, *more: read.append(wanted.count()) or scores(lists, wanted, *more))
+    got = rows(IX.search(spark, path, asked))
+    assert [r[3] for r in got] == [0, 1, 2, 3, 4] and got == rows(V.question_hits(t, asked))
+    assert sum(read) == IX.FIRST_BLOCKS  # of 40 blocks
+
+
+def test_hits_in_the_last_block_are_found(spark):
+    """All blocks hold both words, only the last one holds them together."""
+    t = txn_frame(spark, [(1, i, DAY, "RIVER CAFE" if i >= 1600 else ("RIVER", "CAFE")[i % 2], -1.0, "a") for i in range(1606)])
+    asked = spark.createDataFrame([(0, "river cafe")], "question_id long, question string")
+    got = rows(IX.search(spark, write(spark, t), asked))
+    assert [r[3] for r in got] == [1600, 1601, 1602, 1603, 1604] and got == rows(V.question_hits(t, asked))
