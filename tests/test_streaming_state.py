@@ -86,3 +86,15 @@ def test_a_batch_lists_only_the_months_it_touches(spark):
     assert sorted({r["month"] for r in near.collect()}) == ["2024-01", "2024-02"]
     plan = near._jdf.queryExecution().toString()
     assert "PartitionFilters: [month" in plan and "PartitionFilters: []" not in plan
+
+
+def test_a_batch_stores_only_its_own_days(spark):
+    """The days that a batch can change are not written out one by one."""
+    out = scratch_path(spark, "duplicate-stream")
+    day = dt.datetime(2024, 1, 30)
+    first = [(1, 1, day, "RENT", -5.0, "a"), (None, 2, day, "RENT", -5.0, "a"), (1, 3, day, "RENT", -5.0, "a")]
+    late = [(1, 4, day + dt.timedelta(days=3), "RENT", -5.0, "a"), (1, 5, day + dt.timedelta(days=9), "RENT", -5.0, "a")]
+    for i, rows in enumerate((first, late)):
+        T2.judge_batch(txn_frame(spark, rows), i, out)
+    assert spark.read.parquet(f"{out}/pairs/batch=0").count() == 2 and spark.read.parquet(f"{out}/pairs/batch=1").count() == 2
+    assert [r["txn_id"] for r in spark.read.parquet(f"{out}/found/batch=1").collect()] == [4]
