@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+from conftest import txn_frame
+
 from ledgerlens.sources.loader import scratch_path
-from ledgerlens.streaming.duplicates import run_duplicate_stream
+from ledgerlens.streaming.duplicates import judge_batch, run_duplicate_stream
 from ledgerlens.streaming.ingest import run_daily_cashflow
 
 SCHEMA = "statement_id long, txn_id long, ts timestamp_ntz, description string, amount double, category string"
@@ -95,6 +97,6 @@ def test_a_batch_stores_only_its_own_days(spark):
     first = [(1, 1, day, "RENT", -5.0, "a"), (None, 2, day, "RENT", -5.0, "a"), (1, 3, day, "RENT", -5.0, "a")]
     late = [(1, 4, day + dt.timedelta(days=3), "RENT", -5.0, "a"), (1, 5, day + dt.timedelta(days=9), "RENT", -5.0, "a")]
     for i, rows in enumerate((first, late)):
-        T2.judge_batch(txn_frame(spark, rows), i, out)
+        judge_batch(txn_frame(spark, rows), i, out)
     assert spark.read.parquet(f"{out}/pairs/batch=0").count() == 2 and spark.read.parquet(f"{out}/pairs/batch=1").count() == 2
     assert [r["txn_id"] for r in spark.read.parquet(f"{out}/found/batch=1").collect()] == [4]
