@@ -32,7 +32,7 @@ the softmax and two rejections:
 Defined cases: a null text or one without a letter is ``und`` with score 0
 and rejected; without any labelled row every text is ``und``; rows that
 repeat or have null ids are predicted like any other; very long texts are
-used whole.  Ties between languages go to the first in sorted order.
+used whole, in Arrow batches of bounded bytes.  Ties between languages go to the first in sorted order.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_bucket
+from ledgerlens.llm.common import id_bucket, small_batches, written_small
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -192,7 +192,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         model = fitted(rows, dim=dim, steps=steps, rate=rate, reject_share=reject_share, times_even=times_even, seed=seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = sample.repartition(1).sortWithinPartitions("mark", "lang").mapInArrow(training, "model binary").collect()
+    with small_batches(df.sparkSession):
+        made = sample.repartition(1).sortWithinPartitions("mark", "lang").mapInArrow(training, "model binary").collect()
     return pickle.loads(made[0].model) if made else LanguageModel()
 
 
@@ -324,17 +325,17 @@ def keep_identified(df: DataFrame, **training) -> DataFrame:
     """The rows of a documents table whose language is identified."""
     model = train(training_rows(df), **training)
     whole = df.select(F.struct("*").alias("row"), predicted(F.col("text"), model).alias("found"))
-    return whole.where("found.accepted").select("row.*")
+    return written_small(whole.where("found.accepted").select("row.*"), "identified")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(training_rows(documents))
-    return documents.select(
+    return written_small(documents.select(
         "doc_id",
         (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"),
         predicted(F.col("text"), model).alias("p"),
     ).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
         F.col("p.accepted").alias("accepted"),
-    )
+    ), "predictions")
